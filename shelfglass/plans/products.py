@@ -17,7 +17,7 @@ DIMENSIONS = ("height", "width", "depth")
 # Columns of an analysis row and their short names in analyses and files.
 ANALYSIS_COLUMNS = ["product_id", "system_product_id", "qb_code", "brand", "category",
                     "product_type", "name", "height", "width", "depth", "weight",
-                    "base_image_url", "product_url", "final_status"]
+                    "base_image_url", "product_url", "outlier_mode"]
 SHORT_NAMES = {"qb_code": "SKU", "brand": "Brand", "category": "Category", "product_type": "Type",
                "name": "Name", "height": "H", "width": "W", "depth": "D",
                "base_image_url": "imageUrl", "product_url": "url_key"}
