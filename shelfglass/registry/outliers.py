@@ -414,7 +414,7 @@ def previous_with_bounds(t):
 
 FILE_ROWS = f"SELECT * FROM fx_product WHERE {MEASURED} AND {IN_FILE} AND group_id <> 3"
 FILE = f"""{C.points(FILE_ROWS, "category", ("size",), False)}, {C.noise()},
-done AS (SELECT p.*, n.noise, {", ".join(f"CASE WHEN {flag_sql(d)} THEN 'No' ELSE 'Yes' END AS iqr_{d}" for d in DIMS)},
+done AS (SELECT p.product_id, p.brand, p.category, n.noise, {", ".join(f"CASE WHEN {flag_sql(d)} THEN 'No' ELSE 'Yes' END AS iqr_{d}" for d in DIMS)},
   CASE WHEN {ANY} THEN 'No' ELSE 'Yes' END AS iqr_status, CASE WHEN n.noise THEN 'No' ELSE 'Yes' END AS dbscan_status,
   CASE WHEN {ANY} AND n.noise THEN 'No' ELSE 'Yes' END AS final
   FROM ({FILE_ROWS}) p JOIN ({bounds_sql("category", FILE_ROWS)}) b ON b.category = p.category JOIN noise n ON n.id = p.product_id)"""
