@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from shelfglass.registry import iterations, outliers, products, scalars  # noqa: F401
+from shelfglass.registry import files, iterations, matching, outliers, products, scalars  # noqa: F401
 from shelfglass.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -411,11 +411,11 @@ def iqr_fields(t):
 @query("U10_eps_sample_update", f"""
 SELECT product_id, CASE WHEN hit THEN f ELSE final_status END AS final_status, CASE WHEN hit THEN f ELSE dbs_status END AS dbs_status,
   CASE WHEN hit THEN 1.5E0 END AS eps, CAST(CASE WHEN hit THEN 3 END AS INT) AS sample, CASE WHEN hit AND f IS NOT NULL THEN '{STAMP}' END AS date
-FROM (SELECT *, group_id = 1 AND product_id % 2 = 0 AS hit, CAST(CASE WHEN product_id % 3 = 0 THEN 1 WHEN product_id % 3 = 1 THEN 0 END AS INT) AS f FROM fx_product) p""")
+FROM (SELECT *, group_id = 1 AND depth > 20 AS hit, CAST(CASE WHEN height > 30 THEN 1 WHEN height > 10 THEN 0 END AS INT) AS f FROM fx_product) p""")
 def eps_sample_update(t):
-    k = F.col("product_id") % 3
-    news = t.fx_product.filter("product_id % 2 = 0").select(
-        "system_product_id", F.when(k == 0, 1).when(k == 1, 0).alias("final_status"),
+    h = F.col("height")
+    news = t.fx_product.filter("depth > 20").select(
+        "system_product_id", F.when(h > 30, 1).when(h > 10, 0).alias("final_status"),
         F.lit(1.5).alias("eps"), F.lit(3).alias("sample"))
     return state(I.update_eps_sample(graded(t), news, 1, stamp())).select(*STATE)
 
@@ -424,11 +424,11 @@ def eps_sample_update(t):
 SELECT product_id, CASE WHEN hit THEN f ELSE final_status END AS final_status, CASE WHEN hit THEN NULL ELSE iqr_status END AS iqr_status,
   CASE WHEN hit THEN CASE WHEN f = 1 THEN NULL WHEN f = 0 THEN CASE WHEN outlier_mode = 1 THEN 1 ELSE 0 END ELSE outlier_mode END ELSE outlier_mode END AS outlier_mode,
   CAST(CASE WHEN hit THEN 5 ELSE iteration_closed END AS INT) AS iteration_closed
-FROM (SELECT *, product_id % 5 <> 0 AS hit, CAST(CASE WHEN product_id % 3 = 0 THEN 1 WHEN product_id % 3 = 1 THEN 0 END AS INT) AS f FROM fx_product) p""")
+FROM (SELECT *, skip_status IS NULL AS hit, CAST(CASE WHEN height > 30 THEN 1 WHEN height > 10 THEN 0 END AS INT) AS f FROM fx_product) p""")
 def overwritten_results(t):
-    k = F.col("product_id") % 3
-    news = t.fx_product.filter("product_id % 5 <> 0").select(
-        "product_id", F.when(k == 0, 1).when(k == 1, 0).alias("final_status"), F.lit(5).alias("iteration_closed"))
+    h = F.col("height")
+    news = t.fx_product.filter("skip_status IS NULL").select(
+        "product_id", F.when(h > 30, 1).when(h > 10, 0).alias("final_status"), F.lit(5).alias("iteration_closed"))
     return I.overwrite_results(graded(t), news).select("product_id", "final_status", "iqr_status", "outlier_mode", "iteration_closed")
 
 
@@ -438,14 +438,14 @@ def codes(t, where: str):
 
 @query("U12_final_status_by_code", """
 SELECT product_id, CAST(CASE WHEN hit THEN 0 ELSE final_status END AS INT) AS final_status, CAST(CASE WHEN hit THEN 1 ELSE outlier_mode END AS INT) AS outlier_mode,
-  CAST(CASE WHEN hit THEN 4 ELSE iteration_closed END AS INT) AS iteration_closed FROM (SELECT *, product_id % 6 = 0 AS hit FROM fx_product) p""")
+  CAST(CASE WHEN hit THEN 4 ELSE iteration_closed END AS INT) AS iteration_closed FROM (SELECT *, height > 35 AS hit FROM fx_product) p""")
 def final_status_by_code(t):
-    return I.set_final_status(graded(t), codes(t, "product_id % 6 = 0"), 0, 4).select(
+    return I.set_final_status(graded(t), codes(t, "height > 35"), 0, 4).select(
         "product_id", "final_status", "outlier_mode", "iteration_closed")
 
 
 MARKED = """SELECT r.* REPLACE (CAST(CASE WHEN hit THEN 0 ELSE status END AS INT) AS status, CAST(CASE WHEN hit THEN 1 ELSE outlier_mode END AS INT) AS outlier_mode)
-FROM (SELECT *, category = 'SMALL' AND iteration_number = 2 AND CAST(system_product_id AS BIGINT) % 6 = 0 AND system_product_id IN (SELECT system_product_id FROM fx_product) AS hit
+FROM (SELECT *, category = 'SMALL' AND iteration_number = 2 AND system_product_id IN (SELECT system_product_id FROM fx_product WHERE height > 35) AS hit
   FROM fx_iteration_result) r"""
 
 
@@ -455,24 +455,24 @@ SELECT p.product_id, coalesce(v.iqr_status, p.iqr_status) AS iqr_status, coalesc
   CASE WHEN v.system_product_id IS NULL THEN p.outlier_mode ELSE v.outlier_mode END AS outlier_mode
 FROM fx_product p LEFT JOIN ({vote_sql(MARKED, "category = 'SMALL'")}) v ON v.system_product_id = p.system_product_id""")
 def marked_outliers(t):
-    products, _ = I.mark_outliers(graded(t), t.fx_iteration_result, codes(t, "product_id % 6 = 0"), None, "SMALL", 2)
+    products, _ = I.mark_outliers(graded(t), t.fx_iteration_result, codes(t, "height > 35"), None, "SMALL", 2)
     return products.select("product_id", "iqr_status", "dbs_status", "final_status", "outlier_mode")
 
 
 @query("U13_skip_status", f"""
-SELECT product_id, CAST(CASE WHEN product_id % 9 = 0 THEN 1 ELSE skip_status END AS INT) AS skip_status,
-  CASE WHEN product_id % 9 = 0 THEN '{STAMP}' END AS date FROM fx_product""")
+SELECT product_id, CAST(CASE WHEN width > 40 THEN 1 ELSE skip_status END AS INT) AS skip_status,
+  CASE WHEN width > 40 THEN '{STAMP}' END AS date FROM fx_product""")
 def skip_status(t):
-    ids = t.fx_product.filter("product_id % 9 = 0").select("product_id")
+    ids = t.fx_product.filter("width > 40").select("product_id")
     return state(I.set_skip(graded(t), ids, 1, stamp())).select("product_id", "skip_status", "date")
 
 
 @query("U14_cluster_set_normal", f"""
 SELECT product_id, CAST(CASE WHEN hit THEN 1 ELSE final_status END AS INT) AS final_status, CAST(CASE WHEN hit THEN 1 ELSE dbs_status END AS INT) AS dbs_status,
   CASE WHEN hit THEN 0.5E0 END AS eps, CAST(CASE WHEN hit THEN 2 END AS INT) AS sample, CASE WHEN hit THEN '{STAMP}' END AS date
-FROM (SELECT *, group_id = 2 AND product_id % 4 = 1 AS hit FROM fx_product) p""")
+FROM (SELECT *, group_id = 2 AND depth > 30 AS hit FROM fx_product) p""")
 def cluster_set_normal(t):
-    products, _ = I.correct_cluster(graded(t), t.fx_iteration_item, codes(t, "product_id % 4 = 1"), 3, 1, 2,
+    products, _ = I.correct_cluster(graded(t), t.fx_iteration_item, codes(t, "depth > 30"), 3, 1, 2,
                                     F.lit(0.5), F.lit(2), stamp())
     return state(products).select(*STATE)
 
@@ -480,37 +480,35 @@ def cluster_set_normal(t):
 @query("U14_cluster_removed", """
 SELECT i.id, i.iteration_id, CASE WHEN hit THEN NULL ELSE final_status END AS final_status,
   CASE WHEN hit THEN NULL ELSE strftime(analyzed_date, '%Y-%m-%d %H:%M:%S') END AS date
-FROM (SELECT *, iteration_id = 3 AND CAST(system_product_id AS BIGINT) % 4 = 1 AS hit FROM fx_iteration_item) i""")
+FROM (SELECT *, iteration_id = 3 AND system_product_id IN (SELECT system_product_id FROM fx_product WHERE depth > 30) AS hit FROM fx_iteration_item) i""")
 def cluster_removed(t):
-    _, items_after = I.correct_cluster(graded(t), t.fx_iteration_item, codes(t, "product_id % 4 = 1"), 3, None, 2,
+    _, items_after = I.correct_cluster(graded(t), t.fx_iteration_item, codes(t, "depth > 30"), 3, None, 2,
                                        F.lit(1.0), F.lit(4), stamp())
     return state(items_after).select("id", "iteration_id", "final_status", "date")
 
 
 @query("U15_item_status", """
 SELECT id, CAST(CASE WHEN hit THEN 0 ELSE status END AS INT) AS status, CAST(CASE WHEN hit THEN 1 ELSE outlier_mode END AS INT) AS outlier_mode
-FROM (SELECT *, iteration_id = 7 AND CAST(system_product_id AS BIGINT) % 3 = 0 AS hit FROM fx_iteration_item) i""")
+FROM (SELECT *, iteration_id = 7 AND system_product_id IN (SELECT system_product_id FROM fx_product WHERE width > 25) AS hit FROM fx_iteration_item) i""")
 def item_status(t):
-    ids = t.fx_product.filter("product_id % 3 = 0").select("system_product_id")
-    # fx_product starts at 1: item ids outside the products are no match either.
-    ids = ids.unionByName(t.fx_iteration_item.filter("try_cast(system_product_id AS bigint) % 3 = 0").select("system_product_id")).distinct()
+    ids = t.fx_product.filter("width > 25").select("system_product_id")
     return I.set_item_status(t.fx_iteration_item, ids, 7, 0, 1).select("id", "status", "outlier_mode")
 
 
 @query("U16_items_cleared", """
 SELECT product_id, CASE WHEN hit THEN NULL ELSE final_status END AS final_status, CASE WHEN hit THEN NULL ELSE dbs_status END AS dbs_status,
   CAST(NULL AS DOUBLE) AS eps, CAST(NULL AS INT) AS sample, CAST(NULL AS VARCHAR) AS date
-FROM (SELECT *, group_id = 1 AND product_id % 8 = 0 AS hit FROM fx_product) p""")
+FROM (SELECT *, group_id = 1 AND height > 45 AS hit FROM fx_product) p""")
 def items_cleared(t):
     none = F.lit(None)
-    products, _ = I.correct_cluster(graded(t), t.fx_iteration_item, codes(t, "product_id % 8 = 0"), 3, None, 1,
+    products, _ = I.correct_cluster(graded(t), t.fx_iteration_item, codes(t, "height > 45"), 3, None, 1,
                                     none.cast("double"), none.cast("int"), stamp())
     return state(products).select(*STATE)
 
 
 @query("U17_marked_results", f"SELECT id, status, outlier_mode FROM ({MARKED}) m")
 def marked_results(t):
-    ids = P.ids_of_codes(t.fx_product, codes(t, "product_id % 6 = 0"))
+    ids = P.ids_of_codes(t.fx_product, codes(t, "height > 35"))
     return I.mark_results(t.fx_iteration_result, ids, None, "SMALL", 2).select("id", "status", "outlier_mode")
 
 

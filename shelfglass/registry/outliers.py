@@ -83,12 +83,12 @@ SMALL_GROUPS = ANALYSED + " AND group_id = 1"
 
 @query("X03_type_bounds_per_population", f"""
 SELECT p.product_id, coalesce(b.n, 0) AS n, {", ".join(f"round(coalesce(b.{d}_lower, 0), 6) AS {d}_lower, round(coalesce(b.{d}_upper, 0), 6) AS {d}_upper" for d in DIMS)}
-FROM (SELECT *, CASE WHEN product_id % 7 = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q) p
-LEFT JOIN ({bounds_sql('category, kind', f"SELECT *, CASE WHEN product_id % 7 = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q")}) b
+FROM (SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q) p
+LEFT JOIN ({bounds_sql('category, kind', f"SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q")}) b
   ON p.category = b.category AND p.kind = b.kind""")
 def type_bounds_per_population(t):
     rows = analysed(t, 1).withColumn(
-        "kind", F.when(F.col("product_id") % 7 != 0, F.col("product_type")))
+        "kind", F.when(F.col("skip_status").isNull(), F.col("product_type")))
     return rounded(O.with_type_bounds(rows, "kind", ["category"]), EDGE_NAMES).select(
         "product_id", "n", *EDGE_NAMES)
 
