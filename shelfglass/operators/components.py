@@ -12,44 +12,42 @@ from pyspark.sql import functions as F
 from shelfglass.staging import stage
 
 
-def _rewire(edges: DataFrame, group: str, large: bool) -> DataFrame:
-    """One star round on edges (group, u, v) with u > v."""
+def _rewire(edges: DataFrame, run: list[str], large: bool) -> DataFrame:
+    """One star round on edges (run, u, v) with u > v."""
+    both = edges
     if large:
-        both = edges.unionByName(
-            edges.select(group, F.col("v").alias("u"), F.col("u").alias("v"))
-        )
-    else:
-        both = edges
-    least = both.groupBy(group, "u").agg(F.min("v").alias("_least"))
-    least = least.withColumn("_least", F.least("_least", "u"))
-    joined = both.join(least, [group, "u"])
+        both = edges.unionByName(edges.select(*run, F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy(*run, "u").agg(F.min("v").alias("_least")).withColumn(
+        "_least", F.least("_least", "u"))
+    joined = both.join(least, [*run, "u"])
     if large:
-        moved = joined.filter(F.col("v") > F.col("u")).select(
-            group, F.col("v").alias("u"), F.col("_least").alias("v"))
-    else:
-        moved = joined.select(group, F.col("v").alias("u"), F.col("_least").alias("v")).unionByName(
-            least.select(group, "u", F.col("_least").alias("v")))
-    return moved.filter(F.col("u") > F.col("v")).distinct()
+        joined = joined.filter("v > u")
+    moved = joined.select(*run, F.col("v").alias("u"), F.col("_least").alias("v"))
+    if not large:
+        moved = moved.unionByName(least.select(*run, "u", F.col("_least").alias("v")))
+    return moved.filter("u > v").distinct()
 
 
-def component_labels(edges: DataFrame, group: str = "g") -> DataFrame:
-    """Edges (group, u, v) to (group, node, label): the least node of each node's component.
+def component_labels(edges: DataFrame, run: list[str]) -> DataFrame:
+    """Edges (run, u, v) to (run, node, label): the least node of each node's component.
 
     Nodes without an edge do not appear. The loop ends when every edge points at a root.
     """
-    current = edges.select(
-        group, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    ).filter("u > v").distinct()
+    current = stage(
+        edges.select(*run, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        .filter("u > v").distinct(), "edges")
 
     def has_chain(stars: DataFrame) -> bool:
-        """Some edge ends in a node that has a smaller neighbour itself."""
-        ends = stars.select(group, F.col("v").alias("u")).distinct()
-        return not stars.join(ends, [group, "u"], "left_semi").isEmpty()
+        """Some edge ends in a node that has a smaller neighbour itself, or a node has two."""
+        ends = stars.select(*run, F.col("v").alias("u")).distinct()
+        chained = stars.join(ends, [*run, "u"], "left_semi").select(*run, "u")
+        forked = stars.groupBy(*run, "u").agg(F.count(F.lit(1)).alias("_n")).filter(
+            "_n > 1").select(*run, "u")
+        return not chained.unionByName(forked).isEmpty()
 
     # Rounds keep components connected, so a forest of stars has one star per component.
-    current = stage(current, "edges")
     while has_chain(current):
-        current = stage(_rewire(_rewire(current, group, True), group, False), "edges")
-    members = current.select(group, F.col("u").alias("node"), F.col("v").alias("label"))
-    roots = current.select(group, F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+        current = stage(_rewire(_rewire(current, run, True), run, False), "edges")
+    members = current.select(*run, F.col("u").alias("node"), F.col("v").alias("label"))
+    roots = current.select(*run, F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return members.unionByName(roots)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from shelfglass.operators.components import component_labels
 from shelfglass.operators.numbering import id_bucket, running_number
 from shelfglass.operators.outliers import standardized
-from shelfglass.staging import stage
+from shelfglass.staging import parallelism, stage
 
 # Feature groups and the constant that keeps ratios finite.
 FEATURE_GROUPS = ("size", "shape", "volume")
@@ -41,6 +41,10 @@ RATIO_EPSILON = 1e-6
 LEAF = 64
 _MAX_LEVEL = 48
 
+# A clustering run is one group (g, the row order of its first row) under one setting (k). Cells
+# and their parts are named by the row order of their first point, so all joins are on integers.
+RUN = ["g", "k"]
+
 
 def chosen_settings(settings: Sequence[str] | None) -> list[str]:
     """Known feature groups among the requested ones; none known means all."""
@@ -62,36 +66,63 @@ def add_features(df: DataFrame, settings: Sequence[str] | None = None,
     return df.withColumns(features), list(features)
 
 
-# --- geometry on array columns, as SQL text (one parse instead of hundreds of calls) -----------
+# --- geometry as SQL text over flat columns ----------------------------------------------------
 
 def _distance2(a: str, b: str, d: int) -> str:
-    return " + ".join(f"power(get({a}, {i}) - get({b}, {i}), 2)" for i in range(d))
+    return " + ".join(f"power({a}{i} - {b}{i}, 2)" for i in range(d))
 
 
 def _near2(alo: str, ahi: str, blo: str, bhi: str, d: int) -> str:
     """Least squared distance of two boxes."""
     return " + ".join(
-        f"power(greatest(0D, get({blo}, {i}) - get({ahi}, {i}), get({alo}, {i}) - get({bhi}, {i})), 2)"
-        for i in range(d))
+        f"power(greatest(0D, {blo}{i} - {ahi}{i}, {alo}{i} - {bhi}{i}), 2)" for i in range(d))
 
 
 def _far2(alo: str, ahi: str, blo: str, bhi: str, d: int) -> str:
     """Greatest squared distance of two boxes."""
     return " + ".join(
-        f"power(greatest(get({bhi}, {i}) - get({alo}, {i}), get({ahi}, {i}) - get({blo}, {i})), 2)"
-        for i in range(d))
+        f"power(greatest({bhi}{i} - {alo}{i}, {ahi}{i} - {blo}{i}), 2)" for i in range(d))
+
+
+def _within_reach(frame: DataFrame, sides: tuple[str, str, str, str], d: int, *spread: str
+                  ) -> DataFrame:
+    """Rows whose boxes come within eps, with the flag ``full``: wholly within eps.
+
+    The rows are redistributed between the two tests: they are few but costly from here on, and
+    each test alone stays small enough for the JIT compiler.
+    """
+    reach = frame.filter(f"{_near2(*sides, d)} <= eps * eps")
+    return reach.repartition(parallelism(frame.sparkSession), *RUN, *spread).withColumn(
+        "full", F.expr(f"{_far2(*sides, d)} <= eps * eps"))
+
 
+def _decide(frame: DataFrame, sides: tuple[str, str, str, str], d: int, *spread: str
+            ) -> tuple[DataFrame, DataFrame]:
+    """Rows whose boxes lie wholly within eps, and rows the boxes leave open; the rest is gone."""
+    reach = _within_reach(frame, sides, d, *spread)
+    return reach.filter("full").drop("full"), reach.filter("NOT full").drop("full")
 
-def _box(d: int) -> list[Column]:
-    return [F.expr("array(" + ", ".join(f"{f}(get(z, {i}))" for i in range(d)) + f") AS {name}")
-            for name, f in (("lo", "min"), ("hi", "max"))]
+
+def _flat(prefix: str, d: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(d)]
+
+
+def _bounds(d: int) -> list[str]:
+    return [*_flat("lo", d), *_flat("hi", d)]
+
+
+def _summary(d: int) -> list[Column]:
+    """Name, weight, size and tight box of a set of points."""
+    return [F.min("first").alias("node"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"),
+            *[F.min(f"z{i}").alias(f"lo{i}") for i in range(d)],
+            *[F.max(f"z{i}").alias(f"hi{i}") for i in range(d)]]
 
 
 def _cell_at(level: int, d: int) -> Column:
     """Grid cell of a point; every level halves the side. The side is a touch below eps/√d."""
     scale = math.sqrt(d) / (1 - 1e-9) * 2.0**level
     return F.expr("array(" + ", ".join(
-        f"cast(floor(get(z, {i}) * ({scale!r}D / eps)) AS bigint)" for i in range(d)) + ")")
+        f"cast(floor(z{i} * ({scale!r}D / eps)) AS bigint)" for i in range(d)) + ")")
 
 
 def _counted_stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -100,15 +131,17 @@ def _counted_stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFr
     return table, table.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
 
 
-def _children(points: DataFrame, parents: DataFrame, level: int, d: int) -> DataFrame:
-    """Nodes of ``level`` below the given parent nodes: size, weight and tight box."""
-    kept = points.withColumn("parent", _cell_at(level - 1, d)).join(
-        parents, ["g", "parent"], "left_semi")
-    return (
-        kept.withColumn("node", _cell_at(level, d))
-        .groupBy("g", "parent", "node")
-        .agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), *_box(d))
-    )
+def _split(points: DataFrame, parents: DataFrame, level: int, d: int
+           ) -> tuple[DataFrame, DataFrame]:
+    """Parts of the given nodes one level down, and their points under the new node names.
+
+    points: g, k, eps, node, first, w, z*. Parts carry their parent's name.
+    """
+    kept = points.join(parents, [*RUN, "node"], "left_semi").withColumnRenamed(
+        "node", "parent").withColumn("part", _cell_at(level, d))
+    parts = stage(kept.groupBy(*RUN, "parent", "part").agg(*_summary(d)), "parts")
+    moved = kept.join(parts.select(*RUN, "parent", "part", "node"), [*RUN, "parent", "part"])
+    return parts.drop("part"), stage(moved.drop("parent", "part"), "moved")
 
 
 # --- points against cells --------------------------------------------------------------------
@@ -116,214 +149,187 @@ def _children(points: DataFrame, parents: DataFrame, level: int, d: int) -> Data
 def _within(asked: DataFrame, points: DataFrame, d: int, leaf: int, largest: int) -> DataFrame:
     """Weight of the points of cell ``t`` within eps of each asking point.
 
-    asked: g, eps, first, z and the target cell's t, t_n, t_m, t_lo, t_hi.
-    Returns g, first, t, hits with hits > 0.
+    asked: g, k, eps, first, z* and the target cell: t, n, m, lo*, hi*. points: g, k, eps, node
+    (the cell), first, w, z*. Returns g, k, first, t, hits with hits > 0.
     """
-    def decide(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-        boxed = frame.filter(f"{_near2('z', 'z', 't_lo', 't_hi', d)} <= eps * eps").withColumn(
-            "_inside", F.expr(f"{_far2('z', 'z', 't_lo', 't_hi', d)} <= eps * eps"))
-        sure = boxed.filter("_inside").selectExpr("g", "first", "t", "t_n AS hits")
-        return sure, boxed.filter("NOT _inside").drop("_inside")
-
-    def compare(open_rows: DataFrame, level: int, node: str) -> DataFrame:
-        leaves = points.select("g", F.col("z").alias("q"), "w", _cell_at(level, d).alias(node))
-        return (
-            open_rows.join(leaves, ["g", node])
-            .filter(f"{_distance2('z', 'q', d)} <= eps * eps")
-            .selectExpr("g", "first", "t", "w AS hits")
-        )
-
-    sure, undecided = decide(asked)
-    found = [sure]
+    sides, z = ("z", "z", "lo", "hi"), _flat("z", d)
+
+    def inside(sure: DataFrame) -> DataFrame:
+        return sure.select(*RUN, "first", "t", F.col("n").alias("hits"))
+
+    def compare(rows: DataFrame, among: DataFrame) -> DataFrame:
+        other = among.select(*RUN, "node", "w", *[F.col(c).alias(f"q{c[1:]}") for c in z])
+        near = rows.select(*RUN, "eps", "first", "t", "node", *z).join(other, [*RUN, "node"])
+        return near.filter(f"{_distance2('z', 'q', d)} <= eps * eps").select(
+            *RUN, "first", "t", F.col("w").alias("hits"))
+
+    sure, undecided = _decide(asked.withColumn("node", F.col("t")), sides, d, "first")
+    found = [inside(sure)]
     if largest <= leaf:
-        found.append(compare(undecided.withColumn("node", F.col("t")), 0, "node"))
+        found.append(compare(undecided, points))
     else:
-        small = undecided.filter(F.col("t_m") <= leaf)
-        found.append(compare(small.withColumn("node", F.col("t")), 0, "node"))
+        found.append(compare(undecided.filter(F.col("m") <= leaf), points))
         rest, seen = _counted_stage(
-            undecided.filter(F.col("t_m") > leaf).withColumn("parent", F.col("t")),
-            "asked", n=F.count(F.lit(1)))
+            undecided.filter(F.col("m") > leaf), "asked", n=F.count(F.lit(1)))
         level = 1
         while seen["n"]:
-            nodes = _children(points, rest.select("g", "parent"), level, d).select(
-                "g", "parent", "node", F.col("n").alias("t_n"), F.col("m").alias("t_m"),
-                F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"))
-            step = rest.drop("t_n", "t_m", "t_lo", "t_hi").join(nodes, ["g", "parent"])
-            sure, undecided = decide(step.drop("parent"))
-            few = (F.col("t_m") <= leaf) if level < _MAX_LEVEL else F.lit(True)
-            found += [sure, compare(undecided.filter(few), level, "node")]
-            rest, seen = _counted_stage(
-                undecided.filter(~few).withColumnRenamed("node", "parent"),
-                "asked", n=F.count(F.lit(1)))
+            parts, points = _split(points, rest.select(*RUN, "node"), level, d)
+            step = rest.select(*RUN, "eps", "first", "t", *z, F.col("node").alias("parent")).join(
+                parts, [*RUN, "parent"]).drop("parent")
+            sure, undecided = _decide(step, sides, d, "first")
+            few = (F.col("m") <= leaf) if level < _MAX_LEVEL else F.lit(True)
+            found += [inside(sure), compare(undecided.filter(few), points)]
+            rest, seen = _counted_stage(undecided.filter(~few), "asked", n=F.count(F.lit(1)))
             level += 1
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("g", "first", "t").agg(F.sum("hits").alias("hits"))
+    return every.groupBy(*RUN, "first", "t").agg(F.sum("hits").alias("hits"))
 
 
 # --- cells against cells ---------------------------------------------------------------------
 
 def _touching(pairs: DataFrame, points: DataFrame, d: int, leaf: int, largest: int) -> DataFrame:
-    """Edges (g, u, v) between core cells that have core points within eps of each other.
+    """Edges (g, k, u, v) between core cells that have core points within eps of each other.
 
-    pairs: g, eps, u, v, a, b (cells) and for both sides lo, hi, m.
+    pairs: g, k, eps, u, v, a, b (the parts compared, first the cells themselves) and for both
+    sides m, lo*, hi*. points: the core points with the name of their core cell as node.
     """
-    sides = ("a_lo", "a_hi", "b_lo", "b_hi")
+    sides, edge = ("a_lo", "a_hi", "b_lo", "b_hi"), [*RUN, "u", "v"]
 
-    def decide(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-        boxed = frame.filter(f"{_near2(*sides, d)} <= eps * eps").withColumn(
-            "_inside", F.expr(f"{_far2(*sides, d)} <= eps * eps"))
-        return boxed.filter("_inside").select("g", "u", "v"), boxed.filter("NOT _inside").drop(
-            "_inside")
-
-    def compare(open_pairs: DataFrame, level: int) -> DataFrame:
-        leaves = points.select("g", "z", _cell_at(level, d).alias("node"))
-        a = leaves.select("g", F.col("z").alias("p"), F.col("node").alias("a"))
-        b = leaves.select("g", F.col("z").alias("q"), F.col("node").alias("b"))
-        return (
-            open_pairs.select("g", "eps", "u", "v", "a", "b").join(a, ["g", "a"])
-            .join(b, ["g", "b"])
-            .filter(f"{_distance2('p', 'q', d)} <= eps * eps")
-            .select("g", "u", "v").distinct()
-        )
+    def compare(rows: DataFrame, among: DataFrame) -> DataFrame:
+        a, b = [
+            among.select(*RUN, F.col("node").alias(s), *[F.col(f"z{i}").alias(f"{s}{i}")
+                                                         for i in range(d)]) for s in "ab"]
+        both = rows.select(*edge, "eps", "a", "b").join(a, [*RUN, "a"]).join(b, [*RUN, "b"])
+        return both.filter(f"{_distance2('a', 'b', d)} <= eps * eps").select(*edge)
 
     few = F.col("a_m") * F.col("b_m") <= leaf * leaf
-    sure, undecided = decide(pairs)
+    sure, undecided = _decide(pairs, sides, d, "u", "v")
+    found = [sure.select(*edge)]
     if largest <= leaf:
-        return sure.unionByName(compare(undecided, 0))
-    found = [sure, compare(undecided.filter(few), 0)]
+        return found[0].unionByName(compare(undecided, points))
+    found.append(compare(undecided.filter(few), points))
     rest, seen = _counted_stage(undecided.filter(~few), "cellpairs", n=F.count(F.lit(1)))
     level = 1
     while seen["n"]:
-        parents = rest.select("g", F.col("a").alias("parent")).unionByName(
-            rest.select("g", F.col("b").alias("parent")))
-        nodes = stage(_children(points, parents, level, d), "nodes")
-        step = rest.select("g", "eps", "u", "v", "a", "b")
-        for s in ("a", "b"):
-            side = nodes.select("g", F.col("parent").alias(s), F.col("node").alias(f"{s}_node"),
-                                F.col("m").alias(f"{s}_m"), F.col("lo").alias(f"{s}_lo"),
-                                F.col("hi").alias(f"{s}_hi"))
-            step = step.join(side, ["g", s]).drop(s).withColumnRenamed(f"{s}_node", s)
-        sure, undecided = decide(step)
-        sure = stage(sure.distinct(), "touch")
+        parents = rest.select(*RUN, F.col("a").alias("node")).unionByName(
+            rest.select(*RUN, F.col("b").alias("node")))
+        parts, points = _split(points, parents, level, d)
+        step = rest.select(*edge, "eps", "a", "b")
+        for s in "ab":
+            side = parts.select(*RUN, F.col("parent").alias(s), F.col("node").alias("_node"),
+                                *[F.col(c).alias(f"{s}_{c}") for c in ("m", *_bounds(d))])
+            step = step.join(side, [*RUN, s]).drop(s).withColumnRenamed("_node", s)
+        sure, undecided = _decide(step, sides, d, "u", "v")
+        sure = stage(sure.select(*edge).distinct(), "touch")
         # One touching pair of parts settles the whole cell pair.
-        undecided = undecided.join(sure, ["g", "u", "v"], "left_anti")
+        undecided = undecided.join(sure, edge, "left_anti")
         enough = few if level < _MAX_LEVEL else F.lit(True)
-        found += [sure, compare(undecided.filter(enough), level)]
+        found += [sure, compare(undecided.filter(enough), points)]
         rest, seen = _counted_stage(undecided.filter(~enough), "cellpairs", n=F.count(F.lit(1)))
         level += 1
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- the clustering --------------------------------------------------------------------------
 
 def cluster_labels(points: DataFrame, d: int, leaf: int = LEAF) -> DataFrame:
-    """Points (g, eps, min_samples, first, w, z) to (g, first, label).
+    """Points (g, k, eps, min_samples, first, w, z0..) to (g, k, first, label).
 
-    ``z`` is an array of ``d`` features, ``w`` the number of copies and ``first`` the row order of
-    the first copy, unique in g. ``label`` is the first core point of the cluster; noise is absent.
+    ``w`` is the number of copies and ``first`` the row order of the first copy, unique in a run.
+    ``label`` is the first core point of the cluster; noise is absent.
     """
-    keys = ["g", "eps", "min_samples"]
-    pts = stage(points.select(*keys, "first", "w", "z", _cell_at(0, d).alias("cell")), "points")
-    cells, size = _counted_stage(
-        pts.groupBy(*keys, "cell").agg(
-            F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), *_box(d)),
-        "cells", largest=F.max("m"))
+    keys, z = [*RUN, "eps", "min_samples"], _flat("z", d)
+    gridded = points.withColumn("cell", _cell_at(0, d))
+    cells, size = _counted_stage(gridded.groupBy(*keys, "cell").agg(*_summary(d)), "cells",
+                                 largest=F.max("m"))
     if not size["largest"]:
-        return pts.select("g", "first", F.col("first").alias("label"))
-    dense = F.col("n") >= F.col("min_samples")
+        return points.select(*RUN, "first", F.col("first").alias("label"))
+    pts = stage(gridded.join(cells.select(*RUN, "cell", "node"), [*RUN, "cell"]).drop("cell"),
+                "points")
 
     # Cell pairs within reach: neighbours on a coarse grid of up to three features.
     k, reach = min(3, d), math.ceil(math.sqrt(d)) + 1
-    coarse = [F.expr(f"floor(get(cell, {i}) / {reach})") for i in range(k)]
+    coarse = [f"_c{i}" for i in range(k)]
+    placed = cells.select(*keys, "node", "n", *_bounds(d), *[
+        F.expr(f"floor(get(cell, {i}) / {reach}) AS _c{i}") for i in range(k)])
     steps = F.expr("array(" + ", ".join(
         f"array({', '.join(map(str, o))})" for o in itertools.product((-1, 0, 1), repeat=k)) + ")")
-    kept = ["cell", "n", "m", "lo", "hi"]
-    left = cells.select(*keys, *[F.col(c).alias(f"a_{c}") for c in kept],
-                        F.explode(steps).alias("_step"),
-                        *[c.alias(f"_c{i}") for i, c in enumerate(coarse)])
-    left = left.withColumns({f"_c{i}": F.col(f"_c{i}") + F.get("_step", F.lit(i))
-                             for i in range(k)}).drop("_step")
-    right = cells.select("g", *[F.col(c).alias(f"b_{c}") for c in kept],
-                         *[c.alias(f"_c{i}") for i, c in enumerate(coarse)])
+    shown = ["node", "n", *_bounds(d)]
+    left = placed.repartition(parallelism(points.sparkSession), *RUN, "node").select(
+        *keys, *[F.col(c).alias(f"a_{c}") for c in shown], *coarse, F.explode(steps).alias("_step"))
+    left = left.withColumns({c: F.col(c) + F.get("_step", F.lit(i))
+                             for i, c in enumerate(coarse)}).drop("_step")
+    right = placed.select(*RUN, *coarse, *[F.col(c).alias(f"b_{c}") for c in shown])
     sides = ("a_lo", "a_hi", "b_lo", "b_hi")
-    pairs = stage(
-        left.join(right, ["g", *[f"_c{i}" for i in range(k)]])
-        .filter(F.col("a_cell") < F.col("b_cell"))
-        .filter(f"{_near2(*sides, d)} <= eps * eps")
-        .withColumn("full", F.expr(f"{_far2(*sides, d)} <= eps * eps"))
-        .drop(*[f"_c{i}" for i in range(k)]),
-        "pairs")
-    both = [("a", "b"), ("b", "a")]
+    meeting = left.join(right, [*RUN, *coarse]).drop(*coarse).filter("a_node < b_node")
+    pairs = stage(_within_reach(meeting, sides, d, "a_node", "b_node").select(
+        *keys, "a_node", "b_node", "a_n", "b_n", "full"), "pairs")
     near = reduce(DataFrame.unionByName, [
-        pairs.select("g", F.col(f"{s}_cell").alias("cell"), F.col(f"{s}_n").alias("_n"),
-                     "min_samples", "full", F.col(f"{t}_cell").alias("t"),
-                     *[F.col(f"{t}_{c}").alias(f"t_{c}") for c in kept[1:]])
-        for s, t in both
+        pairs.select(*RUN, "min_samples", "full", F.col(f"{s}_node").alias("node"),
+                     F.col(f"{s}_n").alias("_n"), F.col(f"{t}_node").alias("t"),
+                     F.col(f"{t}_n").alias("n"))
+        for s, t in (("a", "b"), ("b", "a"))
     ])
 
     # Cells settled without distances: all core, or too few rows in reach to hold a core point.
-    sums = near.filter(F.col("_n") < F.col("min_samples")).groupBy("g", "cell").agg(
-        F.sum(F.when(F.col("full"), F.col("t_n")).otherwise(0)).alias("_sure"),
-        F.sum("t_n").alias("_reach"))
+    sums = near.filter(F.col("_n") < F.col("min_samples")).groupBy(*RUN, "node").agg(
+        F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("_sure"),
+        F.sum("n").alias("_reach"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    need = F.col("min_samples")
     kinds = stage(
-        cells.join(sums, ["g", "cell"], "left").select(
-            "g", "cell", (F.col("n") + zero("_sure")).alias("sure"),
-            F.when(dense | (F.col("n") + zero("_sure") >= F.col("min_samples")), "all")
-            .when(F.col("n") + zero("_reach") < F.col("min_samples"), "none")
-            .otherwise("some").alias("kind")),
+        cells.join(sums, [*RUN, "node"], "left").select(
+            *RUN, "node", (F.col("n") + zero("_sure")).alias("sure"),
+            F.when(F.col("n") + zero("_sure") >= need, "all")
+            .when(F.col("n") + zero("_reach") < need, "none").otherwise("some").alias("kind")),
         "kinds")
-    sorted_pts = pts.join(kinds, ["g", "cell"])
-    open_pts = sorted_pts.filter("kind = 'some'")
-    asked = open_pts.select("g", "eps", "first", "z", "cell").join(
-        near.filter(~F.col("full")).drop("_n", "min_samples", "full"), ["g", "cell"]
-    ).drop("cell")
-    hits = _within(asked, pts, d, leaf, size["largest"]).groupBy("g", "first").agg(
+    kinded = pts.join(kinds, [*RUN, "node"])
+    asked = (
+        kinded.filter("kind = 'some'").select(*RUN, "eps", "first", *z, "node")
+        .join(near.filter(~F.col("full")).select(*RUN, "node", "t"), [*RUN, "node"]).drop("node")
+        .join(cells.select(*RUN, F.col("node").alias("t"), "n", "m", *_bounds(d)), [*RUN, "t"])
+    )
+    hits = _within(asked, pts, d, leaf, size["largest"]).groupBy(*RUN, "first").agg(
         F.sum("hits").alias("_hits"))
+    some = (F.col("kind") == "some") & (F.col("sure") + zero("_hits") >= need)
     judged = stage(
-        sorted_pts.join(hits, ["g", "first"], "left").withColumn(
-            "core",
-            (F.col("kind") == "all")
-            | ((F.col("kind") == "some")
-               & (F.col("sure") + zero("_hits") >= F.col("min_samples")))
-        ).select(*keys, "first", "w", "z", "cell", "core"),
+        kinded.join(hits, [*RUN, "first"], "left").select(
+            *keys, "first", "w", *z, "node", ((F.col("kind") == "all") | some).alias("core")),
         "judged")
 
-    # Core cells are the nodes; a node is named by its first core point.
-    core_pts = judged.filter("core")
+    # Core cells are the nodes of the graph, each named by its first core point.
+    in_core = judged.filter("core").withColumnRenamed("node", "cell")
     core_cells, core_size = _counted_stage(
-        core_pts.groupBy("g", "cell", "eps").agg(
-            F.min("first").alias("node"), F.sum("w").alias("n"),
-            F.count(F.lit(1)).alias("m"), *_box(d)),
-        "corecells", largest=F.max("m"))
-    linked = pairs.select("g", "eps", F.col("a_cell").alias("a"), F.col("b_cell").alias("b"))
-    for s, node in (("a", "u"), ("b", "v")):
-        linked = linked.join(
-            core_cells.select("g", F.col("cell").alias(s), F.col("node").alias(node),
-                              *[F.col(c).alias(f"{s}_{c}") for c in ("m", "lo", "hi")]),
-            ["g", s])
+        in_core.groupBy(*RUN, "eps", "cell").agg(*_summary(d)), "corecells", largest=F.max("m"))
     largest = core_size["largest"] or 0
-    labels = component_labels(_touching(linked, core_pts, d, leaf, largest))
-    owned = core_cells.join(labels, ["g", "node"], "left").withColumn(
+    core_pts = in_core.join(core_cells.select(*RUN, "cell", "node"), [*RUN, "cell"]).select(
+        *RUN, "eps", "node", "first", "w", *z)
+    linked = pairs.select(*RUN, "eps", *[F.col(f"{s}_node").alias(s) for s in "ab"])
+    for s, node in (("a", "u"), ("b", "v")):
+        side = core_cells.select(*RUN, F.col("cell").alias(s), F.col("node").alias(node),
+                                 *[F.col(c).alias(f"{s}_{c}") for c in ("m", *_bounds(d))])
+        linked = linked.join(side, [*RUN, s]).drop(s)
+    linked = linked.withColumns({"a": F.col("u"), "b": F.col("v")})
+    labels = component_labels(_touching(linked, core_pts, d, leaf, largest), RUN)
+    owned = core_cells.join(labels, [*RUN, "node"], "left").withColumn(
         "label", F.coalesce("label", "node"))
 
     # Border points: lowest label among the core cells within eps.
-    reachable = near.select("g", "cell", "t").unionByName(
-        cells.select("g", "cell", F.col("cell").alias("t")))
-    targets = owned.select("g", F.col("cell").alias("t"), "label",
-                           *[F.col(c).alias(f"t_{c}") for c in ("n", "m", "lo", "hi")])
+    reachable = near.select(*RUN, F.col("node").alias("cell"), F.col("t").alias("target")).unionByName(
+        cells.select(*RUN, F.col("node").alias("cell"), F.col("node").alias("target")))
+    targets = owned.select(*RUN, F.col("cell").alias("target"), F.col("node").alias("t"), "n", "m",
+                           *_bounds(d))
     asking = (
-        judged.filter("not core").select("g", "eps", "first", "z", "cell")
-        .join(reachable, ["g", "cell"]).drop("cell")
-        .join(targets.drop("label"), ["g", "t"])
+        judged.filter("not core").select(*RUN, "eps", "first", *z, F.col("node").alias("cell"))
+        .join(reachable, [*RUN, "cell"]).join(targets, [*RUN, "target"]).drop("cell", "target")
     )
+    named = owned.select(*RUN, F.col("node").alias("t"), "label")
     border = (
-        _within(asking, core_pts, d, leaf, largest)
-        .join(targets.select("g", "t", "label"), ["g", "t"])
-        .groupBy("g", "first").agg(F.min("label").alias("label"))
+        _within(asking, core_pts, d, leaf, largest).join(named, [*RUN, "t"])
+        .groupBy(*RUN, "first").agg(F.min("label").alias("label"))
     )
-    inner = core_pts.select("g", "cell", "first").join(
-        owned.select("g", "cell", "label"), ["g", "cell"]).select("g", "first", "label")
+    inner = core_pts.select(*RUN, "first", F.col("node").alias("t")).join(
+        named, [*RUN, "t"]).select(*RUN, "first", "label")
     return inner.unionByName(border)
 
 
@@ -343,50 +349,45 @@ def dbscan(
     Returns the input rows once per setting with ``eps``, ``min_samples`` and ``cluster`` (-1 =
     noise). ``cluster`` is NULL for rows that take no part: a NULL dimension, a non-positive one
     when these are dropped, or, with ``min_rows_from_config``, a group with fewer usable rows than
-    ``min_samples``. Group keys must not be NULL; ``order`` is a unique bigint row order.
+    ``min_samples``. Group keys must not be NULL; ``order`` is a bigint row order, unique in df.
     """
     spark = df.sparkSession
     keys, dims = list(keys), list(dims)
     usable = df.na.drop(subset=dims)
     if drop_nonpositive:
         usable = usable.filter(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in dims]))
-    rows = usable.select(F.struct(*keys).alias("g0") if keys else F.lit(0).alias("g0"),
-                         F.col(order).cast("bigint").alias("_order"), *dims)
+    rows = usable.select(*keys, F.col(order).cast("bigint").alias("_order"),
+                         *[F.col(c).cast("double").alias(c) for c in dims])
     featured, names = add_features(rows, settings, dims)
-    scaled = standardized(featured, ["g0"], names)
+    scaled = standardized(featured, keys, names)
+    z = _flat("z", len(names))
     weighted = stage(
-        scaled.groupBy("g0", *dims).agg(
+        scaled.groupBy(*keys, *dims).agg(
             F.count(F.lit(1)).alias("w"), F.min("_order").alias("first"),
-            *[F.first(f"z_{c}").alias(f"z_{c}") for c in names]
-        ).select("g0", *dims, "w", "first",
-                 F.array(*[F.col(f"z_{c}") for c in names]).alias("z")),
+            *[F.first(f"z_{c}").alias(z[i]) for i, c in enumerate(names)]),
         "scaled")
-    sizes = weighted.groupBy("g0").agg(F.sum("w").alias("rows"))
     grid = spark.createDataFrame(
-        [(float(e), int(m)) for e, m in configs], "eps double, min_samples int")
-    runs = sizes.crossJoin(grid)  # groups x the handful of settings
+        [(k, float(e), int(m)) for k, (e, m) in enumerate(configs)],
+        "k int, eps double, min_samples int")
+    groups = weighted.groupBy(*keys).agg(F.min("first").alias("g"), F.sum("w").alias("_rows"))
+    runs = groups.crossJoin(grid)  # groups x the handful of settings
     if min_rows_from_config:
-        runs = runs.filter(F.col("rows") >= F.col("min_samples"))
-    runs = runs.select("g0", "eps", "min_samples", F.struct("g0", "eps", "min_samples").alias("g"))
-    points = weighted.join(runs, "g0").select("g", "eps", "min_samples", "first", "w", "z")
-    labels = stage(cluster_labels(points, len(names), leaf), "labels")
+        runs = runs.filter(F.col("_rows") >= F.col("min_samples"))
+    runs = runs.drop("_rows")
+    in_runs = weighted.join(runs, keys) if keys else weighted.crossJoin(runs)
+    labels = stage(cluster_labels(
+        in_runs.select(*RUN, "eps", "min_samples", "first", "w", *z), len(names), leaf), "labels")
     numbers = running_number(
-        labels.select("g", "label").distinct(), ["g"], "label", id_bucket("label"), "_number")
-    numbered = (
-        labels.join(numbers, ["g", "label"])
-        .select("g", "first", (F.col("_number") - 1).cast("int").alias("cluster"))
-    )
-    marked = (
-        weighted.join(runs, "g0").join(numbered, ["g", "first"], "left")
-        .select("g0", *[F.col(c).alias(f"_{c}") for c in dims], "eps", "min_samples",
-                F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    )
+        labels.select(*RUN, "label").distinct(), RUN, "label", id_bucket("label"), "_number")
+    numbered = labels.join(numbers, [*RUN, "label"]).select(
+        *RUN, "first", (F.col("_number") - 1).cast("int").alias("cluster"))
+    marked = in_runs.join(numbered, [*RUN, "first"], "left").select(
+        *[F.col(c).alias(f"_{c}") for c in [*keys, *dims]], F.col("k").alias("_k"),
+        F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     every = df.crossJoin(grid)
-    same = (F.struct(*keys) if keys else F.lit(0)) == marked["g0"]
-    on = [same, every["eps"] == marked["eps"], every["min_samples"] == marked["min_samples"]]
-    on += [every[c].cast("double") == marked[f"_{c}"].cast("double") for c in dims]
-    return every.join(marked, reduce(lambda a, b: a & b, on), "left").select(
-        *[every[c] for c in df.columns], every["eps"], every["min_samples"], marked["cluster"])
+    on = [F.col("k") == F.col("_k"), *[F.col(c) == F.col(f"_{c}") for c in keys],
+          *[F.col(c).cast("double") == F.col(f"_{c}") for c in dims]]
+    return every.join(marked, on, "left").select(*df.columns, "eps", "min_samples", "cluster")
 
 
 def noise_flag(cluster: Column | str = "cluster") -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,33 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+# Methods above 8000 bytes of bytecode are never compiled by the JVM's JIT. Plans with many
+# numeric columns pass that easily and then run interpreted, ten times slower or worse.
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+_JIT_BYTES = "8000"
+
+
+@contextmanager
+def compiled_plans(spark: SparkSession) -> Iterator[None]:
+    """Let Spark split up generated methods the JIT would refuse, while the block runs."""
+    before = spark.conf.get(_METHOD_LIMIT)
+    spark.conf.set(_METHOD_LIMIT, _JIT_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_METHOD_LIMIT, before)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with compiled_plans(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks for work that is heavy on small tables: all cores, or the shuffle setting if larger."""
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
