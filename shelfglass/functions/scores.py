@@ -117,37 +117,28 @@ def price_score(own: Column, other: Column, config: dict[str, float] | None = No
 def gram_features(value: Column) -> Column:
     """Struct of distinct grams, the few grams that repeat with their counts, and Σ count².
 
-    Texts whose normalised form is shorter than two characters get no grams. Counts come from
-    run lengths of the sorted grams, so the cost is n log n in the length of the text.
+    Texts whose normalised form is shorter than two characters get no grams. Repeats stand next
+    to each other in the sorted grams, so the cost is n log n in the length of the text.
     """
     text = T.normalize_text(F.coalesce(value.cast("string"), F.lit("")))
     no_grams = F.array().cast("array<string>")
 
     def counted(grams: Column) -> Column:
-        n = F.size(grams)
-        positions = F.filter(
-            F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i == 0) | (F.get(grams, i) != F.get(grams, F.greatest(i - 1, F.lit(0)))),
-        )
-        return let(
-            positions,
-            lambda starts: let(
-                F.transform(
-                    starts,
-                    lambda s, k: F.struct(
-                        F.get(grams, s).alias("gram"),
-                        (F.coalesce(F.get(starts, k + 1), n) - s).alias("n"),
-                    ),
-                ),
-                lambda runs: F.struct(
-                    runs["gram"].alias("grams"),
-                    F.filter(runs, lambda r: r["n"] > 1).alias("repeats"),
-                    F.aggregate(
-                        runs, F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"] * r["n"]
-                    ).alias("square"),
-                ),
-            ),
-        )
+        extra = F.filter(grams, lambda g, i: g == F.get(grams, i + 1))
+
+        def repeats(more: Column) -> Column:
+            count = lambda g: F.size(F.filter(more, lambda m: m == g)) + 1
+            return F.transform(F.array_distinct(more), lambda g: F.struct(
+                g.alias("gram"), count(g).alias("n")))
+
+        def summary(distinct: Column, again: Column) -> Column:
+            square = F.aggregate(again, F.size(distinct).cast("bigint"),
+                                 lambda acc, r: acc + r["n"] * r["n"] - 1)
+            return F.struct(distinct.alias("grams"), again.alias("repeats"),
+                            square.alias("square"))
+
+        return let(F.array_distinct(grams), lambda distinct: let(
+            let(extra, repeats), lambda again: summary(distinct, again)))
 
     return let(
         F.when(F.length(text) >= 2, F.array_sort(T.text_grams(text))).otherwise(no_grams), counted

@@ -381,13 +381,19 @@ def dbscan(
         labels.select(*RUN, "label").distinct(), RUN, "label", id_bucket("label"), "_number")
     numbered = labels.join(numbers, [*RUN, "label"]).select(
         *RUN, "first", (F.col("_number") - 1).cast("int").alias("cluster"))
-    marked = in_runs.join(numbered, [*RUN, "first"], "left").select(
-        *[F.col(c).alias(f"_{c}") for c in [*keys, *dims]], F.col("k").alias("_k"),
-        F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    every = df.crossJoin(grid)
-    on = [F.col("k") == F.col("_k"), *[F.col(c) == F.col(f"_{c}") for c in keys],
+    # One entry per setting and point: rows are joined once, then repeated per setting.
+    entry = F.struct(F.col("k"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    found = in_runs.join(numbered, [*RUN, "first"], "left").groupBy(*keys, *dims).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_clusters"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *dims]], "_clusters")
+    on = [*[F.col(c) == F.col(f"_{c}") for c in keys],
           *[F.col(c).cast("double") == F.col(f"_{c}") for c in dims]]
-    return every.join(marked, on, "left").select(*df.columns, "eps", "min_samples", "cluster")
+    setting = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(float(e)).alias("eps"), F.lit(int(m)).alias("min_samples"))
+        for k, (e, m) in enumerate(configs)]))
+    every = df.join(found, on, "left").select(*df.columns, "_clusters", setting.alias("_s"))
+    return every.select(*df.columns, "_s.eps", "_s.min_samples",
+                        F.try_element_at("_clusters", F.col("_s.k")).alias("cluster"))
 
 
 def noise_flag(cluster: Column | str = "cluster") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfglass.functions.display import to_number
+from shelfglass.staging import stage
 
 # Accepted header names and the column each one stands for.
 HEADER_NAMES = {
@@ -53,6 +54,11 @@ def load_products(spark: SparkSession, path: str) -> DataFrame:
     return standardise(read_file(spark, path))
 
 
+def with_row_order(rows: DataFrame, name: str = "row_order") -> DataFrame:
+    """Rows with a unique number in file order, written out so that it stays the same."""
+    return stage(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def filtered(rows: DataFrame, categories, brands=None, types=None) -> DataFrame:
     """Rows of the chosen categories, and brands and types where chosen; none below four rows."""
     if not categories:

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_written: list[str] = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -53,6 +54,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     with compiled_plans(spark):
         df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,3 +62,13 @@ def parallelism(spark: SparkSession) -> int:
     """Tasks for work that is heavy on small tables: all cores, or the shuffle setting if larger."""
     return max(spark.sparkContext.defaultParallelism,
                int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables this process staged. Call it only when no result reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped

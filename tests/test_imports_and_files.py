@@ -101,6 +101,15 @@ def test_product_file_headers(spark, tmp_path):
         P.filtered(rows, [])
 
 
+def test_row_order_and_dropped_stages(spark):
+    from shelfglass.staging import drop_stages
+
+    drop_stages(spark)
+    rows = P.with_row_order(spark.range(100).repartition(5))
+    assert rows.select("row_order").distinct().count() == 100
+    assert drop_stages(spark) == 1
+
+
 def test_few_rows_give_nothing(spark):
     df = spark.createDataFrame([("c", "b")] * 3, "Category string, Brand string")
     assert P.filtered(df, ["c"]).count() == 0
