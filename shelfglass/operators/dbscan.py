@@ -394,8 +394,3 @@ def dbscan(
     every = df.join(found, on, "left").select(*df.columns, "_clusters", setting.alias("_s"))
     return every.select(*df.columns, "_s.eps", "_s.min_samples",
                         F.try_element_at("_clusters", F.col("_s.k")).alias("cluster"))
-
-
-def noise_flag(cluster: Column | str = "cluster") -> Column:
-    """True for noise, NULL for rows that took no part."""
-    return (F.col(cluster) if isinstance(cluster, str) else cluster) == -1

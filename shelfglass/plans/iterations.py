@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfglass.functions.display import (
     cluster_label, cluster_number, join_brands, percent, stamp_text, status_text,
 )
-from shelfglass.functions.predicates import all_of, any_of, equals, measured, not_skipped
+from shelfglass.functions.predicates import all_of, equals, measured, not_skipped
 from shelfglass.operators.joins import latest_by
 from shelfglass.operators.keyed import (
     append_with_ids, apply_updates, delete_keys, delete_where, marked, set_where,

@@ -484,9 +484,6 @@ def apply_recalculation(scores: DataFrame, new: DataFrame) -> DataFrame:
 
 # --- decisions -------------------------------------------------------------------------------
 
-REVIEW_FIELDS = ("review_status", "competitor_product_id", "matched_date")
-
-
 def reset_review(products: DataFrame, ids: DataFrame) -> DataFrame:
     """Clear the chosen offer of products about to be scored again."""
     hit = marked(products, ids, ["product_id"], "_hit")
@@ -514,9 +511,10 @@ def apply_decisions(products: DataFrame, competitors: DataFrame, decisions: Data
     """
     of_product = decisions.join(
         competitors.select("competitor_product_id", "system_product_id"), "competitor_product_id")
+    status = F.lit(DECISIONS["pending"])
+    for name in ("approved", "rejected"):
+        status = F.when(F.col("decision") == name, DECISIONS[name]).otherwise(status)
     decided = F.col("decision").isin("approved", "rejected")
-    status = F.when(F.col("decision") == "approved", 1).when(
-        F.col("decision") == "rejected", 2).otherwise(0)
     base = apply_updates(products, of_product.select(
         "system_product_id", status.alias("review_status")), ["system_product_id"])
     return apply_updates(base, of_product.filter(decided).select(

@@ -78,9 +78,6 @@ def bounds_per_multiplier(t):
     return rounded(O.iqr_bounds(analysed(t), ["category"], multipliers=MULTIPLIERS), O.bound_columns())
 
 
-SMALL_GROUPS = ANALYSED + " AND group_id = 1"
-
-
 @query("X03_type_bounds_per_population", f"""
 SELECT p.product_id, coalesce(b.n, 0) AS n, {", ".join(f"round(coalesce(b.{d}_lower, 0), 6) AS {d}_lower, round(coalesce(b.{d}_upper, 0), 6) AS {d}_upper" for d in DIMS)}
 FROM (SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q) p

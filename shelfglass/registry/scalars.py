@@ -49,9 +49,6 @@ def sql_items(x: str) -> str:
     return f"list_filter(list_transform(string_split(trim(coalesce({x}, '')), ';'), lambda s: lower(trim(s))), lambda s: s <> '')"
 
 
-TEXT_ID = "doc_id"
-
-
 @query("F01_normalize_text", f"SELECT doc_id, md5({sql_normal('text')}) AS normal FROM documents")
 def normalize_text(t):
     return t.documents.select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))

@@ -90,8 +90,10 @@ def _split(base: DataFrame, rows: DataFrame, identity: Sequence[str], order: str
     position = order or "_position"
     if order is None:
         keyed = keyed.withColumn(position, F.monotonically_increasing_id())
-    unique = first_per_key(keyed.filter(known), keys, position)
-    return keyed_base, unique.unionByName(keyed.filter(~known)).drop("_position"), keys
+    # A row without an identity stands alone under its position, so one aggregate does both.
+    keyed = keyed.withColumn("_alone", F.when(~known, F.col(position)))
+    unique = first_per_key(keyed, [*keys, "_alone"], position)
+    return keyed_base, unique.drop("_alone", "_position"), keys
 
 
 def run_import(base: DataFrame, rows: DataFrame, mode: str, identity: Sequence[str] = (),

@@ -25,9 +25,13 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.url_decode(name).alias("file")).distinct().orderBy("file")
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted fields may span lines."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_file(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text; quoted fields may span lines.
+
+    Spark reads such a file in one task. Pass ``multi_line=False`` for large files known to hold
+    one record per line: they are split over the cluster.
+    """
+    return spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
 
 
 def standardise(raw: DataFrame) -> DataFrame:
@@ -50,8 +54,8 @@ def standardise(raw: DataFrame) -> DataFrame:
     return df.na.drop(subset=list(DIMENSIONS))
 
 
-def load_products(spark: SparkSession, path: str) -> DataFrame:
-    return standardise(read_file(spark, path))
+def load_products(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return standardise(read_file(spark, path, multi_line))
 
 
 def with_row_order(rows: DataFrame, name: str = "row_order") -> DataFrame:

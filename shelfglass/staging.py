@@ -59,9 +59,8 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def parallelism(spark: SparkSession) -> int:
-    """Tasks for work that is heavy on small tables: all cores, or the shuffle setting if larger."""
-    return max(spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Tasks for work that is heavy on small tables: one per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
 
 
 def drop_stages(spark: SparkSession) -> int:

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from shelfglass.operators.components import component_labels
 from shelfglass.operators.dbscan import add_features, chosen_settings, dbscan

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from shelfglass.operators import outliers as O
 from shelfglass.operators.numbering import id_bucket, running_number
