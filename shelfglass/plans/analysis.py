@@ -13,8 +13,10 @@ from shelfglass.operators import outliers as O
 from shelfglass.operators.dbscan import dbscan
 from shelfglass.operators.joins import null_safe_join
 from shelfglass.operators.numbering import running_number, text_bucket
+from shelfglass.plans.iterations import ids_by_final_status
 from shelfglass.plans.products import (
-    basic_groups, category_progress, products_for_sweep, work_groups,
+    basic_groups, category_progress, products_by_ids, products_filtered, products_for_sweep,
+    work_groups,
 )
 
 IQR, DBSCAN = "IQR", "DBSCAN"
@@ -68,6 +70,17 @@ def label_outliers(
     return rows.withColumn("is_outlier_combined", combine_flags(flags, combine))
 
 
+def population(products: DataFrame, items: DataFrame, group_id: int, mode: str = "all",
+               iteration_id: int | None = None, brands=None, category=None, types=None
+               ) -> DataFrame:
+    """Rows of a run: 'all' the filtered products, 'pending' those a saved run left undecided."""
+    if mode == "all":
+        return products_filtered(products, group_id, brands, category, types)
+    if mode != "pending":
+        raise ValueError("mode is 'all' or 'pending'")
+    return products_by_ids(products, ids_by_final_status(items, iteration_id, None))
+
+
 def run_statistics(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return O.outlier_totals(labelled, "is_outlier_combined", keys)
 

@@ -116,6 +116,7 @@ def main_page(products: DataFrame, items: DataFrame, iterations: DataFrame, grou
     return displayed(rows.join(lists, "system_product_id", "left"))
 
 
+# Export columns and their titles, in file order.
 EXPORT_COLUMNS = {
     "system_product_id": "Product ID", "qb_code": "QB Code", "brand": "Brand",
     "category": "Category", "product_type": "Product Type", "name": "Name", "height": "Height",

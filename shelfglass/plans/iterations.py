@@ -246,6 +246,28 @@ def delete_matching_runs(iterations: DataFrame, items: DataFrame, **filters
     return delete_runs(iterations, items, gone)
 
 
+def save_run(iterations: DataFrame, items: DataFrame, header: DataFrame, found: DataFrame,
+             **same) -> tuple[DataFrame, DataFrame]:
+    """Replace the runs with the parameters ``same`` by a new one: its header and its items.
+
+    Item ids are left NULL for the table to assign.
+    """
+    kept, kept_items = delete_matching_runs(iterations, items, **same) if same else (
+        iterations, items)
+    saved = save_header(kept, header)
+    newest = saved.agg(F.max("iteration_id").alias("iteration_id"))
+    new_items = found.crossJoin(newest)  # one row by construction
+    return saved, kept_items.unionByName(
+        new_items.select(*[c for c in new_items.columns if c in items.columns]),
+        allowMissingColumns=True)
+
+
+def refresh_products(products: DataFrame, items: DataFrame, ids: DataFrame,
+                     stamp: Column | None = None) -> DataFrame:
+    """Statuses of the given products from the average over all their saved items."""
+    return update_status_fields(products, averaged_status(items, ids), stamp)
+
+
 RESET_FIELDS = ("final_status", "dbs_status", "analyzed_date", "eps", "sample")
 ANALYSIS_FIELDS = ("iqr_status", "iqr_height_status", "iqr_width_status", "iqr_depth_status",
                    "dbs_status", "final_status", "outlier_mode", "iteration_closed",

@@ -528,6 +528,42 @@ def result_rows(t):
         "iteration_number", "outlier_mode")
 
 
+SMALL_3 = f"SELECT * FROM fx_product p WHERE {MEASURED} AND {KEPT} AND group_id = 3 AND category = 'SMALL'"
+SAVED_ITEMS = f"""saved AS (SELECT system_product_id, iteration_id, status, outlier_mode FROM fx_iteration_item WHERE iteration_id NOT IN
+    (SELECT iteration_id FROM fx_iteration WHERE product_group_id = 3 AND category = 'SMALL' AND eps = 1.0 AND sample = 4)
+  UNION ALL SELECT p.system_product_id, (SELECT max(iteration_id) FROM fx_iteration WHERE NOT (product_group_id = 3 AND category = 'SMALL' AND eps = 1.0 AND sample = 4)) + 1,
+    CAST(CASE WHEN n.noise THEN 0 ELSE 1 END AS INT), CAST(CASE WHEN n.noise THEN 0 END AS INT) FROM ({SMALL_3}) p JOIN noise n ON n.id = p.product_id),
+vote AS (SELECT system_product_id, avg(status) AS s, avg(outlier_mode) AS m FROM saved WHERE system_product_id IN
+  (SELECT p.system_product_id FROM ({SMALL_3}) p JOIN noise n ON n.id = p.product_id) GROUP BY system_product_id)"""
+
+
+def saved_run(t):
+    rows = A.population(t.fx_product, t.fx_iteration_item, 3, category="SMALL")
+    labelled = A.label_outliers(rows, [], ["DBSCAN"])
+    header = A.run_header(labelled, P.header_counts(t.fx_product, 3, category="SMALL"), 3, "SMALL", 1.0, 4, "run-9")
+    found = A.run_items(labelled)
+    _, after = I.save_run(t.fx_iteration, t.fx_iteration_item, header, found, group_id=3, category="SMALL", eps=1.0, sample=4)
+    return found, after
+
+
+@query("X12_saved_run_items", f"""
+WITH {C.points(SMALL_3, "1")}, {C.noise()}, {SAVED_ITEMS} SELECT iteration_id, status, outlier_mode, count(*) AS n FROM saved GROUP BY iteration_id, status, outlier_mode""")
+def saved_run_items(t):
+    return saved_run(t)[1].groupBy("iteration_id", "status", "outlier_mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("X20_refreshed_products", f"""
+WITH {C.points(SMALL_3, "1")}, {C.noise()}, {SAVED_ITEMS}
+SELECT p.product_id, CAST(CASE WHEN v.s IS NULL THEN p.dbs_status WHEN v.s >= 0.5 THEN 1 ELSE 0 END AS INT) AS dbs_status,
+  CAST(CASE WHEN v.s IS NULL THEN p.final_status WHEN v.m >= 0.5 THEN 0 WHEN v.s >= 0.5 THEN 1 ELSE 0 END AS INT) AS final_status,
+  CAST(CASE WHEN v.s IS NULL THEN p.outlier_mode WHEN v.m >= 0.5 THEN 1 END AS INT) AS outlier_mode
+FROM fx_product p LEFT JOIN vote v ON v.system_product_id = p.system_product_id""")
+def refreshed_products(t):
+    found, after = saved_run(t)
+    return I.refresh_products(graded(t), after, found.select("system_product_id"), stamp()).select(
+        "product_id", "dbs_status", "final_status", "outlier_mode")
+
+
 @query("U20_swapped_dimensions", """
 SELECT product_id, CASE WHEN category = 'SMALL' THEN width ELSE height END AS height,
   CASE WHEN category = 'SMALL' THEN height ELSE width END AS width FROM fx_product""")

@@ -346,10 +346,7 @@ SELECT CAST(1 AS INT) AS product_group_id, 'DBSCAN' AS algorithm, CAST(NULL AS V
   (SELECT count(*) - count(final_status) FROM fx_product WHERE group_id = 1 AND category = 'SMALL' AND {MEASURED}) AS pending_items,
   count(*) FILTER (noise) AS outlier_items FROM noise""")
 def run_header_of_pending(t):
-    from shelfglass.plans.iterations import ids_by_final_status
-
-    ids = ids_by_final_status(t.fx_iteration_item, 3, None)
-    rows = t.fx_product.join(ids, "system_product_id", "left_semi")
+    rows = A.population(t.fx_product, t.fx_iteration_item, 1, "pending", 3)
     labelled = A.label_outliers(rows, [], ["DBSCAN"], 1.5, 3)
     return A.run_header(labelled, P.header_counts(t.fx_product, 1, category="SMALL"), 1, "SMALL", 1.5, 3, "run-9")
 

@@ -93,6 +93,7 @@ def slice_of(results: DataFrame, brand: str, category: str, final_status: str) -
                           & (F.col("final_status") == final_status))
 
 
+# Descriptive columns of a sweep file and their titles, in file order.
 SWEEP_FIXED = {
     "system_product_id": "System Product Id", "qb_code": "QB Code", "brand": "Brand",
     "category": "Category", "product_type": "Product Type", "name": "Name",
