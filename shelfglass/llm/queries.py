@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from shelfglass.llm import secret_scan  # noqa: F401
+from shelfglass.llm import packing, secret_scan, token_counts, toxicity  # noqa: F401
 from shelfglass.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
