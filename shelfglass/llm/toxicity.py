@@ -1,9 +1,10 @@
 """Toxicity of documents by maximum-scoring segments over token log-odds.
 
-1. Tokens of a bounded sample of toxic documents are candidates of the lexicon.
+1. Tokens of a bounded sample of toxic documents, and their first letters, are candidates of the
+   lexicon.
 2. Their document counts in the whole corpus are the Dirichlet prior of their log-odds between
-   toxic and clean sample documents; significant ones keep their log-odds, any other token
-   costs the (negative) log-odds of the rest.
+   toxic and clean sample documents. A token scores the lower confidence bound of its log-odds
+   where that is clearly positive; any other token costs the (negative) log-odds of the rest.
 3. One linear scan per document (Ruzzo and Tompa) finds all maximal scoring segments.
 4. Segments are rated against chance by the extreme-value law E = K n exp(-lambda S), whose
    parameters come from clean documents, and a document's evidence, the sum of -ln E over its
@@ -28,12 +29,37 @@ from shelfglass.staging import stage
 
 #: Bounds of the fit: labelled rows for the lexicon and for the calibration, lexicon candidates.
 LEXICON_ROWS, CALIBRATION_ROWS, MOST_TERMS = 40_000, 20_000, 1 << 16
-#: Weight of the corpus prior, in documents; least deviations from zero; significant E-values.
-PRIOR_DOCS, LEAST_Z, LEAST_DOCS, MOST_E = 50.0, 3.0, 3, 0.5
+#: Weight of the corpus prior, in documents; standard deviations taken off the log-odds; the
+#: least score of a term and toxic documents it occurs in; the largest significant E-value.
+PRIOR_DOCS, DEVIATIONS, LEAST_SCORE, LEAST_DOCS, MOST_E = 50.0, 1.96, 1.0, 3, 0.5
+#: Letters of the prefixes that stand for all words beginning with them.
+PREFIXES = (4, 5)
+#: Entries of the cache of word scores of a worker.
+_MOST_WORDS = 500_000
 
 _words = re.compile(r"\w+").findall
 
 
+def features(word: str) -> list[str]:
+    """The word, and its prefixes marked with a star."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+
+
+class _Scores(dict):
+    """Word to the best score of its features; None without one."""
+
+    def __init__(self, terms: dict[str, float]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: str) -> float | None:
+        found = [self.terms[f] for f in features(word) if f in self.terms]
+        if len(self) > _MOST_WORDS:
+            self.clear()
+        best = self[word] = max(found, default=None)
+        return best
+
+
 def fold(key: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5
@@ -93,7 +119,7 @@ def _toxic_terms(toxic: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                counts.update(set(_words((t or "").lower())))
+                counts.update({f for w in set(_words((t or "").lower())) for f in features(w)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
                 ["term", "n"])
@@ -113,7 +139,8 @@ def _corpus_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                 strict=True):
                 words = _words((t or "").lower())
-                ids = np.array(list(set(map(number.get, words, repeat(len(terms))))), np.int64)
+                seen = {f for w in set(words) for f in features(w)}
+                ids = np.array(list(set(map(number.get, seen, repeat(len(terms))))), np.int64)
                 every[ids] += 1
                 docs_n, tokens = docs_n + 1, tokens + len(words)
                 if toxic == 0:
@@ -150,14 +177,15 @@ def fit_lexicon(docs: DataFrame, sample: DataFrame) -> Lexicon:
         return np.log((y + prior) / np.maximum(n + PRIOR_DOCS - y - prior, 0.5))
 
     delta = odds(toxic, n_toxic) - odds(clean, n_clean)
-    z = delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    keep = (z >= LEAST_Z) & (delta > 0)
+    delta -= DEVIATIONS * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+    keep = delta >= LEAST_SCORE
     # The rest of the tokens: their share of a toxic and of a clean document of mean length.
     length = max(1.0, clean_tokens / n_clean)
     share = [1 - min(0.9, x[keep].sum() / n / length) for x, n in ((toxic, n_toxic),
                                                                    (clean, n_clean))]
-    rest = min(-0.005, float(np.log(share[0] / share[1])))
     rate = (clean[keep] + prior[keep]) / (n_clean + PRIOR_DOCS) / length
+    # Clean text must drift down, or segments would grow without end.
+    rest = min(-0.005, float(np.log(share[0] / share[1])), -2 * float(rate @ delta[keep]))
     return Lexicon({t: float(d) for t, d, k in zip(terms, delta, keep, strict=True) if k}, rest,
                    _decay(delta[keep], rate, rest))
 
@@ -168,12 +196,12 @@ def find_segments(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-        terms, names = lexicon.terms, ("start", "end", "score")
+        known, names = _Scores(lexicon.terms), ("start", "end", "score")
         for batch in batches:
             sizes, segments = [], []
             for t in batch.column(1).to_pylist():
                 words = _words((t or "").lower())
-                scores = list(map(terms.get, words))
+                scores = list(map(known.__getitem__, words))
                 places = [i for i, s in enumerate(scores) if s is not None]
                 sizes.append(len(words))
                 segments.append([dict(zip(names, x, strict=True)) for x in maximal_segments(
