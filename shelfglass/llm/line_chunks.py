@@ -18,9 +18,9 @@ from shelfglass.staging import stage
 #: One line in ``MEAN_LINES`` ends a chunk; words that make a line a paragraph.
 MEAN_LINES, LONG_WORDS = 3, 50
 
-# A word, and text with words on two lines.
+# A word, and text with words on two lines (anchored, so that it is tried once).
 _WORD = r"[^\x20\x09-\x0D]+"
-_TWO_LINES = r"[^\x20\x09-\x0D][^\n]*\n[\x20\x09-\x0D]*[^\x20\x09-\x0D]"
+_TWO_LINES = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D][^\n]*\n[\x20\x09-\x0D]*[^\x20\x09-\x0D]"
 # Marks between chunks. The text's own marks are escaped first, so they cannot be mistaken.
 _MARK, _ESCAPE = "\x01", "\x02"
 

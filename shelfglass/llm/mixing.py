@@ -96,12 +96,28 @@ def _shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def _fill(part: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a source's cut block, in hash order, while they fit into what is left."""
+    """Rows of a source's cut block that fit into what is left.
+
+    They are taken in hash order; then, while that comes nearer, a row taken gives way to a larger
+    one that was not.
+    """
     part = part.sort_values(["hash", "size"], kind="stable")
-    left, taken = part["left"].iloc[0], []
-    for words in part["words"]:
-        taken.append(words <= left)
-        left -= words if taken[-1] else 0
+    left, words = float(part["left"].iloc[0]), part["words"].to_numpy()
+    taken = np.zeros(len(part), bool)
+    for i, w in enumerate(words.tolist()):
+        if w <= left:
+            taken[i] = True
+            left -= w
+    while taken.any() and not taken.all():
+        own, other = np.flatnonzero(taken), np.flatnonzero(~taken)
+        other = other[np.argsort(words[other], kind="stable")]
+        best = np.searchsorted(words[other], words[own] + left, side="right") - 1
+        gain = np.where(best >= 0, words[other[np.maximum(best, 0)]] - words[own], 0)
+        k = int(gain.argmax())
+        if gain[k] <= 0:
+            break
+        taken[own[k]], taken[other[best[k]]] = False, True
+        left -= gain[k]
     return part.loc[taken, ["id", "hash", "size"]]
 
 
@@ -187,8 +203,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     ``copies`` says how often the mix takes the row, ``shards`` where. A null source is a source
     of its own, the last one. Null and empty texts have size 0 and go with the whole passes and
     blocks. Repeated rows share their fate and are counted each; equal hashes go by size. A row is
-    taken at most ``most`` times, whole each time; a source's taken words miss its target by less
-    than what the smallest row passed over in its cut block holds. Everything follows from
+    taken at most ``most`` times, whole each time; a source's taken words stay below its target,
+    by less than the smallest row passed over in its cut block. Everything follows from
     hashes and seeds, so reruns agree. An empty table gives no rows; other columns are not read.
     """
     sized = stage(_sized(docs, key, text, source, settings.get("seed", SEED)), "sized")

@@ -1,6 +1,15 @@
 """All queries of this subpackage."""
 
-from shelfglass.llm import packing, secret_scan, token_counts, toxicity  # noqa: F401
+from shelfglass.llm import (  # noqa: F401
+    hnsw,
+    line_chunks,
+    mixing,
+    packing,
+    secret_scan,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from shelfglass.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
