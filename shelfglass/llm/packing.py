@@ -77,9 +77,12 @@ def with_curve_key(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = curve_keys([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)],
-                                             ["key", "text", "curve"])
+            for a, b in wordtokens.slices(batch.column(1), wordtokens.SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                raw = part.column(1).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(curve_keys([t or b"" for t in raw]))],
+                    ["key", "text", "curve"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, f"key {kind}, text string, curve bigint")
@@ -141,9 +144,9 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: in
 
         def pieces():
             for batch in batches:
-                ids = encode(batch.column(1).to_pylist())
-                for k, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
-                    raw += end
+                for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)),
+                                  strict=True):
+                    raw = ids.astype("<u4").tobytes() + end
                     keys.append(k)
                     totals.append(len(raw) // 4)
                     yield len(keys) - 1, raw, len(raw) // 4

@@ -45,7 +45,7 @@ def write_token_blocks(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = wordtokens.tokenizer(path, plain=True, dtype="<u2")
+        encode = wordtokens.tokenizer(path, plain=True).encode
         end, size = np.array([separator], "<u2").tobytes(), block_ids * 2
         file, block, first = TaskContext.get().partitionId(), 0, 0
         buffer, ends = bytearray(), []
@@ -63,9 +63,8 @@ def write_token_blocks(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             return out
 
         for batch in batches:
-            ids = tokens.encode(batch.column(1).to_pylist())
-            for k, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
-                buffer += raw + end
+            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                buffer += ids.astype("<u2").tobytes() + end
                 ends.append((len(buffer), k))
                 while len(buffer) >= size:
                     yield cut(size)

@@ -1,83 +1,100 @@
 """Token ids of texts, word by word, for tokenizers that split at white space and drop it.
 
-Ids of a text are those of its words in order, so a worker encodes a word once and looks it up
-from then on. The cache is emptied beyond ``MOST_WORDS`` entries; it never changes a result.
+Ids of a text are those of its words in order, so a slice of texts is cut into words, every
+distinct word is encoded once, and the ids are gathered for all words at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-MOST_WORDS = 400_000
-_CHUNK_CHARS = 1_000_000
+#: Bytes of text that are cut into words together (a longer text is a slice by itself), distinct
+#: words encoded at a time, and bytes of text whose ids are gathered at a time.
+SLICE_BYTES, WORDS_AT_ONCE, GATHER_BYTES = 16_000_000, 20_000, 4_000_000
+
+# Texts that keep their capitals: lowering letters from U+0130 on may depend on their neighbours,
+# and special tokens begin with "<".
+_KEEPS_CASE = "[<İ-\U0010ffff]"
+# A stop or comma after neither letter nor digit is part of a longer token.
+_JOINED = r"[^\pL\pN\s][.,][ \n]"
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most ``most`` bytes, or of one text."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _words(texts: pa.Array) -> pa.LargeListArray:
+    """Words of each text, lower-cased where that is safe; a stop or comma after a letter or digit
+    and before a space is a word of its own. Other white space stays inside a word, where the
+    tokenizer itself splits."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.if_else(pc.match_substring_regex(texts, _KEEPS_CASE), texts, pc.utf8_lower(texts))
+    joined = pc.match_substring_regex(texts, _JOINED)
+    texts = pc.replace_substring(texts, "\n", " ")
+    apart = pc.replace_substring(pc.replace_substring(texts, ". ", " . "), ", ", " , ")
+    return pc.split_pattern(pc.if_else(joined, texts, apart), " ")
 
 
 class WordTokenizer:
-    """Encodes texts to little-endian ids of ``dtype``; the same ids as ``Tokenizer.encode``
-    without added special tokens. ``plain`` treats the strings of special tokens as text."""
+    """The same ids as ``Tokenizer.encode`` without added special tokens. ``plain`` treats the
+    strings of special tokens as text."""
 
-    def __init__(self, path: str = VOCABULARY, *, plain: bool = False, dtype: str = "<u4"):
+    def __init__(self, path: str = VOCABULARY, *, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.dtype = dtype
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: Iterable[str]) -> None:
-        words = list(words)
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self.cache[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode unseen words; a final stop or comma after a letter and capitals below U+0130
-        never change the ids of the rest, so such words share one entry."""
-        stems, whole = {}, set()
-        for w in words:
-            stem, tail = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() \
-                else (w, "")
-            if "<" in w or max(w) >= "İ":
-                whole.add(w)
-            else:
-                stems[w] = (stem.lower(), tail)
-        parts = {p for pair in stems.values() for p in pair} - self.cache.keys()
-        self._encode(sorted(whole | parts))
-        for w, (stem, tail) in stems.items():
-            self.cache[w] = self.cache[stem] + self.cache[tail]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text as bytes; a null text counts as empty."""
-        chunk, held = [], 0
-        for text in texts:
-            # Other white space stays inside a word; the tokenizer itself splits there.
-            chunk.append((text or "").replace("\n", " ").split(" "))
-            held += len(text or "")
-            if held > _CHUNK_CHARS:
-                yield from self._lookup(chunk)
-                chunk, held = [], 0
-        yield from self._lookup(chunk)
-
-    def _lookup(self, chunk: list[list[str]]) -> list[bytes]:
-        unseen = set().union(*chunk).difference(self.cache) if chunk else set()
-        if unseen:
-            if len(self.cache) > MOST_WORDS:
-                self.cache = {"": b""}
-                unseen = set().union(*chunk) - {""}
-            self._learn(unseen)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in chunk]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, 32 bits each; a null text counts as empty."""
+        for a, b in slices(texts, SLICE_BYTES):
+            yield from self._slice(texts.slice(a, b - a))
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words = _words(texts)
+        bounds = words.offsets.to_numpy()
+        found = words.flatten().dictionary_encode()
+        index, known = found.indices.to_numpy(), found.dictionary
+        sizes, ids = [], []
+        for a in range(0, len(known), WORDS_AT_ONCE):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(
+                known.slice(a, WORDS_AT_ONCE).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        first = np.cumsum(sizes) - sizes
+        bounds = bounds - bounds[0]
+        for a, b in slices(texts, GATHER_BYTES):
+            here = index[bounds[a]:bounds[b]]
+            counts = sizes[here]
+            ends = np.cumsum(counts)
+            at = np.repeat(first[here] - (ends - counts), counts)
+            at += np.arange(len(at))
+            out = ids[at]
+            cuts = np.r_[0, ends][bounds[a:b + 1] - bounds[a]]
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield out[x:y]
 
 
 _made: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str = VOCABULARY, *, plain: bool = False, dtype: str = "<u4") -> WordTokenizer:
-    """One tokenizer, with its cache, for each Python worker."""
-    key = (path, plain, dtype)
-    if key not in _made:
-        _made[key] = WordTokenizer(path, plain=plain, dtype=dtype)
-    return _made[key]
+def tokenizer(path: str = VOCABULARY, *, plain: bool = False) -> WordTokenizer:
+    """One tokenizer for each Python worker."""
+    if (path, plain) not in _made:
+        _made[path, plain] = WordTokenizer(path, plain=plain)
+    return _made[path, plain]
