@@ -17,6 +17,8 @@ from shelfglass.staging import stage
 
 #: One line in ``MEAN_LINES`` ends a chunk; words that make a line a paragraph.
 MEAN_LINES, LONG_WORDS = 3, 50
+#: Slots of the filter that keeps texts of unrepeated chunks from being moved.
+SLOTS = 1 << 20
 
 # A word, and text with words on two lines (anchored, so that it is tried once).
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -66,20 +68,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Places (key, body, pos) of chunks equal to one that comes earlier, by (key, body, pos).
 
     ``docs`` has key, body (a hash of the text) and text. Chunks meet by hash in a join, whose hot
-    keys Spark splits, never in one task; only those whose hash repeats are compared.
+    keys Spark splits, never in one task. Texts of chunks are moved only where their hash falls
+    into a slot that holds a repeated one; the slots are at most ``SLOTS`` rows, whatever the
+    corpus, and passing one decides nothing.
     """
     every = docs.filter(F.col("text").contains("\n") | _long(F.col("text"))).select(
         "key", "body", F.posexplode(chunks(F.col("text"))).alias("pos", "chunk")).filter(
         _comparable(F.col("chunk"))).withColumn("hash", F.xxhash64("chunk"))
     place = F.struct("key", "body", "pos")
+    slot = F.pmod("hash", F.lit(SLOTS))
     twice = stage(every.groupBy("hash").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         "hash", "first"), "repeats")
-    found = stage(every.join(twice, "hash").withColumn("here", place), "chunks")
+    slots = F.broadcast(twice.select(slot.alias("slot")).distinct())
+    found = stage(every.withColumn("slot", slot).join(slots, "slot", "left_semi").join(
+        twice, "hash").select("hash", "first", "chunk", place.alias("here")), "chunks")
     firsts = found.filter(F.col("here").eqNullSafe(F.col("first"))).select(
         "hash", F.col("chunk").alias("kept")).dropDuplicates(["hash"])
     return found.filter(~F.col("here").eqNullSafe(F.col("first"))).join(firsts, "hash").filter(
-        F.col("chunk") == F.col("kept")).select("key", "body", "pos")
+        F.col("chunk") == F.col("kept")).select("here.key", "here.body", "here.pos")
 
 
 def drop_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,16 +105,23 @@ def drop_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     gone = stage(repeated_chunks(keyed.select("key", "body", "text")).groupBy("key", "body").agg(
         F.collect_set("pos").alias("gone")), "removed").select(
         F.col("key").alias("_key"), F.col("body").alias("_body"), "gone")
-    joined = keyed.drop("text").join(
+    # Only rows whose slot holds a text to clean meet the list; all others pass as they are.
+    slot = F.pmod(F.xxhash64("key", "body"), F.lit(SLOTS))
+    slots = F.broadcast(gone.select(F.pmod(F.xxhash64("_key", "_body"), F.lit(SLOTS)).alias(
+        "slot")).distinct())
+    keyed = keyed.drop("text").withColumn("slot", slot)
+    touched = keyed.join(slots, "slot", "left_semi").join(
         gone, F.col("key").eqNullSafe(F.col("_key")) & (F.col("body") == F.col("_body")), "left")
     kept = F.filter(chunks(F.col(f"row.`{text}`")),
                     lambda c, i: ~F.array_contains("gone", i))
     clean = F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(
         _plain(F.array_join(kept, "\n")))
-    return joined.select(*(
-        clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c)
-        for c in docs.columns if c != "n_removed"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    names = [c for c in docs.columns if c != "n_removed"]
+    out = touched.select(*(clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c)
+                           for c in names),
+                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.unionByName(keyed.join(slots, "slot", "left_anti").select(
+        "row.*", F.lit(0).cast("long").alias("n_removed")))
 
 
 SQL = rf"""
