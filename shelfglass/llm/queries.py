@@ -2,6 +2,7 @@
 
 from shelfglass.llm import (  # noqa: F401
     hnsw,
+    jaccard_join,
     line_chunks,
     mixing,
     packing,

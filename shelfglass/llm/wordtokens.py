@@ -39,11 +39,15 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def copied(texts: pa.Array, start: int, end: int) -> pa.Array:
+    """A run of texts in memory of its own: ``ascii_lower`` reads the wrong bytes of a slice."""
+    return pc.fill_null(texts.take(pa.array(np.arange(start, end))).cast(pa.large_string()), "")
+
+
 def _words(texts: pa.Array) -> pa.LargeListArray:
     """Words of each text, lower-cased where that is safe; a stop or comma after a letter or digit
     and before a space is a word of its own. Other white space stays inside a word, where the
     tokenizer itself splits."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     texts = pc.if_else(pc.match_substring_regex(texts, _KEEPS_CASE), texts, pc.utf8_lower(texts))
     joined = pc.match_substring_regex(texts, _JOINED)
     texts = pc.replace_substring(texts, "\n", " ")
@@ -62,7 +66,7 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, 32 bits each; a null text counts as empty."""
         for a, b in slices(texts, SLICE_BYTES):
-            yield from self._slice(texts.slice(a, b - a))
+            yield from self._slice(copied(texts, a, b))
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
         words = _words(texts)
