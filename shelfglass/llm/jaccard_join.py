@@ -5,11 +5,13 @@ shingles, T growing with their sizes. Following DivideSkip, a set's T - 1 most f
 (its longest inverted lists) are set aside: a partner must occur on one of the other, short lists.
 
 1. All texts are read once for their sets' sizes and hashes, and for the frequent shingles.
-2. Short lists are merged, shingle by shingle. Sets that meet on one, with sizes that allow a
-   link, are tied together; the ties' components are clusters, and no link leaves its cluster.
-3. Clusters are cut into blocks, and every pair of blocks is searched in a task: each set's short
+2. Short lists are cut where the sizes of their sets leave a gap that no link bridges. Sets on the
+   same stretch of a list belong to a group named after the smallest one; most lists of similar
+   sets name the same group, and two sets that link meet in at least one.
+3. Groups are cut into blocks, and every pair of blocks is searched in a task: each set's short
    lists are merged and counted, and the long ones are probed by binary search for the candidates
    left (or merged too, where that is cheaper), until the overlap with all candidates is known.
+   Two sets that share several groups are looked at in one only, that of the smallest name.
 4. A pair of blocks gives one row per set: its links there, and a member of its component there.
 
 Copies are one set throughout. No pair is ever a row, and nothing is capped.
@@ -27,18 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfglass.llm.registry import query, read
-from shelfglass.llm.shingles import set_hash, shingle_sets
+from shelfglass.llm.shingles import SLICE_BYTES, set_hash, shingle_sets
 from shelfglass.llm.slots import slot, slots_of
-from shelfglass.llm.wordtokens import SLICE_BYTES, slices
+from shelfglass.llm.wordtokens import slices
 from shelfglass.operators.components import component_labels
 from shelfglass.staging import stage
 
 #: Similarity, in hundredths.
 PERCENT = 75
-#: Frequent shingles known to all tasks, and postings of a bucket of short lists.
-FREQUENT, BUCKET_POSTINGS = 1 << 18, 1 << 20
-#: Sets of a block in a small cluster; blocks that a cluster is cut into before blocks grow; sets
-#: and shingles of a block at most; shingles of the blocks that one task searches.
+#: Frequent shingles known to all tasks, shingles that are counted together in a task, and postings
+#: of a bucket of short lists.
+FREQUENT, COUNTED_SHINGLES, BUCKET_POSTINGS = 1 << 18, 5_000_000, 1 << 20
+#: Sets of a block in a small group; blocks that a group is cut into before blocks grow; sets and
+#: shingles of a block at most; shingles of the blocks that one task searches.
 BLOCK_SETS, FEW_BLOCKS, MOST_SETS, MOST_SHINGLES, TASK_SHINGLES = 256, 16, 2048, 500_000, 200_000
 
 
@@ -48,29 +51,40 @@ def required(sizes, percent: int):
 
 
 def _read_sets(docs: DataFrame) -> DataFrame:
-    """Per slice of texts: keys, sizes and hashes of their sets, and the shingles that occur in two
-    or more of them, with their counts."""
+    """Rows of keys, sizes and hashes of sets, and rows of the shingles that occur twice or more in
+    a stretch of the input, with their counts."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def row(keys, sizes, nodes, shingles, counts):
+            return pa.RecordBatch.from_arrays([
+                pa.array([keys], pa.list_(key_type)), *(pa.array([x], pa.list_(pa.int64()))
+                                                        for x in (sizes, nodes, shingles, counts))],
+                ["keys", "sizes", "nodes", "shingles", "counts"])
+
+        def repeated():
+            every = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            counts = np.diff(np.r_[first, len(every)])
+            often = counts > 1
+            return row([], [], [], every[first[often]].view(np.int64), counts[often])
+
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE_BYTES):
                 sets = list(shingle_sets(batch.column(1).slice(a, b - a)))
-                every = np.sort(np.concatenate(sets))
-                first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else \
-                    np.empty(0, np.int64)
-                counts = np.diff(np.r_[first, len(every)])
-                often = counts > 1
-                keys = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([
-                    pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                    pa.array([[len(s) for s in sets]], pa.list_(pa.int64())),
-                    pa.array([[set_hash(s) if len(s) else None for s in sets]],
-                             pa.list_(pa.int64())),
-                    pa.array([every[first[often]].view(np.int64)], pa.list_(pa.int64())),
-                    pa.array([counts[often]], pa.list_(pa.int64()))],
-                    ["keys", "sizes", "nodes", "shingles", "counts"])
-
+                yield row(batch.column(0).slice(a, b - a).to_pylist(), [len(s) for s in sets],
+                          [set_hash(s) if len(s) else None for s in sets], [], [])
+                held += sets
+                total += sum(map(len, sets))
+                if total > COUNTED_SHINGLES:
+                    yield repeated()
+                    held, total = [], 0
+        if total:
+            yield repeated()
+
+    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return stage(docs.select("key", "text").mapInArrow(
         run, f"keys array<{kind}>, sizes array<bigint>, nodes array<bigint>, "
              "shingles array<bigint>, counts array<bigint>"), "sets")
@@ -83,7 +97,7 @@ def _frequent(read_sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     rows = read_sets.select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(
         F.col("x.shingles").alias("shingle")).agg(F.sum("x.counts").alias("n")).filter(
-        "n >= 4").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
+        "n >= 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     found = stage(rows, "frequent").toPandas()
     shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingles)
@@ -103,8 +117,13 @@ def short_lists(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], per
     return tokens[np.lexsort((tokens, rank))[:keep]]
 
 
-def _ties(docs: DataFrame, frequent, percent: int, postings: int) -> DataFrame:
-    """(u, v): sets tied by a short list, a forest for each bucket of lists."""
+def _meetings(docs: DataFrame, frequent, percent: int, postings: int) -> DataFrame:
+    """(node, center): the groups that sets meet in, from the merged short lists.
+
+    Let t be the first shingle that two linked sets share, in the order of the lists. All they
+    share comes after it, so t stands early enough in both, and in the smaller one among so few
+    that only such sets may lead a stretch.
+    """
     bits = max(6, math.ceil(math.log2(max(1, postings / BUCKET_POSTINGS))))
     shift = np.uint64(64 - bits)
 
@@ -118,7 +137,9 @@ def _ties(docs: DataFrame, frequent, percent: int, postings: int) -> DataFrame:
                         seen.add(node)
                         tokens.append(short_lists(s, frequent, percent))
                         nodes.append(np.full(len(tokens[-1]), node))
-                        sizes.append(np.full(len(tokens[-1]), len(s), np.int32))
+                        size = np.full(len(tokens[-1]), -len(s), np.int32)
+                        size[:len(s) + 1 + (-2 * percent * len(s)) // (100 + percent)] *= -1
+                        sizes.append(size)
                 if not tokens:
                     continue
                 t, v, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
@@ -132,34 +153,28 @@ def _ties(docs: DataFrame, frequent, percent: int, postings: int) -> DataFrame:
                     *(pa.array([z[x:y].tobytes() for _, x, y in full], pa.binary())
                       for z in (t, v, n))], ["bucket", "t", "v", "n"])
 
-    def tie(part: pd.DataFrame) -> pd.DataFrame:
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
         t, v, n = (np.frombuffer(b"".join(part[c]), k)
                    for c, k in (("t", np.uint64), ("v", np.int64), ("n", np.int32)))
+        leads, n = n > 0, np.abs(n).astype(np.int64)
         order = np.lexsort((v, n, t))
-        t, v, n = t[order], v[order], n[order].astype(np.int64)
-        # A list in order of size breaks where the next set is too large for the one before.
+        t, v, n, leads = t[order], v[order], n[order], leads[order]
+        once = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
+        t, v, n, leads = t[once], v[once], n[once], leads[once]
+        # The last set up to here, on the same list, that may be the smaller of a pair.
+        at = np.arange(len(t))
+        lead = np.maximum.accumulate(np.where(leads, at, -1))
+        led = (lead >= 0) & (t[lead] == t) & (100 * n[lead] >= percent * n)
+        t, v, n = t[led], v[led], n[led]
         on = (t[1:] == t[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        start = np.maximum.accumulate(np.where(np.r_[True, ~on], np.arange(len(t)), 0))
-        u, w = np.maximum(v, v[start]), np.minimum(v, v[start])
-        pairs = np.unique(np.c_[u, w][u != w], axis=0)
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while x in up:
-                if up[x] in up:
-                    up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in pairs.tolist():
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        return pd.DataFrame({"u": list(up), "v": [root(x) for x in up]}, dtype="int64")
+        start = np.maximum.accumulate(np.where(np.r_[True, ~on][:len(t)], np.arange(len(t)), 0))
+        several = np.bincount(start, minlength=len(t))[start] > 1
+        pairs = np.unique(np.c_[v[several], v[start[several]]], axis=0)
+        return pd.DataFrame({"node": pairs[:, 0], "center": pairs[:, 1]})
 
     return docs.select("text").mapInArrow(
         post, "bucket bigint, t binary, v binary, n binary").groupBy("bucket").applyInPandas(
-        tie, "u bigint, v bigint")
+        meet, "node bigint, center bigint").distinct()
 
 
 class Lists:
@@ -212,11 +227,13 @@ class Lists:
 
 
 def search_block(left: list[np.ndarray], left_copies: np.ndarray, right: list[np.ndarray] | None,
-                 right_copies: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+                 right_copies: np.ndarray | None, percent: int, seen=None
+                 ) -> tuple[np.ndarray, np.ndarray]:
     """Links of the sets of two blocks with each other (of one block, if ``right`` is None).
 
     Per set of ``left``, then of ``right``: the copies of the sets it links with, and the number
-    of a set of its component.
+    of a set of its component. ``seen(i)`` tells which sets of the other block the i-th set of
+    ``left`` meets elsewhere.
     """
     same = right is None
     lists = Lists(left if same else right)
@@ -224,7 +241,10 @@ def search_block(left: list[np.ndarray], left_copies: np.ndarray, right: list[np
     copies = left_copies if same else np.r_[left_copies, right_copies]
     label, links = np.arange(len(copies)), np.zeros(len(copies), np.int64)
     for i, tokens in enumerate(left):
-        met = lists.linked(tokens, percent) + first
+        met = lists.linked(tokens, percent)
+        if seen is not None and len(met):
+            met = met[~seen(i)[met]]
+        met = met + first
         met = met[met != i]
         if not len(met):
             continue
@@ -237,51 +257,75 @@ def search_block(left: list[np.ndarray], left_copies: np.ndarray, right: list[np
     return links, label
 
 
-def _clusters(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, key, copies, label, blocks, block): sets of clusters, dealt to blocks by hash."""
-    members = nodes.join(labels, "node")
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
+def _seen_elsewhere(center: int, left: list, right: list):
+    """Which sets of ``right`` share a group of a smaller name with a set of ``left``."""
+    among: dict[int, np.ndarray] = {}
+    for j, centers in enumerate(right):
+        for c in centers:
+            if c < center:
+                among.setdefault(c, np.zeros(len(right), bool))[j] = True
+    none = np.zeros(len(right), bool)
+
+    def seen(i: int) -> np.ndarray:
+        shared = [among[c] for c in left[i] if c in among]
+        return np.logical_or.reduce(shared) if shared else none
+
+    return seen
+
+
+def _members(nodes: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(node, key, n, copies, centers, center, blocks, block): sets of groups, in blocks by hash."""
+    own = meetings.groupBy("node").agg(F.sort_array(F.collect_set("center")).alias("centers"))
+    members = own.join(nodes, "node").withColumn("center", F.explode("centers"))
+    sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
     few = F.least(F.ceil(F.col("sets") / BLOCK_SETS), F.lit(FEW_BLOCKS))
-    blocks = F.greatest(few, F.ceil(F.col("sets") / MOST_SETS), F.ceil(F.col("n") / MOST_SHINGLES))
-    return members.join(sizes.select("label", blocks.cast("int").alias("blocks")), "label").withColumn(
+    blocks = F.greatest(few, F.ceil(F.col("sets") / MOST_SETS),
+                        F.ceil(F.col("total") / MOST_SHINGLES))
+    return members.join(sizes.select("center", blocks.cast("int").alias("blocks")),
+                        "center").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(node, links, other): what every pair of blocks of a cluster finds."""
+    """(node, links, other): what every pair of blocks of a group finds."""
     total = members.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     tasks = max(64, math.ceil(total / TASK_SHINGLES))
-    texts = docs.join(slots_of(members, F.col("key")), slot(F.col("key")) == F.col("slot"),
-                      "left_semi").join(members, "key")
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = texts.select("node", "copies", "label", "text", "block", partner.alias("other")).select(
-        "node", "copies", "label", "text", F.least("block", "other").alias("low"),
+    own = members.groupBy("key").agg(
+        F.collect_list(F.struct("node", "copies", "centers", "center", "blocks", "block")).alias("m"))
+    texts = docs.join(slots_of(own, F.col("key")), slot(F.col("key")) == F.col("slot"),
+                      "left_semi").join(own, "key").select("text", F.explode("m").alias("m")).select(
+        "text", "m.*")
+    cells = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(
+        "node", "copies", "centers", "center", "text", F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("left"))
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("label", "low", "high"), F.lit(tasks)))
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("center", "low", "high"), F.lit(tasks)))
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        part["set"] = list(shingle_sets(pa.array(part["text"], pa.large_string())))
-        # A key may come with several texts; only the one that is this set belongs here.
-        part = part[[set_hash(s) == v for s, v in zip(part["set"], part["node"], strict=True)]]
+        sets = list(shingle_sets(pa.array(part["text"], pa.large_string())))
+        node, center, copies, is_left, one = (part[c].to_numpy() for c in (
+            "node", "center", "copies", "left", "low"))
+        one = one == part["high"].to_numpy()
+        centers = [x.tolist() for x in part["centers"]]
         out = []
-        for _, cell in part.groupby(["label", "low", "high"], sort=False):
-            cell = cell.drop_duplicates("node")
-            left, right = cell[cell["left"]], cell[~cell["left"]]
-            one = bool((cell["low"] == cell["high"]).iloc[0])
-            if one or not len(left) or not len(right):
-                if not one:
-                    continue
-                links, label = search_block(left["set"].tolist(), left["copies"].to_numpy(), None,
-                                            None, percent)
-                nodes = left["node"].to_numpy()
-            else:
-                links, label = search_block(
-                    left["set"].tolist(), left["copies"].to_numpy(), right["set"].tolist(),
-                    right["copies"].to_numpy(), percent)
-                nodes = np.r_[left["node"].to_numpy(), right["node"].to_numpy()]
-            out.append(pd.DataFrame({"node": nodes, "links": links, "other": nodes[label]}))
-        return pd.concat(out) if out else pd.DataFrame({
-            c: pd.Series(dtype="int64") for c in ("node", "links", "other")})
+        for rows in part.groupby(["center", "low", "high"], sort=False).indices.values():
+            # A key may come with several texts, and a text twice; a set belongs here once.
+            mine = {node[i]: i for i in rows.tolist() if set_hash(sets[i]) == node[i]}
+            left = [i for i in mine.values() if is_left[i]]
+            right = [i for i in mine.values() if not is_left[i]]
+            alone = bool(one[rows[0]])
+            if not left or not (right or alone):
+                continue
+            other = left if alone else right
+            seen = _seen_elsewhere(int(center[rows[0]]), [centers[i] for i in left],
+                                   [centers[i] for i in other])
+            links, label = search_block(
+                [sets[i] for i in left], copies[left], None if alone else [sets[i] for i in right],
+                None if alone else copies[right], percent, seen)
+            nodes = node[left if alone else left + right]
+            out.append(np.c_[nodes, links, nodes[label]])
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64),
+                            columns=["node", "links", "other"])
 
     return cells.groupBy("task").applyInPandas(search, "node bigint, links bigint, other bigint")
 
@@ -305,9 +349,8 @@ def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.min("key").alias("key"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")),
         "nodes")
     postings = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
-    ties = _ties(docs, _frequent(sets), percent, postings)
-    labels = component_labels(ties, [])
-    members = stage(_clusters(nodes, labels), "members")
+    meetings = stage(_meetings(docs, _frequent(sets), percent, postings), "meetings")
+    members = stage(_members(nodes, meetings), "members")
     found = stage(_searched(docs, members, percent), "links")
     joined = component_labels(found.filter("node <> other").select(
         F.col("node").alias("u"), F.col("other").alias("v")), [])

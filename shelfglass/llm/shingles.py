@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from shelfglass.llm.wordtokens import SLICE_BYTES, copied, slices
+from shelfglass.llm.wordtokens import copied, slices
 
-#: Words of a shingle.
-WIDTH = 5
+#: Words of a shingle; bytes of text that are cut into words together.
+WIDTH, SLICE_BYTES = 5, 4_000_000
 # Odd multipliers for the places of a shingle, drawn once.
 _PLACES = np.random.default_rng(5).integers(0, 1 << 63, WIDTH, np.uint64) * np.uint64(2) \
     + np.uint64(1)
