@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from shelfglass.llm import (  # noqa: F401
+    cotraining,
     hnsw,
     jaccard_join,
     line_chunks,
