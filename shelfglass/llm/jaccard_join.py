@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from shelfglass.llm.registry import query, read
 from shelfglass.llm.shingles import SLICE_BYTES, set_hash, shingle_sets
 from shelfglass.llm.slots import slot, slots_of
-from shelfglass.llm.wordtokens import slices
+from shelfglass.llm.wordtokens import parts
 from shelfglass.operators.components import component_labels
 from shelfglass.staging import stage
 
@@ -71,16 +71,15 @@ def _read_sets(docs: DataFrame) -> DataFrame:
             often = counts > 1
             return row([], [], [], every[first[often]].view(np.int64), counts[often])
 
-        for batch in batches:
-            for a, b in slices(batch.column(1), SLICE_BYTES):
-                sets = list(shingle_sets(batch.column(1).slice(a, b - a)))
-                yield row(batch.column(0).slice(a, b - a).to_pylist(), [len(s) for s in sets],
-                          [set_hash(s) if len(s) else None for s in sets], [], [])
-                held += sets
-                total += sum(map(len, sets))
-                if total > COUNTED_SHINGLES:
-                    yield repeated()
-                    held, total = [], 0
+        for part in parts(batches, 1, SLICE_BYTES):
+            sets = list(shingle_sets(part.column(1)))
+            yield row(part.column(0).to_pylist(), [len(s) for s in sets],
+                      [set_hash(s) if len(s) else None for s in sets], [], [])
+            held += sets
+            total += sum(map(len, sets))
+            if total > COUNTED_SHINGLES:
+                yield repeated()
+                held, total = [], 0
         if total:
             yield repeated()
 
@@ -128,30 +127,29 @@ def _meetings(docs: DataFrame, frequent, percent: int, postings: int) -> DataFra
     shift = np.uint64(64 - bits)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(0), SLICE_BYTES):
-                seen, tokens, nodes, sizes = set(), [], [], []
-                for s in shingle_sets(batch.column(0).slice(a, b - a)):
-                    node = set_hash(s)
-                    if len(s) and node not in seen:
-                        seen.add(node)
-                        tokens.append(short_lists(s, frequent, percent))
-                        nodes.append(np.full(len(tokens[-1]), node))
-                        size = np.full(len(tokens[-1]), -len(s), np.int32)
-                        size[:len(s) + 1 + (-2 * percent * len(s)) // (100 + percent)] *= -1
-                        sizes.append(size)
-                if not tokens:
-                    continue
-                t, v, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-                order = np.argsort(t, kind="stable")
-                t, v, n = t[order], v[order], n[order]
-                cuts = np.searchsorted(t >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-                full = [(i, x, y) for i, (x, y) in enumerate(zip(
-                    cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([i for i, _, _ in full], pa.int64()),
-                    *(pa.array([z[x:y].tobytes() for _, x, y in full], pa.binary())
-                      for z in (t, v, n))], ["bucket", "t", "v", "n"])
+        for part in parts(batches, 0, SLICE_BYTES):
+            seen, tokens, nodes, sizes = set(), [], [], []
+            for s in shingle_sets(part.column(0)):
+                node = set_hash(s)
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    tokens.append(short_lists(s, frequent, percent))
+                    nodes.append(np.full(len(tokens[-1]), node))
+                    size = np.full(len(tokens[-1]), -len(s), np.int32)
+                    size[:len(s) + 1 + (-2 * percent * len(s)) // (100 + percent)] *= -1
+                    sizes.append(size)
+            if not tokens:
+                continue
+            t, v, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+            order = np.argsort(t, kind="stable")
+            t, v, n = t[order], v[order], n[order]
+            cuts = np.searchsorted(t >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+            full = [(i, x, y) for i, (x, y) in enumerate(zip(
+                cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([i for i, _, _ in full], pa.int64()),
+                *(pa.array([z[x:y].tobytes() for _, x, y in full], pa.binary())
+                  for z in (t, v, n))], ["bucket", "t", "v", "n"])
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         t, v, n = (np.frombuffer(b"".join(part[c]), k)

@@ -76,13 +76,11 @@ def with_curve_key(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in wordtokens.slices(batch.column(1), wordtokens.SLICE_BYTES):
-                part = batch.slice(a, b - a)
-                raw = part.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(curve_keys([t or b"" for t in raw]))],
-                    ["key", "text", "curve"])
+        for part in wordtokens.parts(batches, 1, wordtokens.GATHER_BYTES):
+            raw = part.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(curve_keys([t or b"" for t in raw]))],
+                ["key", "text", "curve"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, f"key {kind}, text string, curve bigint")
@@ -143,7 +141,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: in
         totals: list[int] = []
 
         def pieces():
-            for batch in batches:
+            for batch in wordtokens.parts(batches, 1, wordtokens.SLICE_BYTES):
                 for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)),
                                   strict=True):
                     raw = ids.astype("<u4").tobytes() + end

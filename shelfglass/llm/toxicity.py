@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfglass.llm.registry import query, read
+from shelfglass.llm.wordtokens import parts
 from shelfglass.staging import stage
 
 #: Bounds of the fit: labelled rows for the lexicon and for the calibration, lexicon candidates.
@@ -35,7 +36,9 @@ PRIOR_DOCS, DEVIATIONS, LEAST_SCORE, LEAST_DOCS, MOST_E = 50.0, 1.96, 1.0, 3, 0.
 #: Letters of the prefixes that stand for all words beginning with them.
 PREFIXES = (4, 5)
 #: Entries of the cache of word scores of a worker.
-_MOST_WORDS = 500_000
+_MOST_WORDS = 100_000
+#: Bytes of text that a worker takes up at a time.
+_PART_BYTES = 4_000_000
 
 _words = re.compile(r"\w+").findall
 
@@ -116,7 +119,7 @@ def _decay(scores: np.ndarray, rate: np.ndarray, rest: float) -> float:
 
 def _toxic_terms(toxic: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 0, _PART_BYTES):
             counts: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 counts.update({f for w in set(_words((t or "").lower())) for f in features(w)})
@@ -135,7 +138,7 @@ def _corpus_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, clean = np.zeros(len(terms) + 1, np.int64), np.zeros(len(terms) + 1, np.int64)
         docs_n = clean_n = tokens = clean_tokens = 0
-        for batch in batches:
+        for batch in parts(batches, 0, _PART_BYTES):
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                 strict=True):
                 words = _words((t or "").lower())
@@ -197,7 +200,7 @@ def find_segments(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         known, names = _Scores(lexicon.terms), ("start", "end", "score")
-        for batch in batches:
+        for batch in parts(batches, 1, _PART_BYTES):
             sizes, segments = [], []
             for t in batch.column(1).to_pylist():
                 words = _words((t or "").lower())

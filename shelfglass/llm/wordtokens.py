@@ -39,6 +39,15 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts hold at most ``most`` bytes, or of one row; memory that Arrow keeps
+    for later goes back to the system at the end, since a worker may stay idle beside others."""
+    for batch in batches:
+        for a, b in slices(batch.column(column), most):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
+
 def copied(texts: pa.Array, start: int, end: int) -> pa.Array:
     """A run of texts in memory of its own: ``ascii_lower`` reads the wrong bytes of a slice."""
     return pc.fill_null(texts.take(pa.array(np.arange(start, end))).cast(pa.large_string()), "")
