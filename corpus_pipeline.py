@@ -33,15 +33,16 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; rows that repeat an
-    id within a group are one document. Texts without words are no duplicates of each other."""
+    """One document of each group of near duplicates, that of the smallest id. A row that repeats
+    id and text goes; different texts under one id are parts of one document. Texts without words
+    are no duplicates of each other."""
     found = stage(jaccard_join.link_documents(docs).select("doc_id", "component_id"), "groups")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = _keeping(docs, stage(gone, "copies"))
     again = stage(found.filter("component_id = doc_id").groupBy("doc_id").count().filter(
         "count > 1").select(F.col("doc_id").alias("_id")), "again")
     return _keeping(kept, again).unionByName(
-        kept.join(again, kept["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id"]))
+        kept.join(again, kept["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,7 +165,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
 
     def collected(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
         got = rows.limit(2 * most).toPandas()
-        return ([np.array(got[c].tolist()).reshape(len(got), -1) for c in ("content", "metadata")],
+        return ([np.array(got[c].tolist(), float) for c in ("content", "metadata")],
                 got["y"].to_numpy(float))
 
     def labelled(folds: str, most: int):

@@ -33,6 +33,11 @@ def _long(line: Column) -> Column:
         F.regexp_count(line, F.lit(_WORD)) >= LONG_WORDS)
 
 
+def _plain(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"),
+                     F.lit(_ESCAPE))
+
+
 def chunks(text: Column) -> Column:
     """Array of a text's chunks, escaped; joined by line feeds they are the text."""
     escaped = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK),
@@ -40,7 +45,7 @@ def chunks(text: Column) -> Column:
     lines = F.split(escaped, "\n")
     seen = F.transform(lines, lambda l: F.struct(
         l.alias("line"), _long(l).alias("long"),
-        F.conv(F.substring(F.md5(l.cast("binary")), 1, 7), 16, 10).cast("long").alias("hash")))
+        F.conv(F.substring(F.md5(_plain(l).cast("binary")), 1, 7), 16, 10).cast("long").alias("hash")))
 
     def ended(here, following):
         """The line with a mark if the next line begins another chunk."""
@@ -59,11 +64,6 @@ def _comparable(chunk: Column) -> Column:
     return chunk.rlike(_TWO_LINES) | _long(chunk)
 
 
-def _plain(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"),
-                     F.lit(_ESCAPE))
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Places (key, body, pos) of chunks equal to one that comes earlier, by (key, body, pos).
 

@@ -43,7 +43,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     of the terms set it; a text without words has none set.
     """
     votes = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("h0")).withColumn(
-        "h1", F.xxhash64("h0"))
+        "h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")))
     counted = votes.groupBy(*keys).agg(F.count("h0").alias("n"), *(
         F.sum(F.shiftrightunsigned(f"h{half}", k).bitwiseAND(F.lit(_PAIR))).alias(f"s{half}_{k}")
         for half in (0, 1) for k in range(32)))
