@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of text that are cut into words together (a longer text is a slice by itself), distinct
 #: words encoded at a time, and bytes of text whose ids are gathered at a time.
-SLICE_BYTES, WORDS_AT_ONCE, GATHER_BYTES = 8_000_000, 10_000, 2_000_000
+SLICE_BYTES, WORDS_AT_ONCE, GATHER_BYTES = 14_000_000, 20_000, 4_000_000
 
 # Texts that keep their capitals: lowering letters from U+0130 on may depend on their neighbours,
 # and special tokens begin with "<".
