@@ -13,7 +13,7 @@ NOISE_LABEL = "Noise/Outlier"
 def to_number(c: Column) -> Column:
     """Text to double; text that is not a finite number or NaN becomes NULL."""
     number = F.trim(c.cast("string")).try_cast("double")
-    return F.when(F.isnan(number), None).otherwise(number)
+    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
 
 
 def status_text(status: Column, pending: str = "Pending to Analyze") -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfglass.operators.components import component_labels
+from shelfglass.operators.joins import null_safe_join
 from shelfglass.operators.numbering import id_bucket, running_number
 from shelfglass.operators.outliers import standardized
 from shelfglass.staging import parallelism, stage
@@ -349,7 +350,8 @@ def dbscan(
     Returns the input rows once per setting with ``eps``, ``min_samples`` and ``cluster`` (-1 =
     noise). ``cluster`` is NULL for rows that take no part: a NULL dimension, a non-positive one
     when these are dropped, or, with ``min_rows_from_config``, a group with fewer usable rows than
-    ``min_samples``. Group keys must not be NULL; ``order`` is a bigint row order, unique in df.
+    ``min_samples``. NULL is a group key like any other; ``order`` is a bigint row order, unique in
+    df.
     """
     spark = df.sparkSession
     keys, dims = list(keys), list(dims)
@@ -374,7 +376,7 @@ def dbscan(
     if min_rows_from_config:
         runs = runs.filter(F.col("_rows") >= F.col("min_samples"))
     runs = runs.drop("_rows")
-    in_runs = weighted.join(runs, keys) if keys else weighted.crossJoin(runs)
+    in_runs = null_safe_join(weighted, runs, keys)
     labels = stage(cluster_labels(
         in_runs.select(*RUN, "eps", "min_samples", "first", "w", *z), len(names), leaf), "labels")
     numbers = running_number(
@@ -386,7 +388,7 @@ def dbscan(
     found = in_runs.join(numbered, [*RUN, "first"], "left").groupBy(*keys, *dims).agg(
         F.map_from_entries(F.collect_list(entry)).alias("_clusters"))
     found = found.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *dims]], "_clusters")
-    on = [*[F.col(c) == F.col(f"_{c}") for c in keys],
+    on = [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys],
           *[F.col(c).cast("double") == F.col(f"_{c}") for c in dims]]
     setting = F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(float(e)).alias("eps"), F.lit(int(m)).alias("min_samples"))

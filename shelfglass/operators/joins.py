@@ -21,14 +21,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def semi(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    return left.join(right, on, "left_semi")
-
-
-def anti(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    return left.join(right, on, "left_anti")
-
-
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the greatest by ``order``; an aggregate, so hot keys combine map-side."""
     rest = [c for c in df.columns if c not in keys]

@@ -21,7 +21,7 @@ BANDS_PER_E = 256
 
 
 def _band(v: Column) -> Column:
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BANDS_PER_E)).cast("int")
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BANDS_PER_E)).cast("bigint")
 
 
 def group_quantiles(
@@ -33,10 +33,13 @@ def group_quantiles(
 ) -> DataFrame:
     """Per key group: ``n`` rows and, per column, linearly interpolated quantiles, min and max.
 
-    Keys may be NULL (a group of its own); rows with a NULL in any column are left out.
+    Keys may be NULL (a group of its own); rows with a NULL or an infinity in any column are left
+    out.
     """
     keys, columns = list(keys), list(columns)
     present = df.na.drop(subset=columns)
+    for c in columns:
+        present = present.filter(F.abs(F.col(c).cast("double")) < float("inf"))
     values = present.select(
         *keys,
         F.explode(

@@ -49,13 +49,15 @@ def label_outliers(
 ) -> DataFrame:
     """Every row with its fences, flags, cluster and combined flag, all populations in one job.
 
-    Populations below four rows are left out.
+    A population below four rows is not analysed: its rows stay, with NULL flags and clusters. A
+    NULL key is a population of its own.
     """
     population = list(population)
     rows = rows.filter(measured(*DIMS))
-    sizes = rows.groupBy(*population).agg(F.count(F.lit(1)).alias("_rows")).filter(
-        F.col("_rows") >= O.MIN_ROWS)
-    rows = null_safe_join(rows, sizes, population).drop("_rows")
+    sizes = rows.groupBy(*population).agg((F.count(F.lit(1)) < O.MIN_ROWS).alias("_small"))
+    sized = null_safe_join(rows, sizes, population)
+    small = sized.filter("_small").drop("_small")
+    rows = sized.filter("NOT _small").drop("_small")
     flags = []
     if DBSCAN in algorithms:
         rows = dbscan(rows, population, order, [(eps, min_samples)], settings, DIMS,
@@ -67,7 +69,8 @@ def label_outliers(
         flags.append("iqr_is_outlier")
     if DBSCAN in algorithms:
         flags.append("dbscan_is_outlier")
-    return rows.withColumn("is_outlier_combined", combine_flags(flags, combine))
+    return rows.withColumn("is_outlier_combined", combine_flags(flags, combine)).unionByName(
+        small, allowMissingColumns=True)
 
 
 def population(products: DataFrame, items: DataFrame, group_id: int, mode: str = "all",
@@ -85,20 +88,22 @@ def run_statistics(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return O.outlier_totals(labelled, "is_outlier_combined", keys)
 
 
-def run_items(labelled: DataFrame) -> DataFrame:
+def run_items(labelled: DataFrame, population: Sequence[str] = ()) -> DataFrame:
     """Clustered rows as result items: status, mode, label, cluster size and share.
 
-    Rows without a cluster took no part in the run and give no item.
+    Cluster sizes and shares are those within a ``population``. Rows without a cluster took no
+    part in the run and give no item.
     """
+    keys = list(population)
     took_part = labelled.filter(F.col("dbscan_cluster").isNotNull()).withColumn(
         "cluster", cluster_label(F.col("dbscan_cluster")))
-    sizes = took_part.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_items"))
-    total = sizes.agg(F.sum("cluster_items").alias("_total"))
-    shares = sizes.crossJoin(total).select(  # one row by construction
-        "cluster", "cluster_items",
+    sizes = took_part.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("cluster_items"))
+    total = sizes.groupBy(*keys).agg(F.sum("cluster_items").alias("_total"))
+    shares = null_safe_join(sizes, total, keys).select(
+        *keys, "cluster", "cluster_items",
         percent(F.col("cluster_items"), F.col("_total")).alias("cluster_items_per"))
     noise = F.col("dbscan_cluster") == -1
-    return took_part.join(shares, "cluster").select(
+    return null_safe_join(took_part, shares, [*keys, "cluster"]).select(
         "system_product_id", "brand", "category", "product_type", "cluster", "cluster_items",
         "cluster_items_per", F.when(noise, 0).otherwise(1).alias("status"),
         F.when(noise, 0).alias("outlier_mode"), F.lit(None).cast("int").alias("final_status"))

@@ -217,10 +217,13 @@ def majority_vote(results: DataFrame, category: str, brands=None) -> DataFrame:
 # --- saving and deleting ---------------------------------------------------------------------
 
 def save_header(iterations: DataFrame, header: DataFrame) -> DataFrame:
-    """Append header rows with new ids, in category, eps and sample order."""
+    """Append header rows with new ids, in category, eps and sample order, then by brand, type and
+    group."""
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit(""))
+            for c in ("brand", "product_type", "product_group_id") if c in header.columns]
     order = F.concat_ws("|", F.coalesce("category", F.lit("")),
                         F.format_string("%012.4f", F.col("eps").cast("double")),
-                        F.format_string("%06d", F.col("sample").cast("int")))
+                        F.format_string("%06d", F.col("sample").cast("int")), *rest)
     return append_with_ids(iterations, header.withColumn("_key", order), "iteration_id",
                            "_key").drop("_key")
 
@@ -246,17 +249,27 @@ def delete_matching_runs(iterations: DataFrame, items: DataFrame, **filters
     return delete_runs(iterations, items, gone)
 
 
+# What headers and items may both carry.
+RUN_PARAMETERS = ("product_group_id", "brand", "category", "product_type", "eps", "sample")
+
+
 def save_run(iterations: DataFrame, items: DataFrame, header: DataFrame, found: DataFrame,
              **same) -> tuple[DataFrame, DataFrame]:
-    """Replace the runs with the parameters ``same`` by a new one: its header and its items.
+    """Replace the runs with the parameters ``same`` by new ones: headers and items.
 
-    Item ids are left NULL for the table to assign.
+    An item goes to the new header that agrees with it in all parameters both carry; a parameter
+    that a header leaves NULL agrees with any. Item ids are left NULL for the table to assign.
     """
     kept, kept_items = delete_matching_runs(iterations, items, **same) if same else (
         iterations, items)
     saved = save_header(kept, header)
-    newest = saved.agg(F.max("iteration_id").alias("iteration_id"))
-    new_items = found.crossJoin(newest)  # one row by construction
+    new = saved.join(kept.select("iteration_id"), "iteration_id", "left_anti")
+    shared = [c for c in RUN_PARAMETERS if c in found.columns and c in header.columns]
+    new = new.select("iteration_id", *[F.col(c).alias(f"_h_{c}") for c in shared])
+    agree = F.lit(True)
+    for c in shared:
+        agree = agree & (F.col(f"_h_{c}").isNull() | F.col(f"_h_{c}").eqNullSafe(F.col(c)))
+    new_items = found.join(new, agree)  # one side is the headers of one save
     return saved, kept_items.unionByName(
         new_items.select(*[c for c in new_items.columns if c in items.columns]),
         allowMissingColumns=True)

@@ -330,13 +330,17 @@ def top_scores(products: DataFrame, scores: DataFrame, competitors: DataFrame, s
 
 def comparison(competitors: DataFrame, scores: DataFrame, score_attributes: DataFrame,
                attributes: DataFrame, names: Sequence[str], product: DataFrame | None = None,
-               chosen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+               chosen: DataFrame | None = None, limit: int | None = None,
+               after: int | None = None) -> DataFrame:
     """Offers with saved totals and one <attribute>_score column per attribute name.
 
-    ``product`` restricts to its offers; ``limit`` is the page size of the dialog, in offer order.
+    ``product`` restricts to its offers; ``limit`` is the page size of the dialog, in offer order,
+    and a page begins after the offer id ``after``, so pages reach all offers.
     ``chosen`` (system_product_id, chosen_competitor_id, review_status) marks the selected offer.
     """
     rows = competitors
+    if after is not None:
+        rows = rows.filter(F.col("competitor_product_id") > after)
     if product is not None:
         rows = rows.join(product, "system_product_id", "left_semi")
         score_attributes = score_attributes.join(product, "system_product_id", "left_semi")
@@ -507,10 +511,18 @@ def apply_decisions(products: DataFrame, competitors: DataFrame, decisions: Data
     """Review decisions (competitor_product_id, decision) of any number of offers.
 
     Approved and rejected store offer and date; anything else only sets the product to pending.
-    One decision per product; offers that do not exist change nothing.
+    Of several decisions for a product the latest by ``decided_at`` counts, where given, then an
+    approval, then a rejection, then the greatest offer id; offers that do not exist change nothing.
     """
+    rank = F.when(F.col("decision") == "approved", 2).when(
+        F.col("decision") == "rejected", 1).otherwise(0)
+    order = F.struct(*([F.col("decided_at")] if "decided_at" in decisions.columns else []), rank,
+                     F.col("competitor_product_id"))
     of_product = decisions.join(
-        competitors.select("competitor_product_id", "system_product_id"), "competitor_product_id")
+        competitors.select("competitor_product_id", "system_product_id"), "competitor_product_id"
+    ).groupBy("system_product_id").agg(F.max_by(
+        F.struct("competitor_product_id", "decision"), order).alias("_last")).select(
+        "system_product_id", "_last.*")
     status = F.lit(DECISIONS["pending"])
     for name in ("approved", "rejected"):
         status = F.when(F.col("decision") == name, DECISIONS[name]).otherwise(status)

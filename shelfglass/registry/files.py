@@ -134,7 +134,7 @@ FROM ({FILE_ROWS}) p JOIN ({bounds_sql("category", FILE_ROWS)}) b ON b.category
 
 
 def results(t):
-    rows = t.fx_product.filter("group_id <> 3").drop("final_status", "iqr_status")
+    rows = t.fx_product.drop("final_status", "iqr_status")
     return A.analyse_file_rows(rows, FILE_CATEGORIES, algorithms=["IQR"]).select(
         "product_id", "brand", "category", "height", "final_status")
 

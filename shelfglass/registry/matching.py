@@ -277,10 +277,10 @@ def pivoted_attribute_scores(t):
 
 
 @query("R08_comparison_dialog", f"""
-SELECT * FROM ({COMPARISON}) x WHERE system_product_id = (SELECT min(system_product_id) FROM fx_score) ORDER BY competitor_product_id LIMIT 1000""")
+SELECT * FROM ({COMPARISON}) x WHERE system_product_id = (SELECT min(system_product_id) FROM fx_score)""")
 def comparison_dialog(t):
     product = t.fx_score.agg(F.min("system_product_id").alias("system_product_id"))
-    return compared(t, product=product, limit=1000).select(*COMPARED)
+    return compared(t, product=product).select(*COMPARED)
 
 
 @query("U32_stored_comparison", f"SELECT * FROM ({COMPARISON}) x")

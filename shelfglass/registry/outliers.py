@@ -80,11 +80,11 @@ def bounds_per_multiplier(t):
 
 @query("X03_type_bounds_per_population", f"""
 SELECT p.product_id, coalesce(b.n, 0) AS n, {", ".join(f"round(coalesce(b.{d}_lower, 0), 6) AS {d}_lower, round(coalesce(b.{d}_upper, 0), 6) AS {d}_upper" for d in DIMS)}
-FROM (SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q) p
-LEFT JOIN ({bounds_sql('category, kind', f"SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({GROUP_1}) q")}) b
+FROM (SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({ANALYSED}) q) p
+LEFT JOIN ({bounds_sql('category, kind', f"SELECT *, CASE WHEN skip_status = 0 THEN NULL ELSE product_type END AS kind FROM ({ANALYSED}) q")}) b
   ON p.category = b.category AND p.kind = b.kind""")
 def type_bounds_per_population(t):
-    rows = analysed(t, 1).withColumn(
+    rows = analysed(t).withColumn(
         "kind", F.when(F.col("skip_status").isNull(), F.col("product_type")))
     return rounded(O.with_type_bounds(rows, "kind", ["category"]), EDGE_NAMES).select(
         "product_id", "n", *EDGE_NAMES)
@@ -229,11 +229,11 @@ def cluster_labels(t):
 
 def chart_rows(t, algorithms=("IQR", "DBSCAN")):
     """The chart analysis: one population, raw dimensions, fences per type."""
-    return A.label_outliers(analysed(t, 1), [], algorithms, settings=["size"], drop_nonpositive=False)
+    return A.label_outliers(analysed(t), [], algorithms, settings=["size"], drop_nonpositive=False)
 
 
-CHART = f"WITH {C.points(GROUP_1, '1', ('size',), False)}, {C.noise()}"
-CHART_FROM = f"{typed_sql(GROUP_1)} JOIN noise n ON n.id = p.product_id"
+CHART = f"WITH {C.points(ANALYSED, '1', ('size',), False)}, {C.noise()}"
+CHART_FROM = f"{typed_sql(ANALYSED)} JOIN noise n ON n.id = p.product_id"
 
 
 @query("X10_combined_flags", f"""
@@ -261,7 +261,7 @@ def outlier_split(t):
 
 
 @query("S14_normal_split_iqr", f"""
-SELECT p.product_id FROM {typed_sql(GROUP_1)} WHERE NOT {ANY}""")
+SELECT p.product_id FROM {typed_sql(ANALYSED)} WHERE NOT {ANY}""")
 def normal_split_iqr(t):
     return exports.split_export(exports.labelled_export(chart_rows(t, ("IQR",)), ["IQR"]), "normal").select("product_id")
 
@@ -290,9 +290,9 @@ def chart_statistics(t):
 
 @query("A28_top_options", f"""
 SELECT CAST(v AS INT) AS value, CASE v WHEN 100 THEN 'Top 50+ Outliers' ELSE concat('Top ', CAST(v AS VARCHAR), ' Outliers') END AS label, n < v AS disabled
-FROM (SELECT count(*) FILTER ({ANY}) AS n FROM {typed_sql(GROUP_1)}) c, unnest([5, 10, 20, 30, 50, 100]) AS u(v)""")
+FROM (SELECT count(*) FILTER ({ANY}) AS n FROM {typed_sql(ANALYSED)}) c, unnest([5, 10, 20, 30, 50, 100]) AS u(v)""")
 def top_options(t):
-    return A.top_options(A.label_outliers(analysed(t, 1), [], ["IQR"]))
+    return A.top_options(A.label_outliers(analysed(t), [], ["IQR"]))
 
 
 RUN = f"WITH {C.points(GROUP_1, 'category')}, {C.noise()}"
@@ -406,7 +406,7 @@ def previous_with_bounds(t):
 
 # --- file mode -------------------------------------------------------------------------------
 
-FILE_ROWS = f"SELECT * FROM fx_product WHERE {MEASURED} AND {IN_FILE} AND group_id <> 3"
+FILE_ROWS = f"SELECT * FROM fx_product WHERE {MEASURED} AND {IN_FILE}"
 FILE = f"""{C.points(FILE_ROWS, "category", ("size",), False)}, {C.noise()},
 done AS (SELECT p.product_id, p.brand, p.category, n.noise, {", ".join(f"CASE WHEN {flag_sql(d)} THEN 'No' ELSE 'Yes' END AS iqr_{d}" for d in DIMS)},
   CASE WHEN {ANY} THEN 'No' ELSE 'Yes' END AS iqr_status, CASE WHEN n.noise THEN 'No' ELSE 'Yes' END AS dbscan_status,
@@ -415,7 +415,7 @@ done AS (SELECT p.product_id, p.brand, p.category, n.noise, {", ".join(f"CASE WH
 
 
 def file_rows(t):
-    rows = t.fx_product.filter("group_id <> 3").drop("final_status", "iqr_status")
+    rows = t.fx_product.drop("final_status", "iqr_status")
     return A.analyse_file_rows(rows, FILE_CATEGORIES)
 
 

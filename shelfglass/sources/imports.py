@@ -63,12 +63,18 @@ def check_mapping(schema: T.StructType | None, mapping: Mapping[str, str] | None
 
 
 def mapped_rows(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType) -> DataFrame:
-    """File columns under their table names: stripped, empty to NULL, cast to the table type."""
-    def value(source: str, target: str) -> Column:
-        text = F.nullif(strip(F.col(f"`{source}`").cast("string")), F.lit(""))
-        return text.try_cast(schema[target].dataType).alias(target)
+    """File columns under their table names: stripped, empty to NULL, cast to the table type.
 
-    return raw.select(*[value(s, t) for s, t in mapping.items()])
+    A row with a value that does not fit is rejected, so no good value is overwritten by NULL;
+    ``cast_errors`` reports it.
+    """
+    def text(source: str) -> Column:
+        return F.nullif(strip(F.col(f"`{source}`").cast("string")), F.lit(""))
+
+    fits = [text(s).isNull() | text(s).try_cast(schema[t].dataType).isNotNull()
+            for s, t in mapping.items()]
+    return raw.filter(reduce(lambda a, b: a & b, fits)).select(*[
+        text(s).try_cast(schema[t].dataType).alias(t) for s, t in mapping.items()])
 
 
 def _comparable(c: str) -> Column:
@@ -136,13 +142,13 @@ def import_report(base: DataFrame, rows: DataFrame, mode: str, identity: Sequenc
         (F.col("total") - F.col("_unique")).alias("duplicates"))
 
 
-def cast_errors(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType, first: int = 5
-                ) -> DataFrame:
-    """The first few values that do not fit their table column."""
+def cast_errors(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType,
+                first: int | None = None) -> DataFrame:
+    """The values that do not fit their table column; with ``first`` only so many."""
     checks = F.explode(F.array(*[
         F.struct(F.lit(t).alias("column"), strip(F.col(f"`{s}`").cast("string")).alias("value"),
                  strip(F.col(f"`{s}`").cast("string")).try_cast(schema[t].dataType).isNull()
                  .alias("bad")) for s, t in mapping.items()]))
-    return raw.select(checks.alias("e")).select("e.*").filter(
-        F.col("bad") & (F.col("value") != "")).select("column", "value").orderBy(
-        "column", "value").limit(first)
+    bad = raw.select(checks.alias("e")).select("e.*").filter(
+        F.col("bad") & (F.col("value") != "")).select("column", "value").orderBy("column", "value")
+    return bad.limit(first) if first else bad
