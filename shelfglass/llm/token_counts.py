@@ -62,7 +62,7 @@ def write_token_blocks(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             buffer, ends = buffer[upto:], [(at - upto, k) for at, k in ends[done:]]
             return out
 
-        for batch in batches:
+        for batch in wordtokens.parts(batches, 1, wordtokens.GATHER_BYTES):
             for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 buffer += ids.astype("<u2").tobytes() + end
                 ends.append((len(buffer), k))
