@@ -8,11 +8,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from shelfglass.registry import QUERIES
+from shelfglass.staging import drop_stages
 
 HEADLINE = [
     "P03_products_filtered", "A06_analysed_status", "A12_run_summary_disjoint", "A15_majority_vote",
@@ -28,7 +30,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-")).config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,6 +41,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 2)
+        drop_stages(spark)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 2),
                       "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1],
                       "cpus": int(cpus)}))
