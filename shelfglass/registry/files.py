@@ -88,7 +88,7 @@ def imported(t, mode: str):
     base = t.fx_product.select("product_id", "qb_code", "name", "height")
     schema = base.withColumn("line", F.lit(0).cast("bigint")).schema
     I.check_mapping(schema, MAPPING, mode, ["qb_code"], ["product_id"])
-    rows = I.mapped_rows(P.read_file(t.spark, import_file(t)), MAPPING, schema)
+    rows = I.mapped_rows(P.read_file(t.spark, import_file(t)), MAPPING, schema, reject=True)
     return base, rows
 
 

@@ -62,18 +62,20 @@ def check_mapping(schema: T.StructType | None, mapping: Mapping[str, str] | None
         raise ValueError(f"required columns not mapped: {', '.join(missing)}")
 
 
-def mapped_rows(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType) -> DataFrame:
+def mapped_rows(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType,
+                reject: bool = False) -> DataFrame:
     """File columns under their table names: stripped, empty to NULL, cast to the table type.
 
-    A row with a value that does not fit is rejected, so no good value is overwritten by NULL;
-    ``cast_errors`` reports it.
+    ``reject`` leaves out rows with a value that does not fit, which ``cast_errors`` reports, so
+    that an update overwrites no good value; otherwise such a value is NULL.
     """
     def text(source: str) -> Column:
         return F.nullif(strip(F.col(f"`{source}`").cast("string")), F.lit(""))
 
     fits = [text(s).isNull() | text(s).try_cast(schema[t].dataType).isNotNull()
             for s, t in mapping.items()]
-    return raw.filter(reduce(lambda a, b: a & b, fits)).select(*[
+    kept = raw.filter(reduce(lambda a, b: a & b, fits)) if reject else raw
+    return kept.select(*[
         text(s).try_cast(schema[t].dataType).alias(t) for s, t in mapping.items()])
 
 

@@ -68,7 +68,7 @@ def test_bad_values_reject_their_row(spark):
     raw = spark.createDataFrame([("1", "n/a"), ("2", "7.5"), ("3", "")], "sku string, cost string")
     schema = spark.createDataFrame([], "id int, price double").schema
     mapping = {"sku": "id", "cost": "price"}
-    rows = imports.mapped_rows(raw, mapping, schema)
+    rows = imports.mapped_rows(raw, mapping, schema, reject=True)
     base = spark.createDataFrame([(1, 5.0), (2, 5.0)], "id int, price double")
     after = imports.run_import(base, rows, "update", ["id"]).collect()
     assert sorted(map(tuple, after)) == [(1, 5.0), (2, 7.5)]
