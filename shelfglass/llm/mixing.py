@@ -142,7 +142,7 @@ def plan(sized: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_PASSES,
     whole = F.col("before") + F.col("words") <= rest
     cut = ~whole & (F.col("before") < rest)
     blocks = stage(blocks.select(
-        "id", "block", "blocks", "passes", "rank", whole.alias("extra"), cut.alias("cut"),
+        "id", "block", "passes", "rank", whole.alias("extra"), cut.alias("cut"),
         F.when(cut, rest - F.col("before")).alias("left")), "blocks")
 
     opened = rows.filter("size > 0").join(blocks.filter("cut").select("id", "block", "left"),
@@ -150,11 +150,13 @@ def plan(sized: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_PASSES,
     cuts = stage(opened.groupBy("id", "hash", "size", "left").agg(F.sum("size").alias("words"))
                  .groupBy("id").applyInPandas(_fill, "id long, hash long, size long"), "cuts")
 
-    copies = blocks.withColumn(
+    # Ranks run over the blocks that hold rows; a hash may leave others empty.
+    held = blocks.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
+    copies = blocks.join(held, "id").withColumn(
         "n", F.col("passes") + (F.col("extra") | F.col("cut")).cast("long")).filter("n > 0").select(
-        "id", "block", "blocks", "rank",
+        "id", "block", "held", "rank",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    copies = copies.withColumn("index", (F.col("copy") - 1) * F.col("blocks") + F.col("rank"))
+    copies = copies.withColumn("index", (F.col("copy") - 1) * F.col("held") + F.col("rank"))
     wanted = sources.agg(F.sum("target")).first()[0] or 0
     shards = max(1, int(np.ceil(wanted / shard_words)))
     drawn = _shard_quotas(copies.groupBy("id").agg(F.count(F.lit(1)).alias("quota")), shards, seed)

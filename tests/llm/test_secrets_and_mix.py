@@ -105,6 +105,19 @@ def test_mixed_rows_are_the_plan(make_docs):
     assert Counter(r["doc_id"] for r in out.collect()) == +plan
 
 
+def test_every_planned_copy_has_a_shard(make_docs):
+    """Texts larger than a block leave most of their source's blocks empty."""
+    rows = [(k, " ".join(["w"] * 1000), "a") for k in range(5)]
+    rows += [(10 + k, " ".join(["w"] * 50), "b") for k in range(200)]
+    docs, settings_ = make_docs(rows), {"block_words": 100, "shard_words": 900}
+    plan = Counter()
+    for r in mixing.mix(docs, **settings_).collect():
+        assert len(r["shards"] or []) == r["copies"]
+        plan[r["doc_id"]] += r["copies"]
+    assert max(plan[k] for k in range(5)) == 2
+    assert Counter(r["doc_id"] for r in mixing.mixed(docs, **settings_).collect()) == +plan
+
+
 def test_splitting_tree_deals_every_block_once():
     quotas = np.array([100, 0, 7, 33])
     every = dict(mixing.split_quotas(quotas, 6, 0, 6, seed=1))
