@@ -2,7 +2,8 @@
 
 Each source is cut into blocks by a hash of its rows, about ``block_words`` words each, and the
 blocks are permuted. A source's target asks for whole passes over it, then for the first blocks of
-the permutation, and for some rows of one more block. That gives an exact quota of block copies
+the permutation, and for some rows of one more block; where those leave room, the rest goes on to
+the blocks that follow. A large row is a block by itself. That gives an exact quota of block copies
 for every source. A binary tree splits the quotas among the output shards: at every node the left
 half's share is drawn from the multivariate hypergeometric law, as if all copies had been shuffled
 together. A shard then draws its copies from the permutations, disjoint from all others, and
@@ -12,6 +13,7 @@ shuffles them locally.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from shelfglass.staging import stage
 WEIGHTS, SHARE, MOST_PASSES = (5, 2, 1), 1.5, 2
 #: Words of a block and of an output shard; blocks (or shards) that one task orders.
 BLOCK_WORDS, SHARD_WORDS, GROUP = 1 << 16, 1 << 22, 1 << 10
+#: A row of more than this part of a block's words is a block by itself.
+LARGE_PART = 8
 SEED = 17
 
 
@@ -118,7 +122,46 @@ def _fill(part: pd.DataFrame) -> pd.DataFrame:
             break
         taken[own[k]], taken[other[best[k]]] = False, True
         left -= gain[k]
-    return part.loc[taken, ["id", "hash", "size"]]
+    return part.loc[taken, ["id", "hash", "size", "words"]]
+
+
+def _fill_targets(rows: DataFrame, sources: DataFrame, blocks: DataFrame
+                  ) -> tuple[DataFrame, DataFrame]:
+    """(id, block, extra, cut): blocks taken once more, whole or in part, and (id, hash, size): the
+    rows taken of the latter.
+
+    In every round a source takes the next blocks of its permutation up to one that does not fit,
+    and the rows of that one that do. What is left goes on to the next round. Blocks whose smallest
+    row does not fit are passed over. A round takes a row or passes a block, so rounds end; they
+    end when no row that is left out fits.
+    """
+    left = sources.select("id", (F.col("target") - F.col("passes") * F.col("source_size")).alias(
+        "left"), F.lit(None).cast("long").alias("at"), (F.col("source_size") == 0).alias("empty"))
+    fits = (F.col("at").isNull() | (F.col("turn") > F.col("at"))) & (F.col("least") <= F.col("left"))
+    # Blocks without words go along on the way to the first cut.
+    wordless = F.col("at").isNull() & F.col("least").isNull() & (
+        (F.col("left") > 0) | F.col("empty"))
+    whole = F.col("before") + F.col("words") <= F.col("left")
+    cut = ~whole & (F.col("before") <= F.col("left"))
+    rounds, filled = [], []
+    while True:
+        todo = running_sums(blocks.join(left, "id").filter(fits | wordless), ["id"], "group", "turn",
+                            {"before": "words"})
+        step = stage(todo.filter(whole | cut).select(
+            "id", "block", "turn", whole.alias("extra"), cut.alias("cut"),
+            (F.col("left") - F.col("before")).alias("left")), "round")
+        last = step.filter("cut").select("id", "block", "left", "turn")
+        opened = rows.filter("size > 0").join(last.select("id", "block", "left"), ["id", "block"])
+        own = stage(opened.groupBy("id", "hash", "size", "left").agg(F.sum("size").alias("words"))
+                    .groupBy("id").applyInPandas(_fill, "id long, hash long, size long, words long"),
+                    "cuts")
+        rounds.append(step.select("id", "block", "extra", "cut"))
+        filled.append(own.select("id", "hash", "size"))
+        left = stage(last.join(own.groupBy("id").agg(F.sum("words").alias("words")), "id", "left")
+                     .select("id", (F.col("left") - F.coalesce("words", F.lit(0))).alias("left"),
+                             F.col("turn").alias("at"), F.lit(False).alias("empty")), "left")
+        if blocks.join(left, "id").filter(fits).isEmpty():
+            return reduce(DataFrame.unionByName, rounds), reduce(DataFrame.unionByName, filled)
 
 
 def plan(sized: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_PASSES,
@@ -130,33 +173,30 @@ def plan(sized: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_PASSES,
     sources = sources.withColumns({
         "blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"),
         "passes": F.when(F.col("source_size") > 0, F.floor(
-            F.col("target") / F.col("source_size"))).otherwise(0).cast("long")})
+            F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
+        "large": F.lit(block_words // LARGE_PART).cast("long")})
     rows = in_blocks(sized, sources)
     turn = F.xxhash64(F.lit(seed + 1), "id", "block")
-    blocks = rows.groupBy("id", "block", "blocks", "passes", "source_size", "target").agg(
-        F.sum("size").alias("words")).withColumns({
-            "turn": turn, "one": F.lit(1).cast("long"),
-            "group": F.floor((turn / float(2**64) + 0.5) * F.ceil(F.col("blocks") / GROUP))})
-    blocks = running_sums(blocks, ["id"], "group", "turn", {"before": "words", "rank": "one"})
-    rest = F.col("target") - F.col("passes") * F.col("source_size")
-    whole = F.col("before") + F.col("words") <= rest
-    cut = ~whole & (F.col("before") < rest)
-    blocks = stage(blocks.select(
-        "id", "block", "passes", "rank", whole.alias("extra"), cut.alias("cut"),
-        F.when(cut, rest - F.col("before")).alias("left")), "blocks")
-
-    opened = rows.filter("size > 0").join(blocks.filter("cut").select("id", "block", "left"),
-                                          ["id", "block"])
-    cuts = stage(opened.groupBy("id", "hash", "size", "left").agg(F.sum("size").alias("words"))
-                 .groupBy("id").applyInPandas(_fill, "id long, hash long, size long"), "cuts")
-
-    # Ranks run over the blocks that hold rows; a hash may leave others empty.
+    blocks = stage(rows.groupBy("id", "block", "blocks", "passes").agg(
+        F.sum("size").alias("words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+        .withColumns({"turn": turn, "group": F.floor(
+            (turn / float(2**64) + 0.5) * F.ceil(F.col("blocks") / GROUP))}).drop("blocks"), "blocks")
+    taken, cuts = _fill_targets(rows, sources, blocks)
+    more = (F.col("extra") | F.col("cut")).cast("long")
+    blocks = blocks.join(taken, ["id", "block"], "left").na.fill(
+        False, ["extra", "cut"]).withColumns({"one": F.lit(1).cast("long"), "more": more})
+    blocks = stage(running_sums(blocks, ["id"], "group", "turn", {
+        "rank": "one", "more_rank": "more"}).select(
+        "id", "block", "passes", "rank", "more_rank", "more", "extra", "cut"), "ranked")
+
+    # Whole passes come first, then the blocks taken once more. Ranks run over the blocks that
+    # hold rows; a hash may leave others empty.
     held = blocks.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
-    copies = blocks.join(held, "id").withColumn(
-        "n", F.col("passes") + (F.col("extra") | F.col("cut")).cast("long")).filter("n > 0").select(
-        "id", "block", "held", "rank",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    copies = copies.withColumn("index", (F.col("copy") - 1) * F.col("held") + F.col("rank"))
+    copies = blocks.join(held, "id").withColumn("n", F.col("passes") + F.col("more")).filter(
+        "n > 0").select("id", "block", "passes", "held", "rank", "more_rank",
+                        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    copies = copies.withColumn("index", (F.col("copy") - 1) * F.col("held") + F.when(
+        F.col("copy") > F.col("passes"), F.col("more_rank")).otherwise(F.col("rank")))
     wanted = sources.agg(F.sum("target")).first()[0] or 0
     shards = max(1, int(np.ceil(wanted / shard_words)))
     drawn = _shard_quotas(copies.groupBy("id").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
@@ -164,7 +204,7 @@ def plan(sized: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_PASSES,
                          "shard", {"first": "quota"})
     places = drawn.select("id", "shard", F.explode(F.sequence(
         "first", F.col("first") + F.col("quota") - 1)).alias("index"))
-    # Quotas count the copies there are; the ranks of extra and cut blocks are the lowest.
+    # Quotas count the copies there are, and indexes run without gaps.
     placed = copies.join(places, ["id", "index"]).groupBy("id", "block").agg(
         F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("places"))
     blocks = stage(blocks.join(placed, ["id", "block"], "left"), "dealt")
@@ -172,10 +212,13 @@ def plan(sized: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_PASSES,
 
 
 def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows (source, hash, …) with their source's columns and their block."""
+    """Rows (source, size, hash, …) with their source's columns and their block, a negative one
+    for a large row."""
     named = sources.withColumnRenamed("source", "_source")
+    alone = -1 - F.col("hash").bitwiseAND(F.lit((1 << 63) - 1))
     return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn(
-        "block", F.pmod(F.shiftright("hash", 3), F.col("blocks")))
+        "block", F.when(F.col("size") > F.col("large"), alone).otherwise(
+            F.pmod(F.shiftright("hash", 3), F.col("blocks"))))
 
 
 def _chosen(rows: DataFrame, sources: DataFrame, blocks: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -206,8 +249,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     of its own, the last one. Null and empty texts have size 0 and go with the whole passes and
     blocks. Repeated rows share their fate and are counted each; equal hashes go by size. A row is
     taken at most ``most`` times, whole each time; a source's taken words stay below its target,
-    by less than the smallest row passed over in its cut block. Everything follows from
-    hashes and seeds, so reruns agree. An empty table gives no rows; other columns are not read.
+    by less than the smallest row with words (with its repeats) that the last pass leaves out.
+    Everything follows from hashes and seeds, so reruns agree. An empty table gives no rows; other columns are not read.
     """
     sized = stage(_sized(docs, key, text, source, settings.get("seed", SEED)), "sized")
     rows = _chosen(sized, *plan(sized, **settings))

@@ -118,6 +118,23 @@ def test_every_planned_copy_has_a_shard(make_docs):
     assert Counter(r["doc_id"] for r in mixing.mixed(docs, **settings_).collect()) == +plan
 
 
+def test_a_large_text_that_does_not_fit_leaves_its_room_to_others(make_docs):
+    rows = [(1000 * s, " ".join(["w"] * (600 + 100 * s)), f"s{s}") for s in range(10)]
+    rows += [(1000 * s + k, " ".join(["w"] * (5 + k % 16)), f"s{s}")
+             for s in range(10) for k in range(1, 100)]
+    docs = make_docs(rows)
+    short, out = {}, defaultdict(list)
+    for r in mixing.mix(docs, weights=(1, 2), block_words=200, shard_words=900).collect():
+        s = r["doc_id"] // 1000
+        short[s] = short.get(s, r["target"]) - r["taken"]
+        assert len(r["shards"] or []) == r["copies"] <= 2
+        out[s].append((r["copies"], r["size"]))
+    for s, words in short.items():
+        most = max(n for n, _ in out[s])
+        smallest = min((w for n, w in out[s] if n < most), default=1)
+        assert -1e-6 <= words < smallest
+
+
 def test_splitting_tree_deals_every_block_once():
     quotas = np.array([100, 0, 7, 33])
     every = dict(mixing.split_quotas(quotas, 6, 0, 6, seed=1))
