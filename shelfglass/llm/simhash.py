@@ -2,9 +2,9 @@
 
 A text's terms are its pairs of neighbouring words, as often as they occur. Every term's hash
 votes on each bit of the fingerprint: one for a set bit, minus one otherwise; the sign of the sum
-decides. Fingerprints within a radius are found by permuted block tables: the bits are cut into
-blocks, and two fingerprints that differ in few bits agree on some choice of whole blocks, by
-which they meet in an equi-join. Only DataFrame functions are used.
+decides. Fingerprints within a radius are found by block tables: the bits are cut into blocks, and
+two fingerprints that differ in few bits differ in very few on some block. They meet in an equi-join
+with all values so near to a query's block. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from shelfglass.staging import stage
 BITS = 128
 #: Ids that one window orders together, and such groups that the next level orders.
 GROUP_IDS, GROUP_GROUPS = 64, 1024
-#: Hamming radius, and blocks of each 64-bit half.
-RADIUS, BLOCKS = 6, 5
+#: Hamming radius, at which most texts of a shingle Jaccard of 0.75 are found (see the README), and
+#: blocks of the search.
+RADIUS, BLOCKS = 20, 7
 
 _PAIR = 0x0000000100000001  # the lowest bits of two 32-bit counters
 
@@ -72,36 +73,57 @@ def likeness(a_high: Column, a_low: Column, b_high: Column, b_low: Column) -> Co
     return 1 - distance(a_high, a_low, b_high, b_low) / float(BITS)
 
 
+def _block(high: Column, low: Column, start: int, end: int) -> Column:
+    """Bits ``start`` to ``end`` (exclusive) of the fingerprint, counted from the lowest."""
+    parts = []
+    for word, first in ((low, 0), (high, 64)):
+        a, b = max(start - first, 0), min(end - first, 64)
+        if a < b:
+            bits = F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+            parts.append(F.shiftleft(bits, first + a - start))
+    return parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1])
+
+
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS,
                   blocks: int = BLOCKS) -> DataFrame:
     """Pairs (query_high, query_low, high, low) of distinct fingerprints within ``radius``.
 
-    One half of two such fingerprints differs in at most ``radius // 2`` bits, so it agrees on
-    ``blocks - radius // 2`` of its blocks: there is a table for each half and choice of blocks.
-    Both sides are made distinct first; a pair found by several tables is given once.
+    The bits are cut into blocks, whose allowances plus one add up to ``radius + 1``; so two such
+    fingerprints differ on some block in no more bits than its allowance. Each print stands in a
+    table per block, and a query looks there for every value within the allowance. Both sides are
+    made distinct first; of the tables that find a pair, the first one gives it.
     """
-    agree = blocks - radius // 2
-    if agree < 1:
-        raise ValueError("radius needs more blocks")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-
-    def tables(frame: DataFrame) -> DataFrame:
-        keys = []
-        for t, (half, kept) in enumerate((h, c) for h in ("high", "low")
-                                         for c in combinations(range(blocks), agree)):
-            mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in kept)
-            mask -= (1 << 64) if mask >= 1 << 63 else 0
-            keys.append(F.struct(F.lit(t).alias("t"), F.col(half).bitwiseAND(F.lit(mask)).alias(
-                "bits")))
-        return frame.select("high", "low", F.explode(F.array(*keys)).alias("key")).select(
-            "high", "low", "key.t", "key.bits")
-
-    asked = tables(queries.select("high", "low").distinct()).select(
-        F.col("high").alias("query_high"), F.col("low").alias("query_low"), "t", "bits")
-    met = asked.join(tables(prints.select("high", "low").distinct()), ["t", "bits"])
-    return met.filter(distance(F.col("query_high"), F.col("query_low"), F.col("high"),
-                               F.col("low")) <= radius).select(
-        "query_high", "query_low", "high", "low").distinct()
+    if not 3 <= blocks <= 16:
+        raise ValueError("blocks must be 3 to 16")
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    cut = [(t, a, b, (radius + 1 + t) // blocks - 1) for t, (a, b) in enumerate(
+        zip(edges, edges[1:], strict=False))]
+    cut = [x for x in cut if x[3] >= 0]
+
+    def keyed(t: int, bits: Column) -> Column:
+        return bits.bitwiseXOR(F.lit(t << 64 - 4) if t < 8 else F.lit((t << 64 - 4) - (1 << 64)))
+
+    def changes(width: int, most: int) -> Column:
+        return F.array(*(F.lit(sum(1 << k for k in c)).cast("long") for n in range(most + 1)
+                         for c in combinations(range(width), n)))
+
+    def probes(t: int, a: int, b: int, most: int) -> Column:
+        key = keyed(t, _block(F.col("query_high"), F.col("query_low"), a, b))
+        return F.transform(changes(b - a, most), lambda change: key.bitwiseXOR(change))
+
+    asked = queries.select(F.col("high").alias("query_high"), F.col("low").alias(
+        "query_low")).distinct()
+    asked = asked.select("query_high", "query_low", F.explode(F.concat(*(
+        probes(*x) for x in cut))).alias("bits"))
+    tables = prints.select("high", "low").distinct().select("high", "low", F.explode(F.array(*(
+        keyed(t, _block(F.col("high"), F.col("low"), a, b)) for t, a, b, _ in cut))).alias("bits"))
+    pair = F.col("query_high"), F.col("query_low"), F.col("high"), F.col("low")
+    differing = (pair[0].bitwiseXOR(pair[2]), pair[1].bitwiseXOR(pair[3]))
+    first = F.coalesce(*(F.when(F.bit_count(_block(*differing, a, b)) <= most, F.lit(t))
+                         for t, a, b, most in cut))
+    return asked.join(tables, "bits").filter(
+        (distance(*pair) <= radius)
+        & (first == F.shiftrightunsigned("bits", 64 - 4))).select(*pair)
 
 
 def with_next_text(docs: DataFrame, key: str, text: str) -> DataFrame:

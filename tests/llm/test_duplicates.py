@@ -169,6 +169,37 @@ def test_radius_search_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("radius,blocks", [(simhash.RADIUS, simhash.BLOCKS), (3, 6), (9, 11)])
+def test_radius_search_finds_each_pair_once(spark, radius, blocks):
+    rng = random.Random(8)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    prints = {x ^ sum(1 << b for b in rng.sample(range(128), n)) for x in base for n in range(25)}
+    prints |= {base[0] ^ ((1 << n) - 1) << 50 for n in range(25)} | {0, (1 << 128) - 1}
+    signed = {x: tuple(w - (1 << 64) if w >> 63 else w for w in (x >> 64, x & (1 << 64) - 1))
+              for x in prints}
+    frame = spark.createDataFrame(list(signed.values()), "high long, low long")
+    got = Counter(tuple(r) for r in simhash.within_radius(frame, frame, radius, blocks).collect())
+    assert got == Counter((*signed[a], *signed[b]) for a in prints for b in prints
+                          if (a ^ b).bit_count() <= radius)
+
+
+def test_near_count_reaches_a_jaccard_of_three_quarters(spark, make_docs, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for k in range(0, 400, 20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((k, " ".join(words)))
+        for at in (40, 90, 120, 160):
+            words[at] = f"other{k}"
+        rows.append((k + 1, " ".join(words)))
+    assert all(len(shingle_set(a) & shingle_set(b)) >= 0.75 * len(shingle_set(a) | shingle_set(b))
+               for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["n_near"] for r in simhash.op4_simhash(spark, str(tmp_path)).collect()
+           if r["doc_id"] % 20 == 0]
+    assert sum(n >= 1 for n in got) >= 0.9 * len(got)
+
+
 def test_next_text_by_id(make_docs, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_GROUPS", 2)
     rows = [(k, f"t{k}") for k in (-500, -3, 0, 1, 63, 64, 700, 10_000, 10_001, 999_999)]
