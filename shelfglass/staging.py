@@ -48,13 +48,18 @@ def compiled_plans(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_METHOD_LIMIT, before)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for files that ``drop_stages`` deletes."""
+    _written.append(f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     with compiled_plans(spark):
         df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
