@@ -2,6 +2,7 @@
 
 from shelfglass.llm import (  # noqa: F401
     cotraining,
+    hard_negatives,
     hnsw,
     jaccard_join,
     line_chunks,
@@ -9,8 +10,10 @@ from shelfglass.llm import (  # noqa: F401
     packing,
     secret_scan,
     simhash,
+    spelling,
     token_counts,
     toxicity,
+    warc,
 )
 from shelfglass.llm.registry import ORACLES, QUERIES
 
