@@ -87,10 +87,10 @@ def test_matches_brute_force(spark, make_docs):
 
 def test_blocks_and_parts_change_nothing(spark, make_docs):
     docs = make_docs(made_rows())
-    words = spelling.counted(spelling.runs(docs, "doc_id", "text", 6), 6, 5)
+    words = spelling.word_counts(docs, "doc_id", "text", 6, 5)
     want = rows_of(spelling.variants(words))
     assert rows_of(spelling.variants(words, parts=3, block=2)) == want
-    assert rows_of(spelling.variants(words, parts=4, block=1)) == want
+    assert rows_of(spelling.variants(words, parts=7, block=1)) == want
 
 
 def test_odd_rows(spark, odd, make_docs):
