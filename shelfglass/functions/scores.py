@@ -115,65 +115,85 @@ def price_score(own: Column, other: Column, config: dict[str, float] | None = No
 # --- character grams -------------------------------------------------------------------------
 
 def gram_features(value: Column) -> Column:
-    """Struct of distinct grams, the few grams that repeat with their counts, and Σ count².
+    """Struct of the distinct grams, hashed and sorted, those that repeat with their counts, sorted,
+    and Σ count².
 
-    Texts whose normalised form is shorter than two characters get no grams. Repeats stand next
-    to each other in the sorted grams, so the cost is n log n in the length of the text.
+    Texts whose normalised form is shorter than two characters get no grams. Repeats stand next to
+    each other in the sorted grams, so one pass finds where their runs end, and the cost is n log n
+    in the length of the text. Grams are 64-bit hashes, on which set operations are compiled.
     """
     text = T.normalize_text(F.coalesce(value.cast("string"), F.lit("")))
-    no_grams = F.array().cast("array<string>")
+    hashed = F.transform(T.text_grams(text), lambda g: F.xxhash64(g))
+
+    def runs(extra: Column) -> Column:
+        """(gram, n) of a sorted list of the second and later occurrences."""
+        last = F.size(extra) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (
+            F.get(extra, i) != F.get(extra, i + 1)))
+        return let(ends, lambda ends: F.transform(ends, lambda p, j: F.struct(
+            F.get(extra, p).alias("gram"),
+            (p - F.coalesce(F.get(ends, j - 1), F.lit(-1)) + 1).cast("bigint").alias("n"))))
 
     def counted(grams: Column) -> Column:
         extra = F.filter(grams, lambda g, i: g == F.get(grams, i + 1))
-
-        def repeats(more: Column) -> Column:
-            count = lambda g: F.size(F.filter(more, lambda m: m == g)) + 1
-            return F.transform(F.array_distinct(more), lambda g: F.struct(
-                g.alias("gram"), count(g).alias("n")))
+        none = F.array().cast("array<struct<gram:bigint,n:bigint>>")
 
         def summary(distinct: Column, again: Column) -> Column:
             square = F.aggregate(again, F.size(distinct).cast("bigint"),
                                  lambda acc, r: acc + r["n"] * r["n"] - 1)
-            return F.struct(distinct.alias("grams"), again.alias("repeats"),
-                            square.alias("square"))
+            return F.struct(distinct.alias("grams"), again.alias("again"), square.alias("square"))
 
+        repeated = let(extra, lambda e: F.when(F.size(e) > 0, runs(e)).otherwise(none))
         return let(F.array_distinct(grams), lambda distinct: let(
-            let(extra, repeats), lambda again: summary(distinct, again)))
+            repeated, lambda again: summary(distinct, again)))
 
-    return let(
-        F.when(F.length(text) >= 2, F.array_sort(T.text_grams(text))).otherwise(no_grams), counted
-    )
+    no_grams = F.array().cast("array<bigint>")
+    return let(F.when(F.length(text) >= 2, F.array_sort(hashed)).otherwise(no_grams), counted)
 
 
-def gram_score(a: Column, b: Column) -> Column:
-    """Cosine of the two tf-idf gram vectors, the idf fitted on just these two texts.
+def _merged(a: Column, b: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """Sum of ``value`` of the counts of the grams that two run-length lists share: in the merged
+    list they stand next to each other."""
+    def neighbours(both: Column) -> Column:
+        each = F.zip_with(both, F.slice(both, F.lit(2), F.size(both)), lambda x, y: F.when(
+            x["gram"] == y["gram"], value(x["n"], y["n"])).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(each, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
 
-    With common grams weighted 1 and others κ, |a|² = κ²·Σt² + (1−κ²)·Σ_common t², so only the
-    intersection and the repeated grams are visited per pair.
-    """
-    kappa = SINGLE_IDF * SINGLE_IDF
     zero = F.lit(0).cast("bigint")
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), let(
+        F.array_sort(F.concat(a, b)), neighbours)).otherwise(zero)
 
-    def times(side: Column, gram: Column) -> Column:
-        found = F.filter(side["repeats"], lambda r: r["gram"] == gram)
-        return F.coalesce(F.get(found, F.lit(0))["n"], F.lit(1))
 
-    def cosine(common: Column) -> Column:
-        def surplus(side: Column) -> Column:
-            shared = F.filter(side["repeats"], lambda r: F.array_contains(common, r["gram"]))
-            return F.aggregate(shared, zero, lambda acc, r: acc + r["n"] * r["n"] - 1)
+def gram_score(a: Column, b: Column) -> Column:
+    """Cosine of the two tf-idf gram vectors, the idf fitted on just these two texts.
 
-        repeated = F.array_intersect(
-            F.array_union(a["repeats"]["gram"], b["repeats"]["gram"]), common
-        )
-        size = F.size(common)
-        dot = size + F.aggregate(
-            repeated, zero, lambda acc, g: acc + times(a, g) * times(b, g) - 1
-        )
-        norm = lambda side: side["square"] * kappa + (size + surplus(side)) * (1 - kappa)
-        return F.when(size > 0, dot * 100.0 / F.sqrt(norm(a) * norm(b))).otherwise(0.0)
+    With common grams weighted 1 and others κ, |a|² = κ²·Σt² + (1−κ²)·Σ_common t². Every common gram
+    counts 1 at first; grams that repeat on a side add what is more, found by merging sorted
+    run-length lists, so a pair costs no more than sorting its repeated grams.
+    """
+    kappa = SINGLE_IDF * SINGLE_IDF
 
-    return let(F.array_intersect(a["grams"], b["grams"]), cosine)
+    def marks(side: Column, grams: Column) -> Column:
+        """Repeated grams of a side that the other one has, with a count of 0: the smaller entry."""
+        shared = F.array_intersect(side["again"]["gram"], grams)
+        return F.transform(shared, lambda g: F.struct(
+            g.alias("gram"), F.lit(0).cast("bigint").alias("n")))
+
+    def cosine(size: Column) -> Column:
+        def with_marks(in_a: Column, in_b: Column) -> Column:
+            more = lambda side, m: _merged(side["again"], m, lambda zero, n: n - 1)
+            surplus = lambda side, m: _merged(
+                side["again"], m, lambda zero, n: n * n - 1)
+            dot = size + more(a, in_a) + more(b, in_b) + _merged(
+                a["again"], b["again"], lambda n, m: (n - 1) * (m - 1))
+            norm = lambda side, m: side["square"] * kappa + (
+                size + surplus(side, m)) * (1 - kappa)
+            return dot * 100.0 / F.sqrt(norm(a, in_a) * norm(b, in_b))
+
+        return F.when(size > 0, let(marks(a, b["grams"]), lambda in_a: let(
+            marks(b, a["grams"]), lambda in_b: with_marks(in_a, in_b)))).otherwise(0.0)
+
+    return let(F.size(F.array_intersect(a["grams"], b["grams"])), cosine)
 
 
 # --- registry --------------------------------------------------------------------------------

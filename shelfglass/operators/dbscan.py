@@ -10,23 +10,28 @@ How it stays far from quadratic:
 * copies of a point are one weighted point;
 * the cells have diagonal <= eps, so a cell with ``min_samples`` rows is all core and all of one
   cluster without a single distance;
-* cells meet through an equi-join on a coarse grid of at most three features, each cell pair is
-  first decided by its two tight boxes (farther than eps: nothing, wholly within eps: everything);
-* what the boxes leave open is compared point by point only for small cells. Large cells are
-  halved along every feature, again and again, until boxes decide or few points remain; every
-  comparison is therefore bounded by ``leaf`` and none is skipped.
+* cells meet by a descent over pairs of boxes: cells are united into ever larger boxes by halving
+  their coordinates, the few boxes of the coarsest level meet each other, and a pair of boxes hands
+  down to the pairs of its halves only while its tight boxes come within eps. The pairs formed
+  therefore grow with the pairs within reach, whatever the number of features;
+* each cell pair is first decided by its two tight boxes (farther than eps: nothing, wholly within
+  eps: everything); what the boxes leave open is compared point by point only for small cells.
+  Large cells are halved along every feature, again and again, until boxes decide or few points
+  remain; every comparison is therefore bounded by ``leaf`` and none is skipped;
+* all settings of one eps share their cells, pairs and neighbourhood counts: a point's level is the
+  number of its ``min_samples`` values that the count reaches, two cells touch up to the highest
+  level of close points, and lower levels only add core points and edges.
 
 All groups and all parameter settings run in the same jobs.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfglass.operators.components import component_labels
@@ -42,8 +47,12 @@ RATIO_EPSILON = 1e-6
 LEAF = 64
 _MAX_LEVEL = 48
 
-# A clustering run is one group (g, the row order of its first row) under one setting (k). Cells
-# and their parts are named by the row order of their first point, so all joins are on integers.
+# Boxes of one run that meet each other at the start of the descent.
+_START_BOXES = 64
+
+# A clustering run is one group (g, the row order of its first row) under one eps (k), for all
+# ``min_samples`` that go with it (needs, ascending). Cells, boxes and parts are named by the row
+# order of their first point, so all joins are on integers.
 RUN = ["g", "k"]
 
 
@@ -112,9 +121,9 @@ def _bounds(d: int) -> list[str]:
     return [*_flat("lo", d), *_flat("hi", d)]
 
 
-def _summary(d: int) -> list[Column]:
-    """Name, weight, size and tight box of a set of points."""
-    return [F.min("first").alias("node"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"),
+def _summary(d: int, combine) -> list[Column]:
+    """Name, value, size and tight box of a set of points; a value is a weight (sum) or level (max)."""
+    return [F.min("first").alias("node"), combine("v").alias("v"), F.count(F.lit(1)).alias("m"),
             *[F.min(f"z{i}").alias(f"lo{i}") for i in range(d)],
             *[F.max(f"z{i}").alias(f"hi{i}") for i in range(d)]]
 
@@ -132,37 +141,38 @@ def _counted_stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFr
     return table, table.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
 
 
-def _split(points: DataFrame, parents: DataFrame, level: int, d: int
+def _split(points: DataFrame, parents: DataFrame, level: int, d: int, combine
            ) -> tuple[DataFrame, DataFrame]:
     """Parts of the given nodes one level down, and their points under the new node names.
 
-    points: g, k, eps, node, first, w, z*. Parts carry their parent's name.
+    points: g, k, eps, node, first, v, z*. Parts carry their parent's name.
     """
     kept = points.join(parents, [*RUN, "node"], "left_semi").withColumnRenamed(
         "node", "parent").withColumn("part", _cell_at(level, d))
-    parts = stage(kept.groupBy(*RUN, "parent", "part").agg(*_summary(d)), "parts")
+    parts = stage(kept.groupBy(*RUN, "parent", "part").agg(*_summary(d, combine)), "parts")
     moved = kept.join(parts.select(*RUN, "parent", "part", "node"), [*RUN, "parent", "part"])
     return parts.drop("part"), stage(moved.drop("parent", "part"), "moved")
 
 
 # --- points against cells --------------------------------------------------------------------
 
-def _within(asked: DataFrame, points: DataFrame, d: int, leaf: int, largest: int) -> DataFrame:
-    """Weight of the points of cell ``t`` within eps of each asking point.
+def _within(asked: DataFrame, points: DataFrame, d: int, leaf: int, largest: int, combine
+            ) -> DataFrame:
+    """The combined value of the points of cell ``t`` within eps of each asking point.
 
-    asked: g, k, eps, first, z* and the target cell: t, n, m, lo*, hi*. points: g, k, eps, node
-    (the cell), first, w, z*. Returns g, k, first, t, hits with hits > 0.
+    asked: g, k, eps, first, z* and the target cell: t, v, m, lo*, hi*. points: g, k, eps, node
+    (the cell), first, v, z*. Returns g, k, first, t, v for the pairs with a point within eps.
     """
     sides, z = ("z", "z", "lo", "hi"), _flat("z", d)
 
     def inside(sure: DataFrame) -> DataFrame:
-        return sure.select(*RUN, "first", "t", F.col("n").alias("hits"))
+        return sure.select(*RUN, "first", "t", "v")
 
     def compare(rows: DataFrame, among: DataFrame) -> DataFrame:
-        other = among.select(*RUN, "node", "w", *[F.col(c).alias(f"q{c[1:]}") for c in z])
+        other = among.select(*RUN, "node", "v", *[F.col(c).alias(f"q{c[1:]}") for c in z])
         near = rows.select(*RUN, "eps", "first", "t", "node", *z).join(other, [*RUN, "node"])
         return near.filter(f"{_distance2('z', 'q', d)} <= eps * eps").select(
-            *RUN, "first", "t", F.col("w").alias("hits"))
+            *RUN, "first", "t", "v")
 
     sure, undecided = _decide(asked.withColumn("node", F.col("t")), sides, d, "first")
     found = [inside(sure)]
@@ -174,7 +184,7 @@ def _within(asked: DataFrame, points: DataFrame, d: int, leaf: int, largest: int
             undecided.filter(F.col("m") > leaf), "asked", n=F.count(F.lit(1)))
         level = 1
         while seen["n"]:
-            parts, points = _split(points, rest.select(*RUN, "node"), level, d)
+            parts, points = _split(points, rest.select(*RUN, "node"), level, d, combine)
             step = rest.select(*RUN, "eps", "first", "t", *z, F.col("node").alias("parent")).join(
                 parts, [*RUN, "parent"]).drop("parent")
             sure, undecided = _decide(step, sides, d, "first")
@@ -183,155 +193,227 @@ def _within(asked: DataFrame, points: DataFrame, d: int, leaf: int, largest: int
             rest, seen = _counted_stage(undecided.filter(~few), "asked", n=F.count(F.lit(1)))
             level += 1
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy(*RUN, "first", "t").agg(F.sum("hits").alias("hits"))
+    return every.groupBy(*RUN, "first", "t").agg(combine("v").alias("v"))
 
 
 # --- cells against cells ---------------------------------------------------------------------
 
+def _boxes(cells: DataFrame, d: int) -> tuple[DataFrame, int]:
+    """All levels of boxes over the cells (g, k, lev, node, parent, lo*, hi*), and the level at
+    which the descent starts: the first with few boxes in every run.
+
+    A level unites the cells whose coordinates agree after so many halvings, down to a box on each
+    side of zero in every feature.
+    """
+    high = cells.agg(F.max(F.greatest(*[
+        F.abs(F.col("cell")[i]) for i in range(d)] if d > 1 else [F.abs(F.col("cell")[0])] * 2))
+    ).first()[0]
+    top = int(high + 1).bit_length()
+    halved = F.expr("array(" + ", ".join(f"shiftright(cell[{i}], lev)" for i in range(d)) + ")")
+    every = cells.select(*RUN, "node", *_bounds(d), "cell", F.explode(
+        F.sequence(F.lit(0), F.lit(top))).alias("lev")).withColumn("cell", halved)
+    boxes = stage(every.groupBy(*RUN, "lev", "cell").agg(
+        F.min("node").alias("node"), *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)],
+        *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)]), "boxes")
+    crowd = boxes.groupBy(*RUN, "lev").count().groupBy("lev").agg(F.max("count")).collect()
+    start = min([lev for lev, most in crowd if most <= _START_BOXES], default=top)
+    up = F.expr("array(" + ", ".join(f"shiftright(cell[{i}], 1)" for i in range(d)) + ")")
+    above = boxes.select(*RUN, (F.col("lev") - 1).alias("lev"), F.col("cell").alias("up"),
+                         F.col("node").alias("parent"))
+    named = boxes.withColumn("up", up).join(above, [*RUN, "lev", "up"], "left").drop("up", "cell")
+    return stage(named, "boxtree"), start
+
+
+def cell_pairs(cells: DataFrame, d: int, formed: list[int] | None = None) -> DataFrame:
+    """Pairs (g, k, eps, a_node < b_node, full) of cells whose boxes come within eps.
+
+    cells: g, k, eps, node, cell, lo*, hi*. ``formed``, if given, takes the number of pairs that
+    each level looked at.
+    """
+    sides = ("a_lo", "a_hi", "b_lo", "b_hi")
+    tree, start = _boxes(cells, d)
+    eps = cells.select(*RUN, "eps").distinct()
+
+    def side(lev: int, s: str, *names: str) -> DataFrame:
+        return tree.filter(F.col("lev") == lev).select(
+            *RUN, *[F.col(c).alias(f"{s}_{c}") for c in ("node", *names, *_bounds(d))])
+
+    pairs = None
+    for lev in range(start, -1, -1):
+        if pairs is None:
+            meeting = eps.join(side(lev, "a"), RUN).join(side(lev, "b"), RUN).filter(
+                "a_node <= b_node")
+        else:
+            meeting = (
+                pairs.join(side(lev, "a", "parent"), [*RUN, "a_parent"])
+                .join(side(lev, "b", "parent"), [*RUN, "b_parent"])
+                .filter("a_parent <> b_parent OR a_node <= b_node"))
+        seen = Observation()
+        reach = _within_reach(meeting.observe(seen, F.count(F.lit(1)).alias("formed")), sides, d,
+                              "a_node", "b_node")
+        if lev:
+            pairs = stage(reach.select(*RUN, "eps", F.col("a_node").alias("a_parent"),
+                                       F.col("b_node").alias("b_parent")), "boxpairs")
+        else:
+            pairs = stage(reach.filter("a_node <> b_node").select(
+                *RUN, "eps", F.least("a_node", "b_node").alias("a_node"),
+                F.greatest("a_node", "b_node").alias("b_node"), "full"), "pairs")
+        if formed is not None:
+            formed.append(seen.get["formed"])
+    return pairs
+
+
 def _touching(pairs: DataFrame, points: DataFrame, d: int, leaf: int, largest: int) -> DataFrame:
-    """Edges (g, k, u, v) between core cells that have core points within eps of each other.
+    """Edges (g, k, u, v, level) between core cells that have core points within eps of each other:
+    the highest level at which such a pair of points is core.
 
     pairs: g, k, eps, u, v, a, b (the parts compared, first the cells themselves) and for both
-    sides m, lo*, hi*. points: the core points with the name of their core cell as node.
+    sides m, v (the highest level in it), lo*, hi*. points: the core points with their core cell as
+    node and their level as v.
     """
     sides, edge = ("a_lo", "a_hi", "b_lo", "b_hi"), [*RUN, "u", "v"]
+    most = F.least("a_v", "b_v").alias("level")
 
     def compare(rows: DataFrame, among: DataFrame) -> DataFrame:
         a, b = [
-            among.select(*RUN, F.col("node").alias(s), *[F.col(f"z{i}").alias(f"{s}{i}")
-                                                         for i in range(d)]) for s in "ab"]
+            among.select(*RUN, F.col("node").alias(s), F.col("v").alias(f"{s}_v"),
+                         *[F.col(f"z{i}").alias(f"{s}{i}") for i in range(d)]) for s in "ab"]
         both = rows.select(*edge, "eps", "a", "b").join(a, [*RUN, "a"]).join(b, [*RUN, "b"])
-        return both.filter(f"{_distance2('a', 'b', d)} <= eps * eps").select(*edge)
+        return both.filter(f"{_distance2('a', 'b', d)} <= eps * eps").select(*edge, most)
 
     few = F.col("a_m") * F.col("b_m") <= leaf * leaf
     sure, undecided = _decide(pairs, sides, d, "u", "v")
-    found = [sure.select(*edge)]
+    found = [sure.select(*edge, most)]
     if largest <= leaf:
-        return found[0].unionByName(compare(undecided, points))
-    found.append(compare(undecided.filter(few), points))
-    rest, seen = _counted_stage(undecided.filter(~few), "cellpairs", n=F.count(F.lit(1)))
-    level = 1
-    while seen["n"]:
-        parents = rest.select(*RUN, F.col("a").alias("node")).unionByName(
-            rest.select(*RUN, F.col("b").alias("node")))
-        parts, points = _split(points, parents, level, d)
-        step = rest.select(*edge, "eps", "a", "b")
-        for s in "ab":
-            side = parts.select(*RUN, F.col("parent").alias(s), F.col("node").alias("_node"),
-                                *[F.col(c).alias(f"{s}_{c}") for c in ("m", *_bounds(d))])
-            step = step.join(side, [*RUN, s]).drop(s).withColumnRenamed("_node", s)
-        sure, undecided = _decide(step, sides, d, "u", "v")
-        sure = stage(sure.select(*edge).distinct(), "touch")
-        # One touching pair of parts settles the whole cell pair.
-        undecided = undecided.join(sure, edge, "left_anti")
-        enough = few if level < _MAX_LEVEL else F.lit(True)
-        found += [sure, compare(undecided.filter(enough), points)]
-        rest, seen = _counted_stage(undecided.filter(~enough), "cellpairs", n=F.count(F.lit(1)))
-        level += 1
-    return reduce(DataFrame.unionByName, found)
+        found.append(compare(undecided, points))
+    else:
+        found.append(compare(undecided.filter(few), points))
+        rest, seen = _counted_stage(undecided.filter(~few), "cellpairs", n=F.count(F.lit(1)))
+        level = 1
+        while seen["n"]:
+            parents = rest.select(*RUN, F.col("a").alias("node")).unionByName(
+                rest.select(*RUN, F.col("b").alias("node")))
+            parts, points = _split(points, parents, level, d, F.max)
+            step = rest.select(*edge, "eps", "a", "b")
+            for s in "ab":
+                part = parts.select(*RUN, F.col("parent").alias(s), F.col("node").alias("_node"),
+                                    *[F.col(c).alias(f"{s}_{c}") for c in ("m", "v", *_bounds(d))])
+                step = step.join(part, [*RUN, s]).drop(s).withColumnRenamed("_node", s)
+            sure, undecided = _decide(step, sides, d, "u", "v")
+            sure = stage(sure.groupBy(*edge).agg(F.max(most).alias("level")), "touch")
+            # What touching parts have settled needs no pair of parts of no higher level.
+            settled = sure.withColumnRenamed("level", "_settled")
+            undecided = undecided.join(settled, edge, "left").filter(
+                F.col("_settled").isNull() | (F.col("_settled") < most)).drop("_settled")
+            enough = few if level < _MAX_LEVEL else F.lit(True)
+            found += [sure, compare(undecided.filter(enough), points)]
+            rest, seen = _counted_stage(undecided.filter(~enough), "cellpairs", n=F.count(F.lit(1)))
+            level += 1
+    return reduce(DataFrame.unionByName, found).groupBy(*edge).agg(F.max("level").alias("level"))
 
 
 # --- the clustering --------------------------------------------------------------------------
 
+def _levels(level: Column, name: str = "i") -> Column:
+    """One row for every level up to this one; level 0 has none."""
+    return F.explode(F.slice(F.sequence(F.lit(0), level), F.lit(2), level)).alias(name)
+
+
 def cluster_labels(points: DataFrame, d: int, leaf: int = LEAF) -> DataFrame:
-    """Points (g, k, eps, min_samples, first, w, z0..) to (g, k, first, label).
+    """Points (g, k, eps, needs, first, w, z0..) to (g, k, need, first, label).
 
-    ``w`` is the number of copies and ``first`` the row order of the first copy, unique in a run.
-    ``label`` is the first core point of the cluster; noise is absent.
+    ``w`` is the number of copies and ``first`` the row order of the first copy, unique in a run;
+    ``needs`` holds the run's values of ``min_samples`` in ascending order. ``label`` is the first
+    core point of the cluster under ``need``; noise is absent.
     """
-    keys, z = [*RUN, "eps", "min_samples"], _flat("z", d)
-    gridded = points.withColumn("cell", _cell_at(0, d))
-    cells, size = _counted_stage(gridded.groupBy(*keys, "cell").agg(*_summary(d)), "cells",
-                                 largest=F.max("m"))
+    z = _flat("z", d)
+    runs = points.select(*RUN, "eps", "needs").distinct()
+    gridded = points.drop("needs").withColumnRenamed("w", "v").withColumn("cell", _cell_at(0, d))
+    cells, size = _counted_stage(gridded.groupBy(*RUN, "eps", "cell").agg(*_summary(d, F.sum)),
+                                 "cells", largest=F.max("m"))
     if not size["largest"]:
-        return points.select(*RUN, "first", F.col("first").alias("label"))
+        return points.select(*RUN, F.lit(0).alias("need"), "first", F.col("first").alias("label"))
     pts = stage(gridded.join(cells.select(*RUN, "cell", "node"), [*RUN, "cell"]).drop("cell"),
                 "points")
-
-    # Cell pairs within reach: neighbours on a coarse grid of up to three features.
-    k, reach = min(3, d), math.ceil(math.sqrt(d)) + 1
-    coarse = [f"_c{i}" for i in range(k)]
-    placed = cells.select(*keys, "node", "n", *_bounds(d), *[
-        F.expr(f"floor(get(cell, {i}) / {reach}) AS _c{i}") for i in range(k)])
-    steps = F.expr("array(" + ", ".join(
-        f"array({', '.join(map(str, o))})" for o in itertools.product((-1, 0, 1), repeat=k)) + ")")
-    shown = ["node", "n", *_bounds(d)]
-    left = placed.repartition(parallelism(points.sparkSession), *RUN, "node").select(
-        *keys, *[F.col(c).alias(f"a_{c}") for c in shown], *coarse, F.explode(steps).alias("_step"))
-    left = left.withColumns({c: F.col(c) + F.get("_step", F.lit(i))
-                             for i, c in enumerate(coarse)}).drop("_step")
-    right = placed.select(*RUN, *coarse, *[F.col(c).alias(f"b_{c}") for c in shown])
-    sides = ("a_lo", "a_hi", "b_lo", "b_hi")
-    meeting = left.join(right, [*RUN, *coarse]).drop(*coarse).filter("a_node < b_node")
-    pairs = stage(_within_reach(meeting, sides, d, "a_node", "b_node").select(
-        *keys, "a_node", "b_node", "a_n", "b_n", "full"), "pairs")
+    pairs = cell_pairs(cells, d)
+    # Level i is reached with needs[i - 1] points; a higher level needs more.
+    limits = runs.select(*RUN, "needs", F.array_max("needs").alias("_most"),
+                         F.array_min("needs").alias("_least"))
+    weights = cells.select(*RUN, "node", F.col("v").alias("n"))
     near = reduce(DataFrame.unionByName, [
-        pairs.select(*RUN, "min_samples", "full", F.col(f"{s}_node").alias("node"),
-                     F.col(f"{s}_n").alias("_n"), F.col(f"{t}_node").alias("t"),
-                     F.col(f"{t}_n").alias("n"))
+        pairs.select(*RUN, "full", F.col(f"{s}_node").alias("node"), F.col(f"{t}_node").alias("t"))
         for s, t in (("a", "b"), ("b", "a"))
     ])
 
-    # Cells settled without distances: all core, or too few rows in reach to hold a core point.
-    sums = near.filter(F.col("_n") < F.col("min_samples")).groupBy(*RUN, "node").agg(
-        F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("_sure"),
-        F.sum("n").alias("_reach"))
+    # Cells settled without distances: all core at every level, or too few rows in reach for any.
+    sums = near.join(weights.select(*RUN, F.col("node").alias("t"), "n"), [*RUN, "t"]).groupBy(
+        *RUN, "node").agg(F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("_sure"),
+                          F.sum("n").alias("_reach"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    need = F.col("min_samples")
     kinds = stage(
-        cells.join(sums, [*RUN, "node"], "left").select(
-            *RUN, "node", (F.col("n") + zero("_sure")).alias("sure"),
-            F.when(F.col("n") + zero("_sure") >= need, "all")
-            .when(F.col("n") + zero("_reach") < need, "none").otherwise("some").alias("kind")),
+        weights.join(sums, [*RUN, "node"], "left").join(limits, RUN).select(
+            *RUN, "node", "needs", (F.col("n") + zero("_sure")).alias("sure"),
+            F.when(F.col("n") + zero("_sure") >= F.col("_most"), "all")
+            .when(F.col("n") + zero("_reach") < F.col("_least"), "none").otherwise("some")
+            .alias("kind")),
         "kinds")
     kinded = pts.join(kinds, [*RUN, "node"])
     asked = (
         kinded.filter("kind = 'some'").select(*RUN, "eps", "first", *z, "node")
         .join(near.filter(~F.col("full")).select(*RUN, "node", "t"), [*RUN, "node"]).drop("node")
-        .join(cells.select(*RUN, F.col("node").alias("t"), "n", "m", *_bounds(d)), [*RUN, "t"])
+        .join(cells.select(*RUN, F.col("node").alias("t"), "v", "m", *_bounds(d)), [*RUN, "t"])
     )
-    hits = _within(asked, pts, d, leaf, size["largest"]).groupBy(*RUN, "first").agg(
-        F.sum("hits").alias("_hits"))
-    some = (F.col("kind") == "some") & (F.col("sure") + zero("_hits") >= need)
+    hits = _within(asked, pts, d, leaf, size["largest"], F.sum).groupBy(*RUN, "first").agg(
+        F.sum("v").alias("_hits"))
+    around = F.col("sure") + F.when(F.col("kind") == "some", zero("_hits")).otherwise(0)
+    level = F.size(F.filter("needs", lambda m: m <= F.col("_around")))
     judged = stage(
-        kinded.join(hits, [*RUN, "first"], "left").select(
-            *keys, "first", "w", *z, "node", ((F.col("kind") == "all") | some).alias("core")),
-        "judged")
+        kinded.drop("v").join(hits, [*RUN, "first"], "left").withColumn("_around", around).select(
+            *RUN, "eps", "first", *z, "node", "needs", level.alias("v")), "judged")
 
-    # Core cells are the nodes of the graph, each named by its first core point.
-    in_core = judged.filter("core").withColumnRenamed("node", "cell")
+    # Core cells are the nodes of the graph; an edge is there up to its level.
+    core_pts = judged.filter("v > 0").drop("needs")
     core_cells, core_size = _counted_stage(
-        in_core.groupBy(*RUN, "eps", "cell").agg(*_summary(d)), "corecells", largest=F.max("m"))
-    largest = core_size["largest"] or 0
-    core_pts = in_core.join(core_cells.select(*RUN, "cell", "node"), [*RUN, "cell"]).select(
-        *RUN, "eps", "node", "first", "w", *z)
-    linked = pairs.select(*RUN, "eps", *[F.col(f"{s}_node").alias(s) for s in "ab"])
+        core_pts.withColumnRenamed("node", "cell").groupBy(*RUN, "eps", "cell").agg(
+            *_summary(d, F.max)), "corecells", largest=F.max("m"))
+    core_cells, largest = core_cells.drop("node"), core_size["largest"] or 0
+    linked = pairs.select(*RUN, "eps", F.col("a_node").alias("u"), F.col("b_node").alias("v"))
     for s, node in (("a", "u"), ("b", "v")):
-        side = core_cells.select(*RUN, F.col("cell").alias(s), F.col("node").alias(node),
-                                 *[F.col(c).alias(f"{s}_{c}") for c in ("m", *_bounds(d))])
-        linked = linked.join(side, [*RUN, s]).drop(s)
+        linked = linked.join(
+            core_cells.select(*RUN, F.col("cell").alias(node), *[
+                F.col(c).alias(f"{s}_{c}") for c in ("m", "v", *_bounds(d))]), [*RUN, node])
     linked = linked.withColumns({"a": F.col("u"), "b": F.col("v")})
-    labels = component_labels(_touching(linked, core_pts, d, leaf, largest), RUN)
-    owned = core_cells.join(labels, [*RUN, "node"], "left").withColumn(
-        "label", F.coalesce("label", "node"))
-
-    # Border points: lowest label among the core cells within eps.
-    reachable = near.select(*RUN, F.col("node").alias("cell"), F.col("t").alias("target")).unionByName(
-        cells.select(*RUN, F.col("node").alias("cell"), F.col("node").alias("target")))
-    targets = owned.select(*RUN, F.col("cell").alias("target"), F.col("node").alias("t"), "n", "m",
-                           *_bounds(d))
+    edges = _touching(linked, core_pts, d, leaf, largest)
+    at_level = [*RUN, "i"]
+    components = component_labels(edges.select(*RUN, "u", "v", _levels(F.col("level"))), at_level)
+    firsts = core_pts.select(*RUN, "first", "node", _levels(F.col("v"))).groupBy(
+        *at_level, "node").agg(F.min("first").alias("label"))
+    owned = firsts.join(components.withColumnRenamed("label", "whole"), [*at_level, "node"],
+                        "left").withColumn("whole", F.coalesce("whole", "node"))
+    least = owned.groupBy(*at_level, "whole").agg(F.min("label").alias("label"))
+    named = stage(owned.drop("label").join(least, [*at_level, "whole"]).select(
+        *at_level, F.col("node").alias("t"), "label"), "named")
+
+    # Border points of a level: lowest label among the cells with a core point within eps.
+    reachable = near.select(*RUN, "node", "t").unionByName(
+        weights.select(*RUN, "node", F.col("node").alias("t")))
+    targets = core_cells.select(*RUN, F.col("cell").alias("t"), "v", "m", *_bounds(d))
+    levels = F.size("needs")
     asking = (
-        judged.filter("not core").select(*RUN, "eps", "first", *z, F.col("node").alias("cell"))
-        .join(reachable, [*RUN, "cell"]).join(targets, [*RUN, "target"]).drop("cell", "target")
-    )
-    named = owned.select(*RUN, F.col("node").alias("t"), "label")
-    border = (
-        _within(asking, core_pts, d, leaf, largest).join(named, [*RUN, "t"])
-        .groupBy(*RUN, "first").agg(F.min("label").alias("label"))
+        judged.withColumnRenamed("v", "own").filter(F.col("own") < levels)
+        .select(*RUN, "eps", "first", *z, "node", "own").join(reachable, [*RUN, "node"])
+        .drop("node").join(targets, [*RUN, "t"]).filter("v > own")
     )
-    inner = core_pts.select(*RUN, "first", F.col("node").alias("t")).join(
-        named, [*RUN, "t"]).select(*RUN, "first", "label")
-    return inner.unionByName(border)
+    own = judged.select(*RUN, "first", F.col("v").alias("own"))
+    close = _within(asking.drop("own"), core_pts, d, leaf, largest, F.max).join(
+        own, [*RUN, "first"]).select(*RUN, "first", "t", "own", _levels(F.col("v"))).filter("i > own")
+    border = close.join(named, [*at_level, "t"]).groupBy(*at_level, "first").agg(
+        F.min("label").alias("label"))
+    inner = core_pts.select(*RUN, "first", F.col("node").alias("t"), _levels(F.col("v"))).join(
+        named, [*at_level, "t"]).select(*at_level, "first", "label")
+    need = F.element_at("needs", F.col("i").cast("int"))
+    return inner.unionByName(border).join(runs.select(*RUN, "needs"), RUN).select(
+        *RUN, need.alias("need"), "first", "label")
 
 
 def dbscan(
@@ -368,31 +450,36 @@ def dbscan(
             F.count(F.lit(1)).alias("w"), F.min("_order").alias("first"),
             *[F.first(f"z_{c}").alias(z[i]) for i, c in enumerate(names)]),
         "scaled")
+    configs = [(float(e), int(m)) for e, m in configs]
+    every_eps = sorted({e for e, _ in configs})
     grid = spark.createDataFrame(
-        [(k, float(e), int(m)) for k, (e, m) in enumerate(configs)],
-        "k int, eps double, min_samples int")
+        [(k, e, sorted({m for x, m in configs if x == e})) for k, e in enumerate(every_eps)],
+        "k int, eps double, needs array<int>")
     groups = weighted.groupBy(*keys).agg(F.min("first").alias("g"), F.sum("w").alias("_rows"))
-    runs = groups.crossJoin(grid)  # groups x the handful of settings
+    runs = groups.crossJoin(grid)  # groups x the handful of eps
     if min_rows_from_config:
-        runs = runs.filter(F.col("_rows") >= F.col("min_samples"))
+        runs = runs.withColumn("needs", F.filter("needs", lambda m: m <= F.col("_rows"))).filter(
+            F.size("needs") > 0)
     runs = runs.drop("_rows")
     in_runs = null_safe_join(weighted, runs, keys)
     labels = stage(cluster_labels(
-        in_runs.select(*RUN, "eps", "min_samples", "first", "w", *z), len(names), leaf), "labels")
+        in_runs.select(*RUN, "eps", "needs", "first", "w", *z), len(names), leaf), "labels")
+    per_need = [*RUN, "need"]
     numbers = running_number(
-        labels.select(*RUN, "label").distinct(), RUN, "label", id_bucket("label"), "_number")
-    numbered = labels.join(numbers, [*RUN, "label"]).select(
-        *RUN, "first", (F.col("_number") - 1).cast("int").alias("cluster"))
+        labels.select(*per_need, "label").distinct(), per_need, "label", id_bucket("label"), "_number")
+    numbered = labels.join(numbers, [*per_need, "label"]).select(
+        *per_need, "first", (F.col("_number") - 1).cast("int").alias("cluster"))
     # One entry per setting and point: rows are joined once, then repeated per setting.
-    entry = F.struct(F.col("k"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    found = in_runs.join(numbered, [*RUN, "first"], "left").groupBy(*keys, *dims).agg(
+    entry = F.struct(F.struct("k", "need"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    found = in_runs.select(*keys, *dims, *RUN, "first", F.explode("needs").alias("need")).join(
+        numbered, [*per_need, "first"], "left").groupBy(*keys, *dims).agg(
         F.map_from_entries(F.collect_list(entry)).alias("_clusters"))
     found = found.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *dims]], "_clusters")
     on = [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys],
           *[F.col(c).cast("double") == F.col(f"_{c}") for c in dims]]
     setting = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(float(e)).alias("eps"), F.lit(int(m)).alias("min_samples"))
-        for k, (e, m) in enumerate(configs)]))
+        F.struct(F.struct(F.lit(every_eps.index(e)).alias("k"), F.lit(m).alias("need")).alias("run"),
+                 F.lit(e).alias("eps"), F.lit(m).alias("min_samples")) for e, m in configs]))
     every = df.join(found, on, "left").select(*df.columns, "_clusters", setting.alias("_s"))
     return every.select(*df.columns, "_s.eps", "_s.min_samples",
-                        F.try_element_at("_clusters", F.col("_s.k")).alias("cluster"))
+                        F.try_element_at("_clusters", F.col("_s.run")).alias("cluster"))

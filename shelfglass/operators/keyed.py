@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfglass.operators.numbering import number_in_order
+
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key, the earliest in ``order``; an aggregate, so copies combine map-side."""
@@ -16,22 +20,78 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame
     return rows.groupBy(*keys).agg(kept).select(*keys, "_row.*").select(*rows.columns)
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last in ``order``, by default the greatest by its columns. Rows with a
+    NULL in the key match nothing, so all of them stay."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        known = rows.na.drop(subset=list(keys))
+        return known.distinct().unionByName(rows.filter(_unknown(keys)))
+    row = F.struct(*rest)
+    alone = F.when(_unknown(keys), F.monotonically_increasing_id())
+    best = F.max_by(row, F.struct(order, row)) if order else F.max(row)
+    return rows.withColumn("_alone", alone).groupBy(*keys, "_alone").agg(
+        best.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
+def _unknown(keys: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(k).isNull() for k in keys])
+
+
+def merge(base: DataFrame, rows: DataFrame, keys: Sequence[str],
+          columns: Sequence[str] | None = None, *, update: bool = True, insert: bool = True,
+          keep_on_null: Sequence[str] = (), order: str | None = None, unique: bool = False,
+          flag: str | None = None) -> DataFrame:
+    """Base rows with the same key updated in ``columns`` and the other rows inserted, in one join.
+
+    ``columns`` (default: all of ``rows``) are overwritten, with NULL too unless they are among
+    ``keep_on_null``. An inserted row takes all columns of ``rows``; those that ``base`` lacks are
+    appended. NULL keys never match. Rows are
+    first reduced to one per key, see ``one_per_key``, unless ``unique`` vouches for that. ``flag``
+    names a column to add: ``inserted``, ``updated`` (matched) or ``kept``.
+
+    A full outer join carries a mark of each side, so one shuffle serves update, insert and keep;
+    without inserts it is a left join, which AQE may split on hot keys of the base.
+    """
+    keys = list(keys)
+    columns = set(columns if columns is not None else [c for c in rows.columns if c not in keys])
+    news = (rows if unique else one_per_key(rows, keys, order)).select(
+        *[F.col(c).alias(f"_new_{c}") for c in rows.columns], F.lit(True).alias("_new"))
+    old = base.withColumn("_old", F.lit(True))
+    on = [F.col(k) == F.col(f"_new_{k}") for k in keys]
+    both = old.join(news, on, "full" if insert else "left")
+    hit, added = F.col("_new").isNotNull(), F.col("_old").isNull()
+
+    def value(c: str) -> Column:
+        if c not in rows.columns:
+            return F.col(c)
+        new = F.col(f"_new_{c}")
+        if c not in base.columns:
+            return F.when(added, new).alias(c)
+        new = new.cast(base.schema[c].dataType)
+        take = added | hit if update and c in columns and c not in keys else added
+        if c in keep_on_null:
+            take = take & (added | new.isNotNull())
+        return F.when(take, new).otherwise(F.col(c)).alias(c)
+
+    out = [value(c) for c in base.columns]
+    if insert:
+        out += [value(c) for c in rows.columns if c not in base.columns]
+    if flag:
+        out.append(F.when(added, "inserted").when(hit, "updated").otherwise("kept").alias(flag))
+    return both.select(*out)
+
+
 def apply_updates(base: DataFrame, updates: DataFrame, keys: Sequence[str],
-                  columns: Sequence[str] | None = None) -> DataFrame:
+                  columns: Sequence[str] | None = None, *, unique: bool = False,
+                  keep_on_null: Sequence[str] = ()) -> DataFrame:
     """Overwrite ``columns`` of the rows whose key is in ``updates``, with NULL too.
 
-    ``updates`` holds one row per key. NULL keys never match.
+    Of several updates of a key the greatest by its columns counts, unless ``unique`` says that
+    there is one. NULL keys never match.
     """
-    keys = list(keys)
-    columns = list(columns or [c for c in updates.columns if c not in keys])
-    news = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns],
-                          F.lit(True).alias("_hit"))
-    hit = F.col("_hit")
-    return base.join(news, keys, "left").select(*[
-        F.when(hit, F.col(f"_new_{c}").cast(base.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-        if c in columns else F.col(c)
-        for c in base.columns
-    ])
+    return merge(base, updates, keys, columns, insert=False, unique=unique,
+                 keep_on_null=keep_on_null)
 
 
 def set_where(base: DataFrame, where: Column, values: Mapping[str, Any]) -> DataFrame:
@@ -68,18 +128,20 @@ def insert_missing(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Dat
 
 def upsert(base: DataFrame, rows: DataFrame, keys: Sequence[str],
            columns: Sequence[str] | None = None) -> DataFrame:
-    """Update matching keys and append the others; ``rows`` holds one row per key."""
-    fresh = insert_missing(base, rows, keys)
-    return apply_updates(base, rows, keys, columns).unionByName(fresh, allowMissingColumns=True)
+    """Update matching keys and append the others; of several rows of a key the greatest counts."""
+    return merge(base, rows, keys, columns)
 
 
-def append_with_ids(base: DataFrame, rows: DataFrame, id_column: str, order: str) -> DataFrame:
-    """Append a small set of header rows with ids after the greatest present id."""
-    from shelfglass.operators.numbering import running_number, text_bucket
-
-    numbered = running_number(rows, [], order, text_bucket(order), "_number")
+def with_new_ids(rows: DataFrame, base: DataFrame, id_column: str, order: Sequence[str]
+                 ) -> DataFrame:
+    """Rows with ids after the greatest one of ``base``, in ``order``; any number of rows."""
     highest = base.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_highest"))
-    new = (numbered.crossJoin(highest)  # one row by construction
-           .withColumn(id_column, (F.col("_highest") + F.col("_number")).cast("bigint"))
-           .drop("_highest", "_number"))
-    return base.unionByName(new, allowMissingColumns=True)
+    kind = base.schema[id_column].dataType
+    numbered = number_in_order(rows.drop(id_column), order, "_number")
+    return numbered.crossJoin(highest).withColumn(  # one row by construction
+        id_column, (F.col("_highest") + F.col("_number")).cast(kind)).drop("_highest", "_number")
+
+
+def append_with_ids(base: DataFrame, rows: DataFrame, id_column: str, order: str) -> DataFrame:
+    """Append rows with ids after the greatest present id, in ``order``."""
+    return base.unionByName(with_new_ids(rows, base, id_column, [order]), allowMissingColumns=True)

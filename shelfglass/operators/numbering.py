@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfglass.operators.joins import null_safe_join
+from shelfglass.staging import stage
 
 
 def running_number(distinct: DataFrame, keys: Sequence[str], column: str, bucket: Column,
@@ -32,6 +33,25 @@ def running_number(distinct: DataFrame, keys: Sequence[str], column: str, bucket
     )
 
 
+def number_in_order(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """1-based position of every row in the order of the columns, for any number of rows.
+
+    Rows are dealt to ranges of the order and sorted there; a row's number is its position in its
+    range behind the rows of all ranges before. Only the sizes of the ranges, one per task, are
+    ordered in one place, and no range depends on how many rows share a prefix.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id holds the number of the task in its upper bits and the position in the lower 33.
+    placed = stage(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumns({
+        "_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(  # one row per task
+        name, F.col("_before") + F.col("_at") + 1).drop("_range", "_before", "_at")
+
+
 def id_bucket(column: str) -> Column:
     """Blocks of 65 536 consecutive ids."""
     return F.floor(F.col(column) / 65536)

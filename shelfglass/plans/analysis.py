@@ -13,7 +13,7 @@ from shelfglass.operators import outliers as O
 from shelfglass.operators.dbscan import dbscan
 from shelfglass.operators.joins import null_safe_join
 from shelfglass.operators.numbering import running_number, text_bucket
-from shelfglass.plans.iterations import ids_by_final_status
+from shelfglass.plans.iterations import ids_by_final_status, save_run
 from shelfglass.plans.products import (
     basic_groups, category_progress, products_by_ids, products_filtered, products_for_sweep,
     work_groups,
@@ -395,3 +395,11 @@ def sweep_items(long: DataFrame) -> DataFrame:
         "category", "eps", F.col("min_samples").alias("sample"), "system_product_id", "brand",
         "product_type", F.col("cluster_name").alias("cluster"), "cluster_items",
         "cluster_items_per", F.when(F.col("status") == 0, 0).alias("outlier_mode"), "status")
+
+
+def save_sweep(iterations: DataFrame, items: DataFrame, long: DataFrame, products: DataFrame,
+               group_id: int, run_id: str, **same) -> tuple[DataFrame, DataFrame]:
+    """Save a whole sweep (rows of ``sweep_long``): a header for each category and setting, and under
+    each the items that took part in it, with ids. ``same`` replaces earlier runs, see ``save_run``."""
+    return save_run(iterations, items, sweep_headers(long, products, group_id, run_id),
+                    sweep_items(long), **same)

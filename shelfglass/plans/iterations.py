@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +15,10 @@ from shelfglass.functions.display import (
 from shelfglass.functions.predicates import all_of, equals, measured, not_skipped
 from shelfglass.operators.joins import latest_by
 from shelfglass.operators.keyed import (
-    append_with_ids, apply_updates, delete_keys, delete_where, marked, set_where,
+    append_with_ids, apply_updates, delete_keys, delete_where, marked, set_where, with_new_ids,
 )
 from shelfglass.plans.products import ids_of_codes, selection
+from shelfglass.staging import stage
 
 
 # --- loading ---------------------------------------------------------------------------------
@@ -253,26 +256,48 @@ def delete_matching_runs(iterations: DataFrame, items: DataFrame, **filters
 RUN_PARAMETERS = ("product_group_id", "brand", "category", "product_type", "eps", "sample")
 
 
+def items_to_headers(found: DataFrame, headers: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """Each item with the ``iteration_id`` of the one header that fits it best.
+
+    A header fits if it agrees in every parameter; one it leaves NULL agrees with any, and one that
+    an item leaves NULL only with that. Of several that fit, the one with the most parameters set
+    counts, then the first to set them in the order of ``shared``, then the smallest id. Items
+    without a header are left out. Each set of parameters that headers leave NULL is one equi-join
+    with one row per key.
+    """
+    open_sets = headers.select(*[F.col(c).isNull().alias(c) for c in shared]).distinct().collect()
+    found, ids = found.drop("iteration_id"), []
+    for nulls in sorted(open_sets, key=lambda r: (sum(r), tuple(r))):  # at most 2 ** len(shared)
+        given = [c for c in shared if not nulls[c]]
+        same = [F.col(c).isNull() if nulls[c] else F.col(c).isNotNull() for c in shared]
+        of_set = headers.filter(reduce(and_, same, F.lit(True))).groupBy(
+            *[F.col(c).alias(f"_h_{c}") for c in given]).agg(
+            F.min("iteration_id").alias(f"_id{len(ids)}"))
+        on = reduce(and_, [found[c] == of_set[f"_h_{c}"] for c in given], F.lit(True))
+        found = found.join(of_set, on, "left").drop(*[f"_h_{c}" for c in given])
+        ids.append(f"_id{len(ids)}")
+    best = F.coalesce(*ids) if ids else F.lit(None).cast("bigint")
+    return found.withColumn("iteration_id", best).drop(*ids).filter(F.col("iteration_id").isNotNull())
+
+
 def save_run(iterations: DataFrame, items: DataFrame, header: DataFrame, found: DataFrame,
              **same) -> tuple[DataFrame, DataFrame]:
     """Replace the runs with the parameters ``same`` by new ones: headers and items.
 
-    An item goes to the new header that agrees with it in all parameters both carry; a parameter
-    that a header leaves NULL agrees with any. Item ids are left NULL for the table to assign.
+    An item goes to the new header that fits it best, see ``items_to_headers``. Items get ids after
+    the greatest present one.
     """
     kept, kept_items = delete_matching_runs(iterations, items, **same) if same else (
         iterations, items)
-    saved = save_header(kept, header)
+    saved = stage(save_header(kept, header), "headers")
     new = saved.join(kept.select("iteration_id"), "iteration_id", "left_anti")
     shared = [c for c in RUN_PARAMETERS if c in found.columns and c in header.columns]
-    new = new.select("iteration_id", *[F.col(c).alias(f"_h_{c}") for c in shared])
-    agree = F.lit(True)
-    for c in shared:
-        agree = agree & (F.col(f"_h_{c}").isNull() | F.col(f"_h_{c}").eqNullSafe(F.col(c)))
-    new_items = found.join(new, agree)  # one side is the headers of one save
-    return saved, kept_items.unionByName(
-        new_items.select(*[c for c in new_items.columns if c in items.columns]),
-        allowMissingColumns=True)
+    new_items = items_to_headers(found, new, shared)
+    new_items = new_items.select(*[c for c in new_items.columns if c in items.columns])
+    if "id" in items.columns:
+        order = [c for c in ("iteration_id", "system_product_id") if c in new_items.columns]
+        new_items = with_new_ids(new_items, items, "id", order)
+    return saved, kept_items.unionByName(new_items, allowMissingColumns=True)
 
 
 def refresh_products(products: DataFrame, items: DataFrame, ids: DataFrame,
@@ -390,11 +415,10 @@ def mark_outliers(products: DataFrame, results: DataFrame, codes: DataFrame, bra
     new_results = mark_results(results, ids_of_codes(products, codes), brands, category, iteration)
     votes = majority_vote(new_results, category, brands)
     # Only an algorithm that voted changes its own status column.
+    own = ("iqr_status", "dbs_status")
     both = apply_updates(products, votes.select(
-        "system_product_id", "final_status", "outlier_mode"), ["system_product_id"])
-    for c in ("iqr_status", "dbs_status"):
-        both = apply_updates(both, votes.filter(F.col(c).isNotNull()).select(
-            "system_product_id", c), ["system_product_id"])
+        "system_product_id", "final_status", "outlier_mode", *own), ["system_product_id"],
+        unique=True, keep_on_null=own)
     return both, new_results
 
 

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from shelfglass.functions import scores as S
 from shelfglass.functions.predicates import all_of, any_of
 from shelfglass.functions.text import comparable_url
-from shelfglass.operators.keyed import apply_updates, delete_keys, insert_missing, marked, set_where
+from shelfglass.operators.keyed import (
+    apply_updates, delete_keys, marked, merge, set_where, with_new_ids,
+)
+from shelfglass.plans.products import field_values
+from shelfglass.staging import stage
 
 
 @dataclass(frozen=True)
@@ -262,21 +266,20 @@ def filter_options(products: DataFrame, competitors: DataFrame, scores: DataFram
     scored = scores.filter(F.col("total_score").isNotNull()).select(
         "system_product_id").distinct().withColumn("_scored", F.lit(True))
     rows = with_offers(products, competitors).join(scored, "system_product_id", "left")
-
-    def part(f: str, where: Column) -> DataFrame:
-        counted = rows.filter(where & F.col(f).isNotNull() & (F.col(f) != "")).groupBy(
-            F.col(f).alias("value")).agg(
-            F.countDistinct("product_id").alias("total_count"),
-            F.countDistinct(F.when(F.col("_scored"), F.col("product_id"))).alias("scored_count"))
-        n, done = F.col("total_count"), F.col("scored_count")
-        return counted.select(
-            F.lit(f).alias("field"), "value", "total_count", "scored_count",
-            F.when((done == n) & (done > 0), "complete").when(done > 0, "partial")
-            .otherwise("none").alias("status"))
-
     by_brand, by_category = any_of(brands, "brand"), any_of(categories, "category")
-    return (part("brand", all_of()).unionByName(part("category", all_of(by_brand)))
-            .unionByName(part("product_type", all_of(by_brand, by_category))))
+    filled = {f: F.col(f) != "" for f in ("brand", "category", "product_type")}
+    chosen = {"brand": filled["brand"], "category": all_of(by_brand, filled["category"]),
+              "product_type": all_of(by_brand, by_category, filled["product_type"])}
+    # Each product counts once for a value, however many rows it has.
+    per_product = field_values(rows.select("product_id", "_scored", *filled), chosen).groupBy(
+        "field", "value", "product_id").agg(F.max("_scored").alias("_scored"))
+    n, done = F.col("total_count"), F.col("scored_count")
+    return per_product.groupBy("field", "value").agg(
+        F.count("product_id").alias("total_count"),
+        F.count(F.when(F.col("_scored"), F.col("product_id"))).alias("scored_count")).select(
+        "field", "value", "total_count", "scored_count",
+        F.when((done == n) & (done > 0), "complete").when(done > 0, "partial")
+        .otherwise("none").alias("status"))
 
 
 def count_with_offers(products: DataFrame, competitors: DataFrame, **filters) -> DataFrame:
@@ -440,16 +443,61 @@ def save_scores(scores: DataFrame, score_attributes: DataFrame, new_scores: Data
                 new_attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One score per pair, the latest algorithm wins; parts per pair, attribute and algorithm.
 
-    New rows carry NULL ids, which the table assigns on write.
+    New scores get ids after the greatest present one, in the order of their pairs, and new parts
+    the id of their pair's score and ids of their own, so that later steps find them by id.
     """
     key = ["system_product_id", "competitor_product_id"]
     part_key = [*key, "attribute_id", "algorithm_id"]
-    kept = apply_updates(scores, new_scores, key)
-    fresh = insert_missing(scores, new_scores, key)
-    parts = apply_updates(score_attributes, new_attributes, part_key, ["score"])
-    fresh_parts = insert_missing(score_attributes, new_attributes, part_key)
-    return (kept.unionByName(fresh, allowMissingColumns=True),
-            parts.unionByName(fresh_parts, allowMissingColumns=True))
+    saved = _merged_with_ids(scores, new_scores, key, None, "score_id", key)
+    ids = saved.select(*key, "score_id")
+    parts = new_attributes.drop("score_id").join(ids, key)
+    saved_parts = _merged_with_ids(score_attributes, parts, part_key, ["score"],
+                                   "score_attribute_id", part_key)
+    return saved, saved_parts
+
+
+def _merged_with_ids(base: DataFrame, rows: DataFrame, key: Sequence[str],
+                     columns: Sequence[str] | None, id_column: str, order: Sequence[str]
+                     ) -> DataFrame:
+    """``merge``, the inserted rows with new ids; staged, since ids must not change."""
+    merged = stage(merge(base, rows, key, columns, flag="_change"), "merged")
+    fresh = with_new_ids(merged.filter("_change = 'inserted'"), base, id_column, order)
+    return stage(merged.filter("_change <> 'inserted'").unionByName(fresh).drop("_change"), "saved")
+
+
+def save_matches(products: DataFrame, scores: DataFrame, score_attributes: DataFrame,
+                 pairs: DataFrame, config: MatchConfig, algorithm: str, stamp: Column,
+                 asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Store a matching run whole: products with their best offer, scores and attribute scores.
+
+    ``asked`` (system_product_id): the products that were scored again; their earlier choice is
+    cleared first, also where no pair was found.
+    """
+    if asked is not None:
+        products = reset_review(products, asked.select(
+            F.col("system_product_id")), "system_product_id")
+    saved, parts = save_scores(scores, score_attributes, score_rows(pairs, algorithm),
+                               score_attribute_rows(pairs, config, algorithm))
+    return choose_best(products, pairs, stamp), saved, parts
+
+
+def save_bulk(products: DataFrame, scores: DataFrame, score_attributes: DataFrame,
+              pairs: DataFrame, config: MatchConfig, algorithm: str, **filters
+              ) -> tuple[DataFrame, DataFrame]:
+    """Replace the scores of the products that ``filters`` select by those of a bulk run; without a
+    filter, all scores.
+
+    ``pairs`` come from ``run_pairs`` under ``bulk(config)``; parts are the best per group. Parts of
+    deleted scores go with them; new scores and parts get ids.
+    """
+    kept = delete_scores(scores, products, **filters)
+    kept_parts = delete_scores(score_attributes, products, **filters)
+    key = ["system_product_id", "competitor_product_id"]
+    new = stage(with_new_ids(score_rows(pairs, algorithm), scores, "score_id", key), "saved")
+    rows = group_score_rows(pairs, config, algorithm).join(new.select(*key, "score_id"), key)
+    parts = with_new_ids(rows, score_attributes, "score_attribute_id", [*key, "attribute_id"])
+    return (kept.unionByName(new, allowMissingColumns=True),
+            kept_parts.unionByName(parts, allowMissingColumns=True))
 
 
 def recalculated(scores: DataFrame, score_attributes: DataFrame, attributes: DataFrame,
@@ -483,14 +531,14 @@ def recalculated(scores: DataFrame, score_attributes: DataFrame, attributes: Dat
 
 def apply_recalculation(scores: DataFrame, new: DataFrame) -> DataFrame:
     return apply_updates(scores, new.select("score_id", "algorithm_id", "total_score",
-                                            "score_status"), ["score_id"])
+                                            "score_status"), ["score_id"], unique=True)
 
 
 # --- decisions -------------------------------------------------------------------------------
 
-def reset_review(products: DataFrame, ids: DataFrame) -> DataFrame:
+def reset_review(products: DataFrame, ids: DataFrame, key: str = "product_id") -> DataFrame:
     """Clear the chosen offer of products about to be scored again."""
-    hit = marked(products, ids, ["product_id"], "_hit")
+    hit = marked(products, ids, [key], "_hit")
     return set_where(hit, F.col("_hit"), {
         "review_status": 0, "competitor_product_id": None, "matched_date": None}).drop("_hit")
 
@@ -499,7 +547,16 @@ def choose_best(products: DataFrame, pairs: DataFrame, stamp: Column) -> DataFra
     """Store each product's best offer, unless its best score is not above -1."""
     best = best_offers(pairs).select("system_product_id", "competitor_product_id",
                                      stamp.alias("matched_date"))
-    return apply_updates(products, best, ["system_product_id"])
+    return apply_updates(products, best, ["system_product_id"], unique=True)
+
+
+def store_choices(products: DataFrame, choices: DataFrame, stamp: Column) -> DataFrame:
+    """Store chosen offers (system_product_id, competitor_product_id) with the date; of several for
+    a product the greatest offer id counts."""
+    picks = choices.groupBy("system_product_id").agg(
+        F.max("competitor_product_id").alias("competitor_product_id"))
+    return apply_updates(products, picks.withColumn("matched_date", stamp), ["system_product_id"],
+                         unique=True)
 
 
 # Review decisions and their stored numbers.
@@ -528,10 +585,10 @@ def apply_decisions(products: DataFrame, competitors: DataFrame, decisions: Data
         status = F.when(F.col("decision") == name, DECISIONS[name]).otherwise(status)
     decided = F.col("decision").isin("approved", "rejected")
     base = apply_updates(products, of_product.select(
-        "system_product_id", status.alias("review_status")), ["system_product_id"])
+        "system_product_id", status.alias("review_status")), ["system_product_id"], unique=True)
     return apply_updates(base, of_product.filter(decided).select(
         "system_product_id", "competitor_product_id", stamp.alias("matched_date")),
-        ["system_product_id"])
+        ["system_product_id"], unique=True)
 
 
 # --- configuration ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,20 +179,23 @@ def analysed_status(products: DataFrame, group_id: int, brands=None, categories=
 
     The brand list ignores the brand and category choice, the category list the category choice.
     """
-    def part(field: str, where: Column) -> DataFrame:
-        counted = products.filter(where & measured() & F.col(field).isNotNull()).groupBy(
-            F.col(field).alias("value")).agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("final_status").isNotNull()).alias("analyzed"))
-        status = F.when(F.col("analyzed") == F.col("total"), "full").otherwise("partial")
-        return counted.filter("analyzed > 0").select(
-            F.lit(field).alias("field"), "value", status.alias("status"))
-
-    return (
-        part("brand", selection(group_id))
-        .unionByName(part("category", selection(group_id, brands)))
-        .unionByName(part("product_type", selection(group_id, brands, categories)))
-    )
+    chosen = {"brand": selection(group_id), "category": selection(group_id, brands),
+              "product_type": selection(group_id, brands, categories)}
+    counted = field_values(products.filter(selection(group_id) & measured()), chosen).groupBy(
+        "field", "value").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("final_status").isNotNull()).alias("analyzed"))
+    status = F.when(F.col("analyzed") == F.col("total"), "full").otherwise("partial")
+    return counted.filter("analyzed > 0").select("field", "value", status.alias("status"))
+
+
+def field_values(rows: DataFrame, chosen: Mapping[str, Column]) -> DataFrame:
+    """Rows once for each field with a value and a true condition, as (field, value, ...): one scan
+    serves groupings by several fields."""
+    entries = F.array_compact(F.array(*[
+        F.when(where & F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).alias("value")))
+        for f, where in chosen.items()]))
+    return rows.select("*", F.explode(entries).alias("_entry")).select("_entry.*", *rows.columns)
 
 
 def basic_groups(products: DataFrame, group_id: int, brands=None, category=None,

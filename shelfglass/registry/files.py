@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelfglass.plans import analysis as A
@@ -14,11 +12,11 @@ from shelfglass.registry.outliers import (
 from shelfglass.sources import exports as E
 from shelfglass.sources import imports as I
 from shelfglass.sources import product_files as P
-from shelfglass.staging import stage_root
+from shelfglass.staging import scratch
 
 
 def folder(t, name: str) -> str:
-    return f"{stage_root(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(t.spark, name)
 
 
 def written(t, df, name: str) -> str:
@@ -120,6 +118,35 @@ def import_report(t):
     return I.import_report(base, rows, "insert_update", ["qb_code"], "line")
 
 
+BAD = "event_id % 7 = 3"
+BAD_ROWS = f"(SELECT * FROM {ROWS} r WHERE line % 7 <> 3)"
+BAD_UNIQUE = f"(SELECT qb_code FROM (SELECT *, row_number() OVER (PARTITION BY qb_code ORDER BY line) AS rn FROM {BAD_ROWS} r) x WHERE rn = 1 OR qb_code IS NULL)"
+
+
+def import_with_bad_values(t):
+    """The import of a file in which every seventh row has a text as its height."""
+    raw = P.read_file(t.spark, import_file(t))
+    raw = raw.withColumn("Tall", F.when(F.col("Line").cast("bigint") % 7 == 3, F.lit(" n/a ")).otherwise(F.col("Tall")))
+    raw = P.read_file(t.spark, written(t, raw, "bad-import"))
+    base = t.fx_product.select("product_id", "qb_code", "name", "height")
+    schema = base.withColumn("line", F.lit(0).cast("bigint")).schema
+    return I.import_rows(base, raw, MAPPING, schema, "insert_update", ["qb_code"], "line")
+
+
+@query("S11_report_with_rejects", f"""
+SELECT (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM {BAD_UNIQUE} u WHERE qb_code IS NULL OR qb_code NOT IN (SELECT qb_code FROM fx_product)) AS inserted,
+  (SELECT count(*) FROM {BAD_UNIQUE} u WHERE qb_code IN (SELECT qb_code FROM fx_product)) AS updated,
+  (SELECT count(*) FROM {BAD_ROWS} r) - (SELECT count(*) FROM {BAD_UNIQUE} u) AS duplicates, CAST(0 AS BIGINT) AS ignored,
+  (SELECT count(*) FROM events WHERE {BAD}) AS errors""")
+def report_with_rejects(t):
+    return import_with_bad_values(t).report
+
+
+@query("S11_rejected_values", f"SELECT event_id AS line, 'height' AS \"column\", 'n/a' AS value, 'not a double' AS reason FROM events WHERE {BAD}")
+def rejected_values(t):
+    return import_with_bad_values(t).rejected
+
+
 @query("J15_known_identities", f"SELECT DISTINCT qb_code FROM {ROWS} r WHERE qb_code IN (SELECT qb_code FROM fx_product)")
 def known_identities(t):
     base, rows = imported(t, "update")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfglass.operators.keyed import apply_updates
 from shelfglass.plans import grid as G
 from shelfglass.plans import matching as M
 from shelfglass.registry.base import Tables, query
@@ -339,31 +338,34 @@ def saved(t):
                          M.score_attribute_rows(pairs, c, "custom"))
 
 
-FRESH = f"SELECT * FROM ({custom_sql()}) p WHERE {IN_BRANDS}"
-
-
-@query("U22_upserted_scores", f"""
-SELECT s.score_id, coalesce(s.system_product_id, p.system_product_id) AS system_product_id, coalesce(s.competitor_product_id, p.competitor_product_id) AS competitor_product_id,
+PART_ROWS = " UNION ALL ".join(
+    f"SELECT system_product_id, competitor_product_id, CAST({i} AS INT) AS attribute_id, 'custom' AS algorithm_id, round({c}, 2) AS score FROM fresh"
+    for i, c in ((1, "a_sku"), (2, "a_part"), (3, "a_url"), (4, "a_price")))
+PAIR = "system_product_id, competitor_product_id"
+# Scores and parts after the save; new rows are numbered after the greatest id.
+SAVED = f"""fresh AS MATERIALIZED (SELECT * FROM ({custom_sql()}) p WHERE {IN_BRANDS}),
+merged AS (SELECT s.score_id AS old, coalesce(s.system_product_id, p.system_product_id) AS system_product_id, coalesce(s.competitor_product_id, p.competitor_product_id) AS competitor_product_id,
   CASE WHEN p.system_product_id IS NULL THEN s.algorithm_id ELSE 'custom' END AS algorithm_id,
   CASE WHEN p.system_product_id IS NULL THEN s.total_score ELSE p.f END AS total_score, CASE WHEN p.system_product_id IS NULL THEN s.score_status ELSE p.status END AS score_status
-FROM fx_score s FULL JOIN ({FRESH}) p ON p.system_product_id = s.system_product_id AND p.competitor_product_id = s.competitor_product_id""")
+  FROM fx_score s FULL JOIN fresh p ON p.system_product_id = s.system_product_id AND p.competitor_product_id = s.competitor_product_id),
+saved AS MATERIALIZED (SELECT CASE WHEN old IS NULL THEN (SELECT max(score_id) FROM fx_score) + row_number() OVER (PARTITION BY old IS NULL ORDER BY {PAIR}) ELSE old END AS score_id, {PAIR}, algorithm_id, total_score, score_status FROM merged),
+n AS ({PART_ROWS}),
+merged_parts AS (SELECT a.score_attribute_id AS old, a.score_id AS old_score, coalesce(a.system_product_id, n.system_product_id) AS system_product_id, coalesce(a.competitor_product_id, n.competitor_product_id) AS competitor_product_id,
+  coalesce(a.attribute_id, n.attribute_id) AS attribute_id, coalesce(a.algorithm_id, n.algorithm_id) AS algorithm_id, CASE WHEN n.attribute_id IS NULL THEN a.score ELSE n.score END AS score
+  FROM fx_score_attribute a FULL JOIN n ON n.system_product_id = a.system_product_id AND n.competitor_product_id = a.competitor_product_id AND n.attribute_id = a.attribute_id AND n.algorithm_id = a.algorithm_id),
+saved_parts AS MATERIALIZED (SELECT CASE WHEN m.old IS NULL THEN (SELECT max(score_attribute_id) FROM fx_score_attribute) + row_number() OVER (PARTITION BY m.old IS NULL ORDER BY m.system_product_id, m.competitor_product_id, attribute_id, m.algorithm_id) ELSE m.old END AS score_attribute_id,
+  coalesce(m.old_score, s.score_id) AS score_id, m.competitor_product_id, attribute_id, m.algorithm_id, score
+  FROM merged_parts m LEFT JOIN saved s ON s.system_product_id = m.system_product_id AND s.competitor_product_id = m.competitor_product_id)"""
+
+
+@query("U22_upserted_scores", f"WITH {SAVED} SELECT * FROM saved")
 def upserted_scores(t):
     return saved(t)[0].select("score_id", "system_product_id", "competitor_product_id", "algorithm_id", "total_score", "score_status")
 
 
-PART_ROWS = " UNION ALL ".join(
-    f"SELECT system_product_id, competitor_product_id, CAST({i} AS INT) AS attribute_id, 'custom' AS algorithm_id, round({c}, 2) AS score FROM fresh"
-    for i, c in ((1, "a_sku"), (2, "a_part"), (3, "a_url"), (4, "a_price")))
-
-
-@query("U24_upserted_attribute_scores", f"""
-WITH fresh AS MATERIALIZED ({FRESH}), n AS ({PART_ROWS})
-SELECT a.score_attribute_id, coalesce(a.competitor_product_id, n.competitor_product_id) AS competitor_product_id, coalesce(a.attribute_id, n.attribute_id) AS attribute_id,
-  coalesce(a.algorithm_id, n.algorithm_id) AS algorithm_id, CASE WHEN n.attribute_id IS NULL THEN a.score ELSE n.score END AS score
-FROM fx_score_attribute a FULL JOIN n ON n.system_product_id = a.system_product_id AND n.competitor_product_id = a.competitor_product_id
-  AND n.attribute_id = a.attribute_id AND n.algorithm_id = a.algorithm_id""")
+@query("U24_upserted_attribute_scores", f"WITH {SAVED} SELECT * FROM saved_parts")
 def upserted_attribute_scores(t):
-    return saved(t)[1].select("score_attribute_id", "competitor_product_id", "attribute_id", "algorithm_id", "score")
+    return saved(t)[1].select("score_attribute_id", "score_id", "competitor_product_id", "attribute_id", "algorithm_id", "score")
 
 
 @query("U31_rows_per_algorithm", f"""
@@ -374,38 +376,50 @@ def rows_per_algorithm(t):
     return M.score_attribute_rows(run(t, c), c, "custom", per_algorithm=True).drop("system_product_id")
 
 
+def bulk(t):
+    c = M.bulk(config(t))
+    return M.save_bulk(t.fx_system, t.fx_score, t.fx_score_attribute, run(t, c, brands=BRANDS), c, "custom", brands=BRANDS)
+
+
+OUTSIDE = f"system_product_id NOT IN (SELECT system_product_id FROM fx_system WHERE {IN_BRANDS})"
+BULK = f"""bulk AS MATERIALIZED (SELECT *, (SELECT max(score_id) FROM fx_score) + row_number() OVER (ORDER BY {PAIR}) AS score_id FROM ({custom_sql('bulk')}) p WHERE {IN_BRANDS})"""
+
+
 @query("U27_bulk_scores", f"""
-SELECT score_id, competitor_product_id, algorithm_id, round(total_score, 4) AS total_score, score_status FROM fx_score
-WHERE system_product_id NOT IN (SELECT system_product_id FROM fx_system WHERE {IN_BRANDS})
-UNION ALL SELECT NULL, competitor_product_id, 'custom', round(f, 4), status FROM ({custom_sql('bulk')}) p WHERE {IN_BRANDS}""")
+WITH {BULK} SELECT score_id, competitor_product_id, algorithm_id, round(total_score, 4) AS total_score, score_status FROM fx_score WHERE {OUTSIDE}
+UNION ALL SELECT score_id, competitor_product_id, 'custom', round(f, 4), status FROM bulk""")
 def bulk_scores(t):
-    c = M.bulk(config(t))
-    kept = M.delete_scores(t.fx_score, t.fx_system, brands=BRANDS)
-    new = M.score_rows(run(t, c, brands=BRANDS), "custom")
-    return kept.unionByName(new, allowMissingColumns=True).select(
-        "score_id", "competitor_product_id", "algorithm_id", F.round("total_score", 4).alias("total_score"), "score_status")
+    return bulk(t)[0].select("score_id", "competitor_product_id", "algorithm_id", F.round("total_score", 4).alias("total_score"), "score_status")
 
 
 @query("U27_bulk_attribute_scores", f"""
-WITH r AS MATERIALIZED ({CUSTOM_RAW}) SELECT competitor_product_id, CAST(1 AS INT) AS attribute_id, round(greatest(a_sku, a_part), 4) AS score FROM r UNION ALL
-SELECT competitor_product_id, 3, round(a_url, 4) FROM r UNION ALL SELECT competitor_product_id, 4, round(a_price, 4) FROM r""")
+WITH {BULK}, r AS (SELECT b.score_id, r.* FROM ({CUSTOM_RAW}) r JOIN bulk b ON b.system_product_id = r.system_product_id AND b.competitor_product_id = r.competitor_product_id),
+parts AS (SELECT score_id, {PAIR}, CAST(1 AS INT) AS attribute_id, greatest(a_sku, a_part) AS score FROM r UNION ALL
+  SELECT score_id, {PAIR}, 3, a_url FROM r UNION ALL SELECT score_id, {PAIR}, 4, a_price FROM r)
+SELECT score_attribute_id, score_id, competitor_product_id, attribute_id, round(score, 4) AS score FROM fx_score_attribute WHERE {OUTSIDE}
+UNION ALL SELECT (SELECT max(score_attribute_id) FROM fx_score_attribute) + row_number() OVER (ORDER BY {PAIR}, attribute_id), score_id, competitor_product_id, attribute_id, round(score, 4) FROM parts""")
 def bulk_attribute_scores(t):
-    c = M.bulk(config(t))
-    return M.group_score_rows(run(t, c), c, "custom").select(
-        "competitor_product_id", "attribute_id", F.round("score", 4).alias("score"))
+    return bulk(t)[1].select("score_attribute_id", "score_id", "competitor_product_id", "attribute_id", F.round("score", 4).alias("score"))
 
 
 WEIGHTS = {"sku": 50, "url": 30, "price": 20}
-RECALCULATED = f"""SELECT score_id, system_product_id, competitor_product_id, 'custom' AS algorithm_id, f AS total_score, {status_sql('f', 80, 50)} AS score_status FROM (
-  SELECT s.score_id, s.system_product_id, s.competitor_product_id,
-    round(sum(a.score * CASE attribute_id WHEN 1 THEN 50.0E0 WHEN 3 THEN 30.0E0 ELSE 20.0E0 END) / sum(CASE attribute_id WHEN 1 THEN 50.0E0 WHEN 3 THEN 30.0E0 ELSE 20.0E0 END), 2) AS f
-  FROM fx_score s JOIN fx_score_attribute a ON a.score_id = s.score_id WHERE a.algorithm_id = 'custom'
+WEIGHT_SQL = "CASE attribute_id WHEN 1 THEN 50.0E0 WHEN 3 THEN 30.0E0 WHEN 4 THEN 20.0E0 END"
+
+
+def recalculated_sql(scores: str = "fx_score", parts: str = "fx_score_attribute") -> str:
+    return f"""SELECT score_id, system_product_id, competitor_product_id, 'custom' AS algorithm_id, f AS total_score, {status_sql('f', 80, 50)} AS score_status FROM (
+  SELECT s.score_id, s.system_product_id, s.competitor_product_id, round(sum(a.score * {WEIGHT_SQL}) / sum({WEIGHT_SQL}), 2) AS f
+  FROM {scores} s JOIN {parts} a ON a.score_id = s.score_id WHERE a.algorithm_id = 'custom'
     AND s.system_product_id IN (SELECT system_product_id FROM fx_system WHERE {IN_BRANDS}) GROUP BY s.score_id, s.system_product_id, s.competitor_product_id) x"""
 
 
-def recalculated(t):
-    products = M.scored_products(t.fx_system, t.fx_score, t.fx_score_attribute, "custom", brands=BRANDS)
-    return M.recalculated(t.fx_score, t.fx_score_attribute, attributes(t.spark), WEIGHTS, "custom",
+RECALCULATED = recalculated_sql()
+
+
+def recalculated(t, scores=None, parts=None):
+    scores, parts = scores or t.fx_score, parts or t.fx_score_attribute
+    products = M.scored_products(t.fx_system, scores, parts, "custom", brands=BRANDS)
+    return M.recalculated(scores, parts, attributes(t.spark), WEIGHTS, "custom",
                           {"matched": 80, "review": 50}, products=products)
 
 
@@ -414,6 +428,11 @@ def recalculated_scores(t):
     return recalculated(t)
 
 
+@query("U28_recalculated_after_save", f"WITH {SAVED} {recalculated_sql('saved', 'saved_parts')}")
+def recalculated_after_save(t):
+    return recalculated(t, *saved(t))
+
+
 @query("U28_applied_recalculation", f"""
 SELECT s.score_id, coalesce(r.algorithm_id, s.algorithm_id) AS algorithm_id, CASE WHEN r.score_id IS NULL THEN s.total_score ELSE r.total_score END AS total_score,
   coalesce(r.score_status, s.score_status) AS score_status FROM fx_score s LEFT JOIN ({RECALCULATED}) r ON r.score_id = s.score_id""")
@@ -504,6 +523,4 @@ SELECT s.product_id, b.competitor_product_id, CAST(2 AS INT) AS review_status, C
 FROM fx_system s LEFT JOIN (SELECT system_product_id, max(competitor_product_id) AS competitor_product_id FROM fx_competitor GROUP BY system_product_id) b
   ON b.system_product_id = s.system_product_id""")
 def saved_matches(t):
-    picks = t.fx_competitor.groupBy("system_product_id").agg(
-        F.max("competitor_product_id").alias("competitor_product_id"), stamp().alias("matched_date"))
-    return shown(apply_updates(reviewed(t), picks, ["system_product_id"]))
+    return shown(M.store_choices(reviewed(t), t.fx_competitor.select("system_product_id", "competitor_product_id"), stamp()))

@@ -13,13 +13,14 @@ from shelfglass.plans import products as P
 from shelfglass.registry import clusters_sql as C
 from shelfglass.registry.base import query
 from shelfglass.sources import exports, product_files
+from shelfglass.staging import stage
 
 DIMS = ("height", "width", "depth")
 BOUNDS = ("q1", "q3", "iqr", "lower", "upper")
 MEASURED = "height IS NOT NULL AND width IS NOT NULL AND depth IS NOT NULL"
 ANALYSED = f"""SELECT * FROM fx_product WHERE {MEASURED} AND (skip_status IS NULL OR skip_status <> 1)"""
-FILE_CATEGORIES = ["ECONOMY", "SMALL", "LARGE"]
-IN_FILE = "category IN ('ECONOMY', 'SMALL', 'LARGE')"
+FILE_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+IN_FILE = f"category IN ({', '.join(repr(c) for c in FILE_CATEGORIES)})"
 GROUP_1 = ANALYSED + " AND group_id = 1"
 
 
@@ -499,14 +500,16 @@ WIDE = ", ".join(
                  ("Cluster Item Count", "cluster_items"), ("Cluster Item Percentage", "cluster_items_per")))
 
 
-@query("X13_sweep_wide", f"""
-{SWEEP} SELECT l.product_id, l.category, l.system_product_id, l.qb_code, l.brand, l.product_type, l.name, l.height, l.width, l.depth,
+WIDE_SQL = f"""SELECT l.product_id, l.category, l.system_product_id, l.qb_code, l.brand, l.product_type, l.name, l.height, l.width, l.depth,
   {WIDE}, round(avg(l.status) * 100, 2) AS "Average Status %", count(l.status) AS "Status Column Count",
   (SELECT count(DISTINCT x.category) FROM ({SWEEP_ROWS}) x WHERE x.category <= l.category) AS "Unique Group Key",
   (SELECT count(*) FROM fx_product x WHERE x.group_id = 1 AND {MEASURED} AND x.category = l.category) AS "TOTAL ITEMS",
   (SELECT count(final_status) FROM fx_product x WHERE x.group_id = 1 AND {MEASURED} AND x.category = l.category) AS "Analyzed Item Count",
   (SELECT count(*) - count(final_status) FROM fx_product x WHERE x.group_id = 1 AND {MEASURED} AND x.category = l.category) AS "Pending Item Count", 'Yes' AS "EXECUTED"
-FROM long l GROUP BY l.product_id, l.category, l.system_product_id, l.qb_code, l.brand, l.product_type, l.name, l.height, l.width, l.depth""")
+FROM long l GROUP BY l.product_id, l.category, l.system_product_id, l.qb_code, l.brand, l.product_type, l.name, l.height, l.width, l.depth"""
+
+
+@query("X13_sweep_wide", f"{SWEEP} {WIDE_SQL}")
 def sweep_wide(t):
     return A.sweep(t.fx_product, 1)
 
@@ -521,9 +524,16 @@ def single_setting(t):
         "product_id", "status", "outliers")
 
 
-@query("S20_sweep_export")
+DASHED = ", ".join(f"""coalesce(CAST("{c}" AS VARCHAR), '-') AS "{c}\"""" for c in [
+    *(f"{A.config_name(e, m)} {n}" for e, m in A.SWEEP_CONFIGS
+      for n in ("Outliers", "Status", "Cluster", "Cluster Item Count", "Cluster Item Percentage")), "Average Status %"])
+FIXED = ", ".join(f'{c} AS "{title}"' for c, title in exports.SWEEP_FIXED.items() if not c.endswith("_url"))
+
+
+@query("S20_sweep_export", f"""
+{SWEEP}, wide AS ({WIDE_SQL}) SELECT {FIXED}, {", ".join(f'"{c}"' for c in exports.SWEEP_COUNTS)}, {DASHED}, "Status Column Count" FROM wide""")
 def sweep_export(t):
-    return exports.sweep_export(A.sweep(t.fx_product, 1, [(1.0, 3), (0.5, 4)]))
+    return exports.sweep_export(A.sweep(t.fx_product, 1))
 
 
 @query("D19_min_outlier_config", f"""
@@ -547,3 +557,20 @@ def sweep_headers(t):
   CAST(CASE WHEN status = 0 THEN 0 END AS INT) AS outlier_mode, status FROM long WHERE status IS NOT NULL""")
 def sweep_items(t):
     return A.sweep_items(sweep_long(t))
+
+
+@query("U19_saved_sweep", f"""
+{SWEEP}, head AS (SELECT category, eps, min_samples, (SELECT max(iteration_id) FROM fx_iteration) + row_number() OVER (ORDER BY category, eps, min_samples) AS iteration_id
+  FROM (SELECT DISTINCT category, eps, min_samples FROM long) d)
+SELECT h.iteration_id, h.category, h.eps, CAST(h.min_samples AS INT) AS sample, count(l.status) AS items, count(*) FILTER (l.status = 0) AS outliers,
+  CAST((SELECT max(id) FROM fx_iteration_item) + sum(count(l.status)) OVER (ORDER BY h.iteration_id) AS BIGINT) AS last_id
+FROM head h JOIN long l ON l.category = h.category AND l.eps = h.eps AND l.min_samples = h.min_samples GROUP BY h.iteration_id, h.category, h.eps, h.min_samples""")
+def saved_sweep(t):
+    """A sweep saved with its items and read back: every item lies under exactly one header."""
+    long = stage(sweep_long(t), "sweep")
+    headers, items = A.save_sweep(t.fx_iteration, t.fx_iteration_item, long, t.fx_product, 1, "run-12")
+    new = headers.filter("unique_number = 'run-12'").select("iteration_id", "category", "eps", "sample")
+    counts = items.groupBy("iteration_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == 0).alias("outliers"),
+                                               F.max("id").alias("last_id"))
+    return new.join(counts, "iteration_id").select("iteration_id", "category", F.col("eps").cast("double").alias("eps"), "sample",
+                                                   "items", "outliers", "last_id")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfglass.functions.text import strip
-from shelfglass.operators.keyed import apply_updates, first_per_key, insert_missing, marked
+from shelfglass.operators.keyed import first_per_key, marked, merge
+from shelfglass.staging import stage
 
 MODES = ("insert_direct", "insert_with_identity", "update", "insert_update")
 
@@ -62,21 +63,32 @@ def check_mapping(schema: T.StructType | None, mapping: Mapping[str, str] | None
         raise ValueError(f"required columns not mapped: {', '.join(missing)}")
 
 
+def _text(source: str) -> Column:
+    return F.nullif(strip(F.col(f"`{source}`").cast("string")), F.lit(""))
+
+
 def mapped_rows(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType,
                 reject: bool = False) -> DataFrame:
     """File columns under their table names: stripped, empty to NULL, cast to the table type.
 
-    ``reject`` leaves out rows with a value that does not fit, which ``cast_errors`` reports, so
-    that an update overwrites no good value; otherwise such a value is NULL.
+    ``reject`` leaves out rows with a value that does not fit, so that an update overwrites no good
+    value; ``import_rows`` reports them and ``cast_errors`` lists the values. Otherwise such a value
+    is NULL.
     """
-    def text(source: str) -> Column:
-        return F.nullif(strip(F.col(f"`{source}`").cast("string")), F.lit(""))
+    rows = checked_rows(raw, mapping, schema)
+    return (rows.filter(F.size("errors") == 0) if reject else rows).drop("errors")
+
 
-    fits = [text(s).isNull() | text(s).try_cast(schema[t].dataType).isNotNull()
-            for s, t in mapping.items()]
-    kept = raw.filter(reduce(lambda a, b: a & b, fits)) if reject else raw
-    return kept.select(*[
-        text(s).try_cast(schema[t].dataType).alias(t) for s, t in mapping.items()])
+def checked_rows(raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType) -> DataFrame:
+    """Mapped rows with ``errors``: column, value and reason of every value that does not fit."""
+    problems = [
+        F.when(_text(s).isNotNull() & _text(s).try_cast(schema[t].dataType).isNull(), F.struct(
+            F.lit(t).alias("column"), _text(s).alias("value"),
+            F.lit(f"not a {schema[t].dataType.simpleString()}").alias("reason")))
+        for s, t in mapping.items()]
+    return raw.select(
+        *[_text(s).try_cast(schema[t].dataType).alias(t) for s, t in mapping.items()],
+        F.array_compact(F.array(*problems)).alias("errors"))
 
 
 def _comparable(c: str) -> Column:
@@ -105,22 +117,60 @@ def _split(base: DataFrame, rows: DataFrame, identity: Sequence[str], order: str
 
 
 def run_import(base: DataFrame, rows: DataFrame, mode: str, identity: Sequence[str] = (),
-               order: str | None = None) -> DataFrame:
-    """The table after an import; ``order`` is the file order, the first row of a key wins."""
+               order: str | None = None, flag: str | None = None) -> DataFrame:
+    """The table after an import; ``order`` is the file order, the first row of a key wins.
+
+    ``flag`` adds a column that tells inserted, updated and kept rows apart.
+    """
     data = rows.drop(order) if order else rows
     if mode == "insert_direct":
+        new, old = (F.lit("inserted"), F.lit("kept"))
+        if flag:
+            base, data = base.withColumn(flag, old), data.withColumn(flag, new)
         return base.unionByName(data, allowMissingColumns=True)
     keyed_base, unique, keys = _split(base, rows, identity, order)
     unique = unique.drop(order) if order else unique
-    result = keyed_base
-    if mode in ("update", "insert_update"):
-        columns = [c for c in data.columns if c not in identity]
-        news = unique.select(*keys, *columns).na.drop(subset=keys)
-        result = apply_updates(result, news, keys, columns) if columns else result
-    if mode in ("insert_with_identity", "insert_update"):
-        fresh = insert_missing(keyed_base, unique, keys)
-        result = result.unionByName(fresh, allowMissingColumns=True)
-    return result.drop(*keys)
+    return merge(keyed_base, unique, keys, [c for c in data.columns if c not in identity],
+                 update=mode in ("update", "insert_update"),
+                 insert=mode in ("insert_with_identity", "insert_update"),
+                 unique=True, flag=flag).drop(*keys)
+
+
+class Import(NamedTuple):
+    """What an import gives: the new table, the rejected values (the file's column ``order``, if
+    any, with column, value and reason), and the counts."""
+
+    table: DataFrame
+    rejected: DataFrame
+    report: DataFrame
+
+
+def import_rows(base: DataFrame, raw: DataFrame, mapping: Mapping[str, str], schema: T.StructType,
+                mode: str, identity: Sequence[str] = (), order: str | None = None) -> Import:
+    """Run an import whose rows may hold bad values: these rows are rejected, with their values.
+
+    The file is parsed once, to a staged table on which rows and rejected rows are counted while it
+    is written; the new table is one merge. total = inserted + updated + duplicates + ignored +
+    errors, errors being rejected rows and ignored rows that the mode does not use.
+    """
+    spark, seen = base.sparkSession, Observation()
+    checked = stage(checked_rows(raw, mapping, schema).observe(
+        seen, F.count(F.lit(1)).alias("total"),
+        F.count_if(F.size("errors") > 0).alias("errors")), "import")
+    good = checked.filter(F.size("errors") == 0).drop("errors")
+    rejected = checked.filter(F.size("errors") > 0).select(
+        *([order] if order else []), F.explode("errors").alias("e")).select(
+        *([order] if order else []), "e.*")
+    table = run_import(base, good.drop(order) if order and mode == "insert_direct" else good, mode,
+                       identity, order)
+    counts = import_report(base, good, mode, identity, order)
+    errors = spark.createDataFrame([(seen.get["total"], seen.get["errors"])],
+                                   "total bigint, errors bigint")
+    report = counts.drop("total").crossJoin(errors).select(  # one row each
+        "total", "inserted", "updated", "duplicates",
+        (F.col("total") - F.col("errors") - F.col("inserted") - F.col("updated")
+         - F.col("duplicates")).alias("ignored"), "errors")
+    return Import(table, rejected, report)
 
 
 def import_report(base: DataFrame, rows: DataFrame, mode: str, identity: Sequence[str] = (),

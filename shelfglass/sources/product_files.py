@@ -16,6 +16,7 @@ HEADER_NAMES = {
     "imageurl": "imageUrl", "sku": "SKU", "type": "Type", "h": "H", "w": "W", "d": "D",
 }
 DIMENSIONS = ("H", "W", "D")
+MIN_ROWS = 4
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,11 +26,11 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.url_decode(name).alias("file")).distinct().orderBy("file")
 
 
-def read_file(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as text; quoted fields may span lines.
+def read_file(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, one record per line; files are split over the cluster.
 
-    Spark reads such a file in one task. Pass ``multi_line=False`` for large files known to hold
-    one record per line: they are split over the cluster.
+    Pass ``multi_line=True`` for files whose quoted fields may span lines: Spark reads each of them
+    in one task.
     """
     return spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
 
@@ -38,7 +39,7 @@ def standardise(raw: DataFrame) -> DataFrame:
     """Known headers to their column names, numbers parsed, rows without a dimension dropped.
 
     Several headers of one name are merged, the first in file order winning. A file that lacks a
-    dimension gives no rows.
+    dimension is an error.
     """
     sources: dict[str, list[str]] = {}
     for c in raw.columns:
@@ -49,12 +50,13 @@ def standardise(raw: DataFrame) -> DataFrame:
         for target, cs in sources.items()])
     numeric = [c for c in (*DIMENSIONS, "weight") if c in df.columns]
     df = df.withColumns({c: to_number(F.col(c)) for c in numeric})
-    if any(d not in df.columns for d in DIMENSIONS):
-        return df.limit(0)
+    missing = [d for d in DIMENSIONS if d not in df.columns]
+    if missing:
+        raise ValueError(f"the file has no column for {', '.join(missing)}")
     return df.na.drop(subset=list(DIMENSIONS))
 
 
-def load_products(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def load_products(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return standardise(read_file(spark, path, multi_line))
 
 
@@ -64,7 +66,8 @@ def with_row_order(rows: DataFrame, name: str = "row_order") -> DataFrame:
 
 
 def filtered(rows: DataFrame, categories, brands=None, types=None) -> DataFrame:
-    """Rows of the chosen categories, and brands and types where chosen; none below four rows."""
+    """Rows of the chosen categories, and brands and types where chosen; fewer than ``MIN_ROWS`` are
+    an error, found by a look at the first ones."""
     if not categories:
         raise ValueError("categories must be selected")
     wanted = [categories] if isinstance(categories, str) else list(categories)
@@ -73,8 +76,10 @@ def filtered(rows: DataFrame, categories, brands=None, types=None) -> DataFrame:
         if values:
             where = where & F.col(c).isin(list(values))
     picked = rows.filter(where)
-    enough = picked.agg((F.count(F.lit(1)) >= 4).alias("_enough"))
-    return picked.crossJoin(enough).filter("_enough").drop("_enough")  # one row by construction
+    found = picked.limit(MIN_ROWS).count()
+    if found < MIN_ROWS:
+        raise ValueError(f"{found} rows are too few: an analysis needs {MIN_ROWS}")
+    return picked
 
 
 def preview(labelled: DataFrame, sku: str, column: str = "SKU") -> DataFrame:

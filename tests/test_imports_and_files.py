@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfglass import schema
-from shelfglass.operators.keyed import apply_updates, delete_where, set_where, upsert
+from shelfglass.operators.keyed import apply_updates, delete_where, merge, set_where, upsert
+from shelfglass.operators.numbering import number_in_order
 from shelfglass.sources import exports as E
 from shelfglass.sources import imports as I
 from shelfglass.sources import product_files as P
@@ -96,7 +97,8 @@ def test_product_file_headers(spark, tmp_path):
     rows = P.load_products(spark, str(tmp_path / "b.csv"))
     assert rows.columns == ["SKU", "Type", "H", "W", "D", "imageUrl"]
     assert {(r["SKU"], r["H"]) for r in rows.collect()} == {("s2", 12.0)}
-    assert P.load_products(spark, str(tmp_path / "a.csv")).count() == 0
+    with pytest.raises(ValueError, match="no column for D"):
+        P.load_products(spark, str(tmp_path / "a.csv"))
     with pytest.raises(ValueError):
         P.filtered(rows, [])
 
@@ -110,9 +112,28 @@ def test_row_order_and_dropped_stages(spark):
     assert drop_stages(spark) == 1
 
 
-def test_few_rows_give_nothing(spark):
+def test_fields_over_several_lines_on_request(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('SKU,Name,H,W,D\ns1,"two\nlines",1,2,3\ns2,one,4,5,6\n')
+    rows = P.load_products(spark, str(tmp_path / "m.csv"), multi_line=True)
+    assert {(r["SKU"], r["Name"]) for r in rows.collect()} == {("s1", "two\nlines"), ("s2", "one")}
+
+
+def test_large_files_are_split(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("SKU,H,W,D\n" + "s,1,2,3\n" * 200_000)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "256k")
+    try:
+        rows = P.load_products(spark, str(tmp_path / "big.csv"))
+        assert rows.rdd.getNumPartitions() > 3 and rows.count() == 200_000
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_few_rows_are_an_error(spark):
     df = spark.createDataFrame([("c", "b")] * 3, "Category string, Brand string")
-    assert P.filtered(df, ["c"]).count() == 0
+    with pytest.raises(ValueError, match="3 rows are too few"):
+        P.filtered(df, ["c"])
     assert P.filtered(df.union(df), "c").count() == 6
 
 
@@ -132,8 +153,46 @@ def test_keyed_changes(spark, base):
     news = spark.createDataFrame([(2, None), (9, "nine")], "id bigint, name string")
     assert rows_of(apply_updates(base, news, ["id"]).select("id", "name")) == [(1, "old"), (2, None)]
     assert upsert(base, news, ["id"]).count() == 3
+    twice = spark.createDataFrame([(2, "a"), (2, "b"), (None, "x"), (None, "y")], "id bigint, name string")
+    assert rows_of(apply_updates(base, twice, ["id"]).select("id", "name")) == [(1, "old"), (2, "b")]
+    assert upsert(base, twice, ["id"]).count() == 4
     null_row = spark.createDataFrame([(3, None, "n", None)], SCHEMA)
     table = base.union(null_row)
     cheap = F.col("price") < 2
     assert [r["name"] for r in set_where(table, cheap, {"name": "c"}).orderBy("id").collect()] == ["c", "keep", "n"]
     assert [r["id"] for r in delete_where(table, cheap).orderBy("id").collect()] == [2, 3]
+
+
+def test_merge_is_one_join(spark, base):
+    news = spark.createDataFrame([(2, None, 5.0), (9, "nine", None), (None, "z", 1.0)], "id bigint, name string, price double")
+    both = merge(base, news, ["id"], keep_on_null=["name"], flag="change", unique=True)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Join FullOuter" in plan
+    got = {(r["id"], r["name"], r["price"], r["change"]) for r in both.collect()}
+    old = {r["id"]: r for r in base.collect()}
+    assert got == {(1, old[1]["name"], old[1]["price"], "kept"), (2, old[2]["name"], 5.0, "updated"),
+                   (9, "nine", None, "inserted"), (None, "z", 1.0, "inserted")}
+    update_only = merge(base, news, ["id"], insert=False, unique=True)
+    assert update_only.count() == 2
+    insert_only = merge(base, news, ["id"], update=False, unique=True)
+    assert {r["name"] for r in insert_only.filter("id = 2").collect()} == {old[2]["name"]}
+
+
+def test_rejected_rows_are_counted(spark):
+    base = spark.createDataFrame([(1, "A", "old", 1.0), (2, "B", "keep", 2.0)], "id bigint, code string, name string, price double")
+    raw = spark.createDataFrame([("0", "A", "n1", "5"), ("1", "A", "n2", "6"), ("2", "B", "x", "n/a"), ("3", "C", "new", "7"), ("4", "D", "bad", "1,5")],
+                                "Line string, Code string, Label string, Cost string")
+    schema_ = base.withColumn("line", F.lit(0).cast("bigint")).schema
+    mapping = {"Code": "code", "Label": "name", "Cost": "price", "Line": "line"}
+    done = I.import_rows(base, raw, mapping, schema_, "insert_update", ["code"], "line")
+    assert done.report.first().asDict() == {"total": 5, "inserted": 1, "updated": 1, "duplicates": 1, "ignored": 0, "errors": 2}
+    assert {tuple(r) for r in done.rejected.collect()} == {(2, "price", "n/a", "not a double"), (4, "price", "1,5", "not a double")}
+    assert {(r["code"], r["name"], r["price"]) for r in done.table.collect()} == {("A", "n1", 5.0), ("B", "keep", 2.0), ("C", "new", 7.0)}
+    only = I.import_rows(base, raw, mapping, schema_, "update", ["code"], "line").report.first()
+    assert (only["inserted"], only["updated"], only["ignored"]) == (0, 1, 1)
+
+
+def test_numbers_follow_the_order_over_many_parts(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("same prefix "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("k"), "id").repartition(7)
+    got = number_in_order(rows, ["k"], "n").filter("n <> id + 1").count()
+    assert got == 0

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,32 @@ def test_algorithms_can_be_added(spark):
         for kind in ("string", "url", "number"):
             del S.REGISTRY[("exact", kind)]
     assert S.algorithm("exact", "string") is None
+
+
+def test_gram_score_of_long_repetitive_texts(spark):
+    """Counts by definition, on texts of many repeats; ten times the words cost about ten times."""
+    from collections import Counter
+
+    def grams(text):
+        return Counter(p[i:i + n] for w in text.split() for p in [f" {w} "] for n in range(2, min(4, len(p)) + 1)
+                       for i in range(len(p) - n + 1))
+
+    def expected(a, b):
+        x, y = grams(a), grams(b)
+        one = S.SINGLE_IDF
+        weight = lambda g: 1.0 if g in x and g in y else one
+        dot = sum(x[g] * y[g] for g in x if g in y)
+        norm = lambda c: sum((n * weight(g)) ** 2 for g, n in c.items()) ** 0.5
+        return 100 * dot / norm(x) / norm(y)
+
+    def made(words, step):
+        return " ".join(f"w{i * step % 997} red blue{i % 13}" for i in range(words // 3))
+
+    took = {}
+    for words in (300, 2_000, 20_000):
+        a, b = made(words, 1), made(words, 7) + " other words here"
+        start = time.time()
+        got = value(spark, S.gram_score(S.gram_features(lit(a)), S.gram_features(lit(b))))
+        took[words] = time.time() - start
+        assert got == pytest.approx(expected(a, b), rel=1e-9)
+    assert took[20_000] < 30 * max(took[2_000], 0.2)
