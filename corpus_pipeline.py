@@ -14,16 +14,26 @@ from shelfglass.llm.registry import read
 from shelfglass.staging import stage
 
 
-def _keeping(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` without the ids that ``verdicts`` (id) lists; a null id is never listed."""
-    return docs.join(verdicts, docs["doc_id"] == verdicts["_id"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the id or, where it is null, a number beyond all ids made of the text,
+    so that such a row is judged, and dropped, like any other."""
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
+
+
+def _keeping(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows without the keys that ``gone`` (_key) lists."""
+    return keyed.join(gone, "_key", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not mark; an id any of whose texts is marked goes."""
-    scores = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"))
-    bad = scores.filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return _keeping(docs, stage(bad, "toxic"))
+    """Documents that the toxicity operator does not mark; an id any of whose texts is marked goes,
+    and a row without an id goes with its text. Null and empty texts stay."""
+    keyed = _keyed(docs)
+    labels = read(spark, sf_dir, "labels").withColumn("_key", F.col("doc_id").cast("long"))
+    scores = toxicity.score_toxicity(keyed, labels, key="_key")
+    bad = stage(scores.filter("predicted = 1").select("_key").distinct(), "toxic")
+    return _keeping(keyed, bad).drop("_key")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +43,28 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id. A row that repeats
-    id and text goes; different texts under one id are parts of one document. Texts without words
-    are no duplicates of each other."""
-    found = stage(jaccard_join.link_documents(docs).select("doc_id", "component_id"), "groups")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = _keeping(docs, stage(gone, "copies"))
-    again = stage(found.filter("component_id = doc_id").groupBy("doc_id").count().filter(
-        "count > 1").select(F.col("doc_id").alias("_id")), "again")
-    return _keeping(kept, again).unionByName(
-        kept.join(again, kept["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One document of each group of near duplicates, that of the smallest id; rows without an id
+    come after all others. A row that repeats id and text goes; different texts under one id are
+    parts of one document. Texts without words are no duplicates of each other."""
+    keyed = _keyed(docs)
+    found = stage(jaccard_join.link_documents(keyed, key="_key").select("_key", "component_id"),
+                  "groups")
+    gone = stage(found.filter("component_id <> _key").select("_key").distinct(), "copies")
+    again = stage(found.filter("component_id = _key").groupBy("_key").count().filter(
+        "count > 1").select("_key"), "again")
+    kept = _keeping(keyed, gone)
+    once = kept.join(again, "_key", "left_semi").dropDuplicates(["_key", "text"])
+    return _keeping(kept, again).unionByName(once).drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in their target weights: documents as often as the mix takes them."""
+    """The sources in their target weights: documents as often as the mix takes them. A null source
+    is a source of its own, a null text has size 0 and fills nothing."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in training sequences."""
+    """Pieces of all documents, placed in training sequences; a null or empty text is its end mark."""
     return packing.pack(docs)
 
 

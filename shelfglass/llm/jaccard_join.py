@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,18 +30,19 @@ from pyspark.sql import functions as F
 from shelfglass.llm.registry import query, read
 from shelfglass.llm.shingles import SLICE_BYTES, set_hash, shingle_sets
 from shelfglass.llm.slots import slot, slots_of
-from shelfglass.llm.wordtokens import parts
+from shelfglass.llm.wordtokens import frugal, give_back, parts
 from shelfglass.operators.components import component_labels
+from shelfglass.operators.joins import null_safe_join
 from shelfglass.staging import stage
 
 #: Similarity, in hundredths.
 PERCENT = 75
 #: Frequent shingles known to all tasks, shingles that are counted together in a task, and postings
 #: of a bucket of short lists.
-FREQUENT, COUNTED_SHINGLES, BUCKET_POSTINGS = 1 << 18, 5_000_000, 1 << 20
+FREQUENT, COUNTED_SHINGLES, BUCKET_POSTINGS = 1 << 18, 1_000_000, 1 << 18
 #: Sets of a block in a small group; blocks that a group is cut into before blocks grow; sets and
 #: shingles of a block at most; shingles of the blocks that one task searches.
-BLOCK_SETS, FEW_BLOCKS, MOST_SETS, MOST_SHINGLES, TASK_SHINGLES = 256, 16, 2048, 500_000, 200_000
+BLOCK_SETS, FEW_BLOCKS, MOST_SETS, MOST_SHINGLES, TASK_SHINGLES = 256, 16, 2048, 500_000, 100_000
 
 
 def required(sizes, percent: int):
@@ -54,26 +54,28 @@ def _read_sets(docs: DataFrame) -> DataFrame:
     """Rows of keys, sizes and hashes of sets, and rows of the shingles that occur twice or more in
     a stretch of the input, with their counts."""
     kind = docs.schema["key"].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total, key_type = [], 0, None
 
-        def row(keys, sizes, nodes, shingles, counts):
+        def row(keys, others, sizes, nodes, shingles, counts):
             return pa.RecordBatch.from_arrays([
-                pa.array([keys], pa.list_(key_type)), *(pa.array([x], pa.list_(pa.int64()))
-                                                        for x in (sizes, nodes, shingles, counts))],
-                ["keys", "sizes", "nodes", "shingles", "counts"])
+                pa.array([keys], pa.list_(key_type)),
+                *(pa.array([x], longs) for x in (others, sizes, nodes, shingles, counts))],
+                ["keys", "others", "sizes", "nodes", "shingles", "counts"])
 
         def repeated():
             every = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
             counts = np.diff(np.r_[first, len(every)])
             often = counts > 1
-            return row([], [], [], every[first[often]].view(np.int64), counts[often])
+            return row([], [], [], [], every[first[often]].view(np.int64), counts[often])
 
-        for part in parts(batches, 1, SLICE_BYTES):
-            sets = list(shingle_sets(part.column(1)))
-            yield row(part.column(0).to_pylist(), [len(s) for s in sets],
+        for part in parts(batches, 2, SLICE_BYTES):
+            key_type = part.column(0).type
+            sets = list(shingle_sets(part.column(2)))
+            yield row(part.column(0).to_pylist(), part.column(1).to_pylist(), [len(s) for s in sets],
                       [set_hash(s) if len(s) else None for s in sets], [], [])
             held += sets
             total += sum(map(len, sets))
@@ -83,10 +85,9 @@ def _read_sets(docs: DataFrame) -> DataFrame:
         if total:
             yield repeated()
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return stage(docs.select("key", "text").mapInArrow(
-        run, f"keys array<{kind}>, sizes array<bigint>, nodes array<bigint>, "
-             "shingles array<bigint>, counts array<bigint>"), "sets")
+    return stage(docs.select("key", "other", "text").mapInArrow(
+        frugal(run), f"keys array<{kind}>, others array<bigint>, sizes array<bigint>, "
+                     "nodes array<bigint>, shingles array<bigint>, counts array<bigint>"), "sets")
 
 
 def _frequent(read_sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +152,12 @@ def _meetings(docs: DataFrame, frequent, percent: int, postings: int) -> DataFra
                 *(pa.array([z[x:y].tobytes() for _, x, y in full], pa.binary())
                   for z in (t, v, n))], ["bucket", "t", "v", "n"])
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        t, v, n = (np.frombuffer(b"".join(part[c]), k)
-                   for c, k in (("t", np.uint64), ("v", np.int64), ("n", np.int32)))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.frombuffer(x.as_buffer(), k) for x in batch.column(c)]
+                for batch in batches
+                for c, k in (("t", np.uint64), ("v", np.int64), ("n", np.int32))]
+        t, v, n = (np.concatenate([x for some in held[i::3] for x in some]) for i in range(3))
+        held.clear()
         leads, n = n > 0, np.abs(n).astype(np.int64)
         order = np.lexsort((v, n, t))
         t, v, n, leads = t[order], v[order], n[order], leads[order]
@@ -168,10 +172,11 @@ def _meetings(docs: DataFrame, frequent, percent: int, postings: int) -> DataFra
         start = np.maximum.accumulate(np.where(np.r_[True, ~on][:len(t)], np.arange(len(t)), 0))
         several = np.bincount(start, minlength=len(t))[start] > 1
         pairs = np.unique(np.c_[v[several], v[start[several]]], axis=0)
-        return pd.DataFrame({"node": pairs[:, 0], "center": pairs[:, 1]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "center"])
 
     return docs.select("text").mapInArrow(
-        post, "bucket bigint, t binary, v binary, n binary").groupBy("bucket").applyInPandas(
+        frugal(post), "bucket bigint, t binary, v binary, n binary").groupBy("bucket").applyInArrow(
         meet, "node bigint, center bigint").distinct()
 
 
@@ -272,7 +277,7 @@ def _seen_elsewhere(center: int, left: list, right: list):
 
 
 def _members(nodes: DataFrame, meetings: DataFrame) -> DataFrame:
-    """(node, key, n, copies, centers, center, blocks, block): sets of groups, in blocks by hash."""
+    """(node, key, other, n, copies, centers, center, blocks, block): sets of groups, in blocks by hash."""
     own = meetings.groupBy("node").agg(F.sort_array(F.collect_set("center")).alias("centers"))
     members = own.join(nodes, "node").withColumn("center", F.explode("centers"))
     sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
@@ -288,27 +293,31 @@ def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(node, links, other): what every pair of blocks of a group finds."""
     total = members.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     tasks = max(64, math.ceil(total / TASK_SHINGLES))
-    own = members.groupBy("key").agg(
+    own = members.groupBy("key", "other").agg(
         F.collect_list(F.struct("node", "copies", "centers", "center", "blocks", "block")).alias("m"))
-    texts = docs.join(slots_of(own, F.col("key")), slot(F.col("key")) == F.col("slot"),
-                      "left_semi").join(own, "key").select("text", F.explode("m").alias("m")).select(
-        "text", "m.*")
+    names = ["key", "other"]  # a null key is found by the hash of its text
+    held = slots_of(own, *map(F.col, names))
+    texts = null_safe_join(
+        docs.join(held, slot(*map(F.col, names)) == F.col("slot"), "left_semi"), own, names).select(
+        "text", F.explode("m").alias("m")).select("text", "m.*")
     cells = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select(
         "node", "copies", "centers", "center", "text", F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("left"))
     cells = cells.withColumn("task", F.pmod(F.xxhash64("center", "low", "high"), F.lit(tasks)))
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        sets = list(shingle_sets(pa.array(part["text"], pa.large_string())))
-        node, center, copies, is_left, one = (part[c].to_numpy() for c in (
-            "node", "center", "copies", "left", "low"))
-        one = one == part["high"].to_numpy()
-        centers = [x.tolist() for x in part["centers"]]
+    def search(part: pa.Table) -> pa.Table:
+        sets = list(shingle_sets(part["text"].cast(pa.large_string()).combine_chunks()))
+        node, center, copies, is_left, one, high = (part[c].to_numpy() for c in (
+            "node", "center", "copies", "left", "low", "high"))
+        centers, groups = part["centers"].to_pylist(), {}
+        for i, name in enumerate(zip(center.tolist(), one.tolist(), high.tolist(), strict=True)):
+            groups.setdefault(name, []).append(i)
+        one = one == high
         out = []
-        for rows in part.groupby(["center", "low", "high"], sort=False).indices.values():
+        for rows in groups.values():
             # A key may come with several texts, and a text twice; a set belongs here once.
-            mine = {node[i]: i for i in rows.tolist() if set_hash(sets[i]) == node[i]}
+            mine = {node[i]: i for i in rows if set_hash(sets[i]) == node[i]}
             left = [i for i in mine.values() if is_left[i]]
             right = [i for i in mine.values() if not is_left[i]]
             alone = bool(one[rows[0]])
@@ -322,10 +331,11 @@ def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 None if alone else copies[right], percent, seen)
             nodes = node[left if alone else left + right]
             out.append(np.c_[nodes, links, nodes[label]])
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64),
-                            columns=["node", "links", "other"])
+        found = np.concatenate(out) if out else np.empty((0, 3), np.int64)
+        give_back()
+        return pa.table(list(found.T), names=["node", "links", "other"])
 
-    return cells.groupBy("task").applyInPandas(search, "node bigint, links bigint, other bigint")
+    return cells.groupBy("task").applyInArrow(search, "node bigint, links bigint, other bigint")
 
 
 def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -339,13 +349,15 @@ def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     such row. Repeated rows link with each other; a null key links by its text and is never the
     smallest; other columns are not read. An empty table gives no rows. ``percent`` is 1 to 100.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn(
+        "other", F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(0))
     sets = _read_sets(docs)
-    rows = sets.select(F.explode(F.arrays_zip("keys", "sizes", "nodes")).alias("x")).select(
-        F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), F.col("x.nodes").alias("node"))
+    rows = sets.select(F.explode(F.arrays_zip("keys", "others", "sizes", "nodes")).alias("x")).select(
+        F.col("x.keys").alias("key"), F.col("x.others").alias("other"), F.col("x.sizes").alias("n"), F.col("x.nodes").alias("node"))
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "other"))
     nodes = stage(rows.filter("n > 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")),
-        "nodes")
+        first.alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")).select(
+        "node", "first.key", "first.other", "n", "copies"), "nodes")
     postings = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     meetings = stage(_meetings(docs, _frequent(sets), percent, postings), "meetings")
     members = stage(_members(nodes, meetings), "members")

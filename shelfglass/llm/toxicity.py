@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfglass.llm.registry import query, read
-from shelfglass.llm.wordtokens import parts
+from shelfglass.llm.wordtokens import frugal, parts
 from shelfglass.staging import stage
 
 #: Bounds of the fit: labelled rows for the lexicon and for the calibration, lexicon candidates.
@@ -127,7 +127,7 @@ def _toxic_terms(toxic: DataFrame) -> DataFrame:
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
                 ["term", "n"])
 
-    return toxic.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(
+    return toxic.select("text").mapInArrow(frugal(run), "term string, n bigint").groupBy("term").agg(
         F.sum("n").alias("n"))
 
 
@@ -155,7 +155,7 @@ def _corpus_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
             pa.array(np.r_[clean[seen], clean_n, clean_tokens])], ["term", "n_all", "n_clean"])
 
     return docs.select("text", "toxic").mapInArrow(
-        run, "term bigint, n_all bigint, n_clean bigint").groupBy("term").agg(
+        frugal(run), "term bigint, n_all bigint, n_clean bigint").groupBy("term").agg(
         F.sum("n_all").alias("n_all"), F.sum("n_clean").alias("n_clean"))
 
 
@@ -214,7 +214,7 @@ def find_segments(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                  pa.array(segments, pa.list_(item))], ["id", "n_tokens", "segments"])
 
     return docs.select("id", "text").mapInArrow(
-        run, f"id {kind}, n_tokens bigint, "
+        frugal(run), f"id {kind}, n_tokens bigint, "
              "segments array<struct<start:bigint,end:bigint,score:double>>")
 
 

@@ -62,6 +62,26 @@ def test_join_equals_brute_force(make_docs, monkeypatch, small):
     assert Counter(tuple(r) for r in got) == brute_links(rows)
 
 
+def test_rows_without_an_id_keep_their_links(make_docs):
+    text = " ".join(f"n{i}" for i in range(60))
+    rows = [(None, text), (None, text + " more"), (7, text + " other"), (None, "far " * 3 + text[:90]),
+            (None, text + " more"), (None, " ".join(f"m{i}" for i in range(60))),
+            (None, " ".join(f"m{i}" for i in range(59)))]
+    got = Counter(tuple(r) for r in jaccard_join.link_documents(make_docs(rows)).collect())
+    assert got == brute_links(rows)
+    assert sum(n for (_, _, c, _), n in got.items() if c == 7) == 4
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "double", "decimal(20,0)", "string"])
+def test_join_takes_keys_of_any_type(spark, make_docs, kind):
+    text = " ".join(f"n{i}" for i in range(60))
+    docs = make_docs([(1, text), (2, text + " x"), (3, "alone")])
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast(kind))
+    got = {str(int(float(r["doc_id"]))): str(int(float(r["component_id"])))
+           for r in jaccard_join.link_documents(docs).collect()}
+    assert got == {"1": "1", "2": "1", "3": "3"}
+
+
 def test_join_of_an_empty_table(make_docs):
     assert jaccard_join.link_documents(make_docs([])).collect() == []
 

@@ -59,6 +59,25 @@ def test_stages_against_brute_force(spark, make_docs, tmp_path):
     assert sum(len(np.frombuffer(r["ids"], "<u4")) for r in kept[4]) == sum(want.values())
 
 
+def test_rows_without_an_id_are_judged(spark, make_docs, tmp_path):
+    rows, labels = corpus(240)
+    toxic = next(t for k, t, _ in rows if k % 7 == 0 and k % 5 and "scoundrel" in t)
+    text = " ".join(f"n{i}" for i in range(60))
+    docs = make_docs(rows + [(None, toxic), (None, toxic + " vermin scoundrel"), (5000, text), (None, text + " x"),
+                             (None, "a clean text of its own, without an id")]
+                     ).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(k, t) for k, _, t in labels], "doc_id long, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    left = [r["text"] for r in clean.filter("doc_id IS NULL").collect()]
+    assert sorted(left) == sorted([text + " x", "a clean text of its own, without an id"])
+    once = corpus_pipeline.drop_near_duplicates(spark, clean, str(tmp_path))
+    assert once.columns == docs.columns
+    assert [r["text"] for r in once.filter("doc_id IS NULL").collect()] == [
+        "a clean text of its own, without an id"]
+    assert once.filter("doc_id = 5000").count() == 1
+
+
 def test_empty_tables(spark, make_docs, tmp_path):
     docs = make_docs([]).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
