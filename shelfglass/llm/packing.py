@@ -83,7 +83,7 @@ def with_curve_key(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ["key", "text", "curve"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"key {kind}, text string, curve bigint")
+        wordtokens.frugal(run), f"key {kind}, text string, curve bigint")
 
 
 def _cut(pieces: Iterator[tuple[int, bytes, int]], length: int, width: int):
@@ -137,11 +137,14 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: in
         end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         keys: list = []
+        key_type = None
         out: list[tuple] = []
         totals: list[int] = []
 
         def pieces():
+            nonlocal key_type
             for batch in wordtokens.parts(batches, 1, wordtokens.SLICE_BYTES):
+                key_type = batch.column(0).type
                 for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)),
                                   strict=True):
                     raw = ids.astype("<u4").tobytes() + end
@@ -170,12 +173,11 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: in
         if out:
             yield flush()
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     placed = with_curve_key(docs, key, text).withColumn("tie", F.xxhash64("key")).repartitionByRange(
         "curve", "tie").sortWithinPartitions("curve", "tie", "key", "text")
     return placed.select("key", "text").mapInArrow(
-        run, f"key {kind}, sequence_id bigint, offset bigint, start bigint, doc_tokens bigint, "
-             "ids binary").withColumnRenamed("key", key)
+        wordtokens.frugal(run), f"key {kind}, sequence_id bigint, offset bigint, start bigint, doc_tokens bigint, "
+                                "ids binary").withColumnRenamed("key", key)
 
 
 @query("op6_curve_packing")

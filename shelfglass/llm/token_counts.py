@@ -63,6 +63,7 @@ def write_token_blocks(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             return out
 
         for batch in wordtokens.parts(batches, 1, wordtokens.GATHER_BYTES):
+            key_type = batch.column(0).type
             for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 buffer += ids.astype("<u2").tobytes() + end
                 ends.append((len(buffer), k))
@@ -71,10 +72,9 @@ def write_token_blocks(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         if buffer:
             yield cut(len(buffer))
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return stage(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-                 .mapInArrow(run, "file bigint, block bigint, ids binary, first bigint, "
-                                  f"keys array<{kind}>"), "tokens")
+                 .mapInArrow(wordtokens.frugal(run), "file bigint, block bigint, ids binary, "
+                                                     f"first bigint, keys array<{kind}>"), "tokens")
 
 
 def _search(blocks: DataFrame, separator: int, width: int) -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +19,9 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of text that are cut into words together (a longer text is a slice by itself), distinct
-#: words encoded at a time, and bytes of text whose ids are gathered at a time.
-SLICE_BYTES, WORDS_AT_ONCE, GATHER_BYTES = 14_000_000, 20_000, 4_000_000
+#: words encoded at a time, words whose ids a worker remembers, and bytes of text whose ids are
+#: gathered at a time.
+SLICE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS, GATHER_BYTES = 4_000_000, 20_000, 150_000, 4_000_000
 
 # Texts that keep their capitals: lowering letters from U+0130 on may depend on their neighbours,
 # and special tokens begin with "<".
@@ -94,6 +95,19 @@ class WordTokenizer:
     def __init__(self, path: str = VOCABULARY, *, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those a worker has met lately are remembered."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for a in range(0, len(new), WORDS_AT_ONCE):
+            some = new[a:a + WORDS_AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False),
+                            strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+        return [self.known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, 32 bits each; a null text counts as empty."""
@@ -105,13 +119,9 @@ class WordTokenizer:
         bounds = words.offsets.to_numpy()
         found = words.flatten().dictionary_encode()
         index, known = found.indices.to_numpy(), found.dictionary
-        sizes, ids = [], []
-        for a in range(0, len(known), WORDS_AT_ONCE):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(
-                known.slice(a, WORDS_AT_ONCE).to_pylist(), add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
-        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        raw = self._ids(known.to_pylist())
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = np.frombuffer(b"".join(raw), np.uint32)
         first = np.cumsum(sizes) - sizes
         bounds = bounds - bounds[0]
         for a, b in slices(texts, GATHER_BYTES):
