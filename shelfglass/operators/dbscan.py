@@ -31,7 +31,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfglass.operators.components import component_labels
@@ -45,10 +45,13 @@ FEATURE_GROUPS = ("size", "shape", "volume")
 RATIO_EPSILON = 1e-6
 
 LEAF = 64
+# Halvings after which what is left is compared point by point, however many points there are. Parts
+# are then smaller than 2^-48 of a cell, so boxes leave only points open whose distance from eps is
+# of the size of rounding errors; nothing is left out.
 _MAX_LEVEL = 48
 
-# Boxes of one run that meet each other at the start of the descent.
-_START_BOXES = 64
+# Pairs of boxes at the start of the descent, for every cell.
+_START_PAIRS = 32
 
 # A clustering run is one group (g, the row order of its first row) under one eps (k), for all
 # ``min_samples`` that go with it (needs, ascending). Cells, boxes and parts are named by the row
@@ -200,28 +203,31 @@ def _within(asked: DataFrame, points: DataFrame, d: int, leaf: int, largest: int
 
 def _boxes(cells: DataFrame, d: int) -> tuple[DataFrame, int]:
     """All levels of boxes over the cells (g, k, lev, node, parent, lo*, hi*), and the level at
-    which the descent starts: the first with few boxes in every run.
+    which the descent starts: the finest at which all pairs of boxes are not many times the cells.
 
     A level unites the cells whose coordinates agree after so many halvings, down to a box on each
-    side of zero in every feature.
+    side of zero in every feature. A box is named by its least cell, so its parent is named by the
+    least of the boxes in it.
     """
-    high = cells.agg(F.max(F.greatest(*[
-        F.abs(F.col("cell")[i]) for i in range(d)] if d > 1 else [F.abs(F.col("cell")[0])] * 2))
-    ).first()[0]
+    far = [F.abs(F.col("cell")[i]) for i in range(d)]
+    high, n = cells.agg(F.max(F.greatest(*far, F.lit(0))), F.count(F.lit(1))).first()
     top = int(high + 1).bit_length()
-    halved = F.expr("array(" + ", ".join(f"shiftright(cell[{i}], lev)" for i in range(d)) + ")")
+
+    def halved(by: str) -> Column:
+        return F.expr("array(" + ", ".join(f"shiftright(cell[{i}], {by})" for i in range(d)) + ")")
+
     every = cells.select(*RUN, "node", *_bounds(d), "cell", F.explode(
-        F.sequence(F.lit(0), F.lit(top))).alias("lev")).withColumn("cell", halved)
-    boxes = stage(every.groupBy(*RUN, "lev", "cell").agg(
+        F.sequence(F.lit(0), F.lit(top))).alias("lev")).withColumn("cell", halved("lev"))
+    boxes = every.groupBy(*RUN, "lev", "cell").agg(
         F.min("node").alias("node"), *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(d)],
-        *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)]), "boxes")
-    crowd = boxes.groupBy(*RUN, "lev").count().groupBy("lev").agg(F.max("count")).collect()
-    start = min([lev for lev, most in crowd if most <= _START_BOXES], default=top)
-    up = F.expr("array(" + ", ".join(f"shiftright(cell[{i}], 1)" for i in range(d)) + ")")
-    above = boxes.select(*RUN, (F.col("lev") - 1).alias("lev"), F.col("cell").alias("up"),
-                         F.col("node").alias("parent"))
-    named = boxes.withColumn("up", up).join(above, [*RUN, "lev", "up"], "left").drop("up", "cell")
-    return stage(named, "boxtree"), start
+        *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(d)])
+    siblings = Window.partitionBy(*RUN, "lev", "up")  # at most 2 ** d boxes
+    tree = stage(boxes.withColumn("up", halved("1")).withColumn(
+        "parent", F.min("node").over(siblings)).drop("up", "cell"), "boxes")
+    per_run = tree.groupBy(*RUN, "lev").count().groupBy("lev").agg(
+        F.sum(F.col("count") * F.col("count"))).collect()
+    start = min([lev for lev, pairs in per_run if pairs <= _START_PAIRS * n], default=top)
+    return tree, start
 
 
 def cell_pairs(cells: DataFrame, d: int, formed: list[int] | None = None) -> DataFrame:

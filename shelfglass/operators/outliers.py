@@ -152,10 +152,17 @@ def with_centroid_distance(df: DataFrame, dims: Sequence[str] = DIMENSIONS) -> D
 
 
 def top_outliers(df: DataFrame, flag: str, order: str, top: int | None,
-                 dims: Sequence[str] = DIMENSIONS, by_fences: bool = True) -> DataFrame:
-    """The ``top`` most distant outliers; the centroid is that of all rows, outliers included."""
+                 dims: Sequence[str] = DIMENSIONS, by_fences: bool = True,
+                 digits: int | None = 9) -> DataFrame:
+    """The ``top`` most distant outliers; the centroid is that of all rows, outliers included.
+
+    Distances that agree to ``digits`` decimals are ties, which go by ``order``, so that the order
+    in which a mean was summed up does not show.
+    """
     scored = (df.withColumn("outlier_score", fence_distance(dims)) if by_fences
               else with_centroid_distance(df, dims))
+    if digits is not None:
+        scored = scored.withColumn("outlier_score", F.round("outlier_score", digits))
     ranked = scored.filter(F.col(flag)).orderBy(F.col("outlier_score").desc(), F.col(order))
     return ranked.limit(top) if top else ranked
 

@@ -153,6 +153,16 @@ def combination_statistics(labelled: DataFrame) -> DataFrame:
         percent(F.col("outlier_count"), F.col("total")).alias("outlier_count_percent"))
 
 
+def combination_items(labelled: DataFrame, key: str = "product_id") -> DataFrame:
+    """Rows to store of an analysis by work group: statuses 0 = outlier, 1 = normal per algorithm and
+    dimension, and mode 0 for what was found automatically; no status where an algorithm did not run."""
+    rows = O.flags_as_status(labelled)
+    noise = F.col("dbscan_is_outlier")
+    return rows.select(key, "combination_key", "iqr_status", *[f"iqr_{d}_status" for d in DIMS],
+                       F.when(noise, 0).when(~noise, 1).alias("status"),
+                       F.when(noise, 0).alias("outlier_mode"))
+
+
 # --- earlier outliers ------------------------------------------------------------------------
 
 def with_recomputed_bounds(previous: DataFrame, population: DataFrame,

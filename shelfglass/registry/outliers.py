@@ -138,7 +138,7 @@ DISTANCE = " + ".join(f"greatest(b.{d}_lower - p.{d}, 0) + greatest(p.{d} - b.{d
 
 @query("X16_top_outliers_by_fences", f"""
 SELECT p.product_id, round({DISTANCE}, 6) AS outlier_score FROM {typed_sql(ANALYSED)} WHERE {ANY}
-ORDER BY {DISTANCE} DESC, p.product_id LIMIT 20""")
+ORDER BY round({DISTANCE}, 9) DESC, p.product_id LIMIT 20""")
 def top_outliers_by_fences(t):
     flagged = O.flag_outside(O.with_type_bounds(analysed(t)))
     return rounded(O.top_outliers(flagged, "iqr_is_outlier", "product_id", 20), ["outlier_score"]).select(
@@ -154,8 +154,7 @@ CROSS JOIN (SELECT avg(height) AS h, avg(width) AS w, avg(depth) AS d FROM ({ANA
 ORDER BY round({FAR}, 9) DESC, p.product_id LIMIT 20""")
 def top_outliers_by_centroid(t):
     flagged = O.flag_outside(O.with_type_bounds(analysed(t)))
-    scored = O.with_centroid_distance(flagged).withColumn("outlier_score", F.round("outlier_score", 9))
-    top = scored.filter("iqr_is_outlier").orderBy(F.col("outlier_score").desc(), "product_id").limit(20)
+    top = O.top_outliers(flagged, "iqr_is_outlier", "product_id", 20, by_fences=False)
     return rounded(top, ["outlier_score"]).select("product_id", "outlier_score")
 
 
@@ -381,11 +380,7 @@ def combination_statistics(t):
   CAST(CASE WHEN n.noise THEN 0 WHEN NOT n.noise THEN 1 END AS INT) AS status, CAST(CASE WHEN n.noise THEN 0 END AS INT) AS outlier_mode
 FROM {COMBO_FROM}""")
 def combination_items(t):
-    rows = O.flags_as_status(combination_labels(t))
-    noise = F.col("dbscan_is_outlier")
-    return rows.select("product_id", "combination_key", "iqr_status", *[f"iqr_{d}_status" for d in DIMS],
-                       F.when(noise, 0).when(~noise, 1).alias("status"),
-                       F.when(noise, 0).alias("outlier_mode"))
+    return A.combination_items(combination_labels(t))
 
 
 WHOLE = bounds_sql("", GROUP_1 + " AND category = 'SMALL'", clip=True)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfglass.functions.display import yes_no
+from shelfglass.operators.joins import null_safe_join
 from shelfglass.operators.outliers import flags_as_outlier_text
 
 ANALYSIS_EXPORT = ["qb_code", "brand", "category", "product_type", "name", "height", "width",
@@ -18,11 +19,23 @@ FILE_NAMES = {"SKU": "web_id", "Brand": "brand", "Category": "category", "Type":
               "imageUrl": "base_image_url"}
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (),
+              rows_per_file: int = 0) -> None:
+    """CSV files with a header; ``rows_per_file`` bounds the rows of a file, 0 does not."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+def sized_by_key(df: DataFrame, keys: Sequence[str], rows_per_file: int) -> DataFrame:
+    """Rows dealt out so that a key with many rows is written by several tasks, of about
+    ``rows_per_file`` rows each, and one with few rows by one task: files per key follow its size."""
+    files = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    share = F.pmod(F.xxhash64(*df.columns), F.col("_files"))
+    return null_safe_join(df, files, keys).withColumn("_file", share).repartition(
+        *keys, "_file").select(*df.columns)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Bulk append of items or any other rows."""
     df.write.mode("append").parquet(path)
@@ -83,8 +96,14 @@ def write_by_status(analysed: DataFrame, path: str) -> None:
     write_csv(file_result(analysed), path, ["final_status"])
 
 
-def write_by_brand_category(analysed: DataFrame, path: str) -> None:
-    write_csv(file_result(analysed), path, ["brand", "category", "final_status"])
+#: Rows of one file of a result by brand, category and status.
+FILE_ROWS = 1_000_000
+
+
+def write_by_brand_category(analysed: DataFrame, path: str, rows_per_file: int = FILE_ROWS) -> None:
+    """A folder for each brand, category and status, in files of about ``rows_per_file`` rows."""
+    keys = ["brand", "category", "final_status"]
+    write_csv(sized_by_key(file_result(analysed), keys, rows_per_file), path, keys, rows_per_file)
 
 
 def slice_of(results: DataFrame, brand: str, category: str, final_status: str) -> DataFrame:

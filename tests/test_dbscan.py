@@ -1,9 +1,13 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from shelfglass.operators import dbscan as D
 from shelfglass.operators.components import component_labels
 from shelfglass.operators.dbscan import add_features, chosen_settings, dbscan
 from shelfglass.plans.analysis import sweep_long
+from shelfglass.staging import stage
 
 
 def brute(points, eps, min_samples):
@@ -148,3 +152,53 @@ def test_components_of_paths_hubs_and_rings(spark):
 def test_no_edges(spark):
     df = spark.createDataFrame([], "g bigint, u bigint, v bigint")
     assert component_labels(df, ["g"]).count() == 0
+
+
+def spread_cells(spark, n, d, side, eps):
+    """Cells of points spread evenly over a square that grows with their number; the other features
+    follow from the place, so density stays the same."""
+    rng = np.random.default_rng(n + d)
+    x, y = rng.uniform(0, side, n), rng.uniform(0, side, n)
+    z = np.stack([x, y] + [np.sin(x * (i + 1)) * 2 for i in range(d - 2)], axis=1)
+    rows = [(0, 0, eps, i, 1, *map(float, p)) for i, p in enumerate(z)]
+    points = spark.createDataFrame(rows, "g int, k int, eps double, first int, v int, " + ", ".join(
+        f"z{i} double" for i in range(d))).withColumn("cell", D._cell_at(0, d))
+    cells = stage(points.groupBy("g", "k", "eps", "cell").agg(*D._summary(d, F.sum)), "cells")
+    return cells, cells.count()
+
+
+@pytest.mark.parametrize("d", [2, 4, 7])
+def test_pairs_formed_grow_with_pairs_within_reach(spark, d):
+    formed, reach, cells = {}, {}, {}
+    for n, side in ((500, 25.0), (2000, 50.0)):
+        table, cells[n] = spread_cells(spark, n, d, side, 1.0)
+        formed[n] = []
+        pairs = D.cell_pairs(table, d, formed[n])
+        rows = table.collect()
+        lo = np.array([[r[f"lo{i}"] for i in range(d)] for r in rows])
+        hi = np.array([[r[f"hi{i}"] for i in range(d)] for r in rows])
+        node = np.array([r["node"] for r in rows])
+        gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
+        near = ((gap ** 2).sum(-1) <= 1.0) & (node[:, None] < node[None])
+        want = {(int(node[i]), int(node[j])) for i, j in zip(*np.nonzero(near), strict=True)}
+        assert {(r["a_node"], r["b_node"]) for r in pairs.collect()} == want
+        reach[n] = len(want) + cells[n]
+    growth = sum(formed[2000]) / sum(formed[500])
+    assert growth < 1.6 * reach[2000] / reach[500]
+    assert sum(formed[2000]) < cells[2000] ** 2 / 6
+
+
+def test_settings_of_one_eps_share_their_grid(spark, monkeypatch):
+    seen = []
+    real = D.cell_pairs
+    monkeypatch.setattr(D, "cell_pairs", lambda cells, d, formed=None: (
+        seen.append(cells.select("g", "k").distinct().count()), real(cells, d, formed))[1])
+    groups = {"a": blobs(7, 150), "b": blobs(8, 100, 2.0)}
+    df, _ = frame(spark, groups)
+    configs = [(e, m) for m in (4, 2, 3) for e in (0.5, 1.0)]
+    result = got(df, configs=configs, settings=["size"], drop_nonpositive=False)
+    assert seen == [4]  # two groups under two eps, not under six settings
+    for (e, m) in configs:
+        for start, pts in ((0, groups["a"]), (150, groups["b"])):
+            want = brute(pts, e * 1.0000001, m)
+            assert [result[(e, m, start + i)] for i in range(len(pts))] == want

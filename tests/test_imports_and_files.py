@@ -149,6 +149,19 @@ def test_sinks_round_trip(spark, tmp_path):
     assert E.split_export(export, "outliers").count() == 1 and E.split_export(export).count() == 2
 
 
+def test_files_follow_the_size_of_their_key(spark, tmp_path):
+    rows = spark.range(2_000).selectExpr(
+        "concat('s', id) AS SKU", "CASE WHEN id < 1800 THEN 'big' WHEN id % 40 = 0 THEN NULL ELSE concat('b', id % 5) END AS Brand",
+        "'c' AS Category", "'Yes' AS final_status").repartition(16)
+    E.write_by_brand_category(rows, str(tmp_path / "out"), rows_per_file=300)
+    files = {}
+    for f in (tmp_path / "out").rglob("part-*.csv"):
+        files[f.parts[-4]] = files.get(f.parts[-4], 0) + 1
+    assert 6 <= files.pop("brand=big") <= 12
+    assert set(files.values()) == {1} and len(files) == 6
+    assert P.read_file(spark, str(tmp_path / "out")).count() == 2_000
+
+
 def test_keyed_changes(spark, base):
     news = spark.createDataFrame([(2, None), (9, "nine")], "id bigint, name string")
     assert rows_of(apply_updates(base, news, ["id"]).select("id", "name")) == [(1, "old"), (2, None)]

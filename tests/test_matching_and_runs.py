@@ -125,3 +125,35 @@ def test_swap_needs_dimensions(spark):
     assert (row["height"], row["depth"]) == (3.0, 1.0)
     with pytest.raises(ValueError, match="weight"):
         I.swap_dimensions(df, F.lit(True), "height", "weight")
+
+
+def test_an_item_goes_to_the_one_header_that_fits_best(spark):
+    headers = spark.createDataFrame(
+        [(1, None, None, 1.0), (2, "X", None, 1.0), (3, None, "C", 1.0), (4, "X", "C", 1.0), (5, "X", None, 2.0), (6, "X", None, 1.0)],
+        "iteration_id bigint, brand string, category string, eps double")
+    items = spark.createDataFrame(
+        [("a", "X", "C", 1.0), ("b", "X", "D", 1.0), ("c", "Y", "C", 1.0), ("d", "Y", "D", 1.0), ("e", "X", "C", 2.0), ("f", "Y", "D", 2.0),
+         ("g", None, "C", 1.0), ("h", None, None, 1.0), ("b", "X", "D", 1.0)],
+        "system_product_id string, brand string, category string, eps double")
+    found = I.items_to_headers(items, headers, ["brand", "category", "eps"])
+    got = sorted((r["system_product_id"], r["iteration_id"]) for r in found.collect())
+    assert got == [("a", 4), ("b", 2), ("b", 2), ("c", 3), ("d", 1), ("e", 5), ("g", 3), ("h", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_saved_scores_are_found_by_the_next_step(spark):
+    scores = spark.createDataFrame([(5, 1, 11, "custom", 50.0, "Review")], "score_id bigint, system_product_id bigint, "
+                                   "competitor_product_id bigint, algorithm_id string, total_score double, score_status string")
+    parts = spark.createDataFrame([(9, 5, 1, 1, 11, "custom", 50.0)], "score_attribute_id bigint, score_id bigint, attribute_id int, "
+                                  "system_product_id bigint, competitor_product_id bigint, algorithm_id string, score double")
+    new = scores.drop("score_id").limit(0).union(spark.createDataFrame(
+        [(2, 21, "custom", 10.0, "Not Matched"), (1, 12, "custom", 90.0, "Matched"), (1, 11, "custom", 70.0, "Review")], scores.drop("score_id").schema))
+    new_parts = spark.createDataFrame([(1, 2, 21, "custom", 20.0), (1, 1, 12, "custom", 90.0), (1, 1, 11, "custom", 70.0)],
+                                      "attribute_id int, system_product_id bigint, competitor_product_id bigint, algorithm_id string, score double")
+    saved, saved_parts = M.save_scores(scores, parts, new, new_parts)
+    assert sorted((r["score_id"], r["competitor_product_id"], r["total_score"]) for r in saved.collect()) == [(5, 11, 70.0), (6, 12, 90.0), (7, 21, 10.0)]
+    assert sorted((r["score_attribute_id"], r["score_id"], r["score"]) for r in saved_parts.collect()) == [(9, 5, 70.0), (10, 6, 90.0), (11, 7, 20.0)]
+    attributes = spark.createDataFrame([(1, "sku")], "attribute_id int, attribute_name string")
+    again = M.recalculated(saved, saved_parts, attributes, {"sku": 1.0}, "custom")
+    assert sorted((r["score_id"], r["total_score"]) for r in again.collect()) == [(5, 70.0), (6, 90.0), (7, 20.0)]

@@ -95,3 +95,32 @@ def test_totals_count_excluded_rows(spark):
     row = O.outlier_totals(df, "f").first()
     assert (row["total"], row["outliers"], row["normals"], row["excluded"], row["outlier_pct"]) == (
         3, 1, 1, 1, 33.33)
+
+
+def test_crowded_bands_are_split_until_they_fit(spark, monkeypatch):
+    """A million distinct values within one band, and as many copies of one value."""
+    from shelfglass.operators import quantiles as Q
+
+    most, seen = 5_000, []
+    real = Q.null_safe_join
+
+    def watched(left, right, keys, how="inner"):
+        joined = real(left, right, keys, how)
+        if "_values" in right.columns and "_v" in left.columns:  # what a window is going to order
+            seen.append(joined.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0)
+        return joined
+
+    monkeypatch.setattr(Q, "null_safe_join", watched)
+    n = 1_000_000
+    df = spark.range(n).selectExpr(
+        "id % 2 AS g", "1 + pmod(id * 7919, 1000000) * 1e-9 AS x", "CASE WHEN id % 3 = 0 THEN id * 1.0 ELSE 5.0 END AS y")
+    rows = {r["g"]: r for r in Q.group_quantiles(df, ["g"], ["x", "y"], most=most).collect()}
+    assert max(seen) <= most and len(seen) > 1
+    ids = np.arange(n)
+    x = 1 + (ids * 7919 % 1_000_000) * 1e-9
+    y = np.where(ids % 3 == 0, ids * 1.0, 5.0)
+    for g in (0, 1):
+        for c, v in (("x", x), ("y", y)):
+            q1, q3 = np.quantile(v[ids % 2 == g], [0.25, 0.75])
+            assert rows[g][f"{c}_q1"] == pytest.approx(q1, rel=1e-12)
+            assert rows[g][f"{c}_q3"] == pytest.approx(q3, rel=1e-12)
