@@ -33,23 +33,37 @@ def running_number(distinct: DataFrame, keys: Sequence[str], column: str, bucket
     )
 
 
-def number_in_order(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+#: Bits of ``_at`` that hold a row's position in its range; the range's number is above them.
+POSITION_BITS = 33
+
+
+def sorted_ranges(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """A staged copy in order, with ``_at``: rows are dealt to ranges of the order, one per task and
+    file, and sorted there; ``_at`` grows with the order and is read like an index."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+
+
+def range_sizes(placed: DataFrame) -> DataFrame:
+    """(_range, _size) of the ranges of ``sorted_ranges``: at most one row per task."""
+    return placed.groupBy(F.shiftright("_at", POSITION_BITS).alias("_range")).agg(
+        F.count(F.lit(1)).alias("_size"))
+
+
+def number_in_order(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
     """1-based position of every row in the order of the columns, for any number of rows.
 
-    Rows are dealt to ranges of the order and sorted there; a row's number is its position in its
-    range behind the rows of all ranges before. Only the sizes of the ranges, one per task, are
-    ordered in one place, and no range depends on how many rows share a prefix.
+    A row's number is its position in its range behind the rows of all ranges before. Only the sizes
+    of the ranges are ordered in one place, and no range depends on how many rows share a prefix.
     """
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The id holds the number of the task in its upper bits and the position in the lower 33.
-    placed = stage(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    placed = placed.withColumns({
-        "_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    placed = sorted_ranges(rows, order)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_range").withColumn(  # one row per task
-        name, F.col("_before") + F.col("_at") + 1).drop("_range", "_before", "_at")
+    offsets = range_sizes(placed).select(
+        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    return placed.withColumn("_range", F.shiftright("_at", POSITION_BITS)).join(
+        F.broadcast(offsets), "_range").withColumn(  # one row per task
+        name, F.col("_before") + own + 1).drop("_range", "_before", "_at")
 
 
 def id_bucket(column: str) -> Column:

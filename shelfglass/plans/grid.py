@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from shelfglass.functions.display import number_or_zero, skip_text, status_text
 from shelfglass.functions.predicates import (
     all_of, any_of, cluster_choice, skip_choice, status_choice,
 )
+from shelfglass.operators.numbering import POSITION_BITS, range_sizes, sorted_ranges
 from shelfglass.plans.iterations import history, history_lists, history_text, latest_items
 from shelfglass.plans.products import grid_filter
 
@@ -22,28 +25,90 @@ SORTABLE = ("system_product_id", "qb_code", "brand", "category", "product_type",
             "cluster_items_per", "cluster")
 
 
+def _sort_keys(column: str | None, direction: str) -> list[tuple[Column, str, bool]]:
+    """Order of a page as (key, its column, descending)."""
+    if column in SORTABLE:
+        c = F.col(column).try_cast("bigint") if column == "system_product_id" else F.col(column)
+        keys = [(c, column, direction == "desc")]
+    else:
+        keys = [(F.col(c), c, False) for c in ("category", "cluster_items", "cluster")]
+    return [*keys, *[(F.col(c), c, False) for c in ("product_id", "_tie")]]
+
+
 def sort_columns(column: str | None = None, direction: str = "asc") -> list[Column]:
     """Order of a page; unknown columns fall back to category, cluster size and cluster.
 
     NULLs come first ascending and last descending; product ids order as numbers and break ties.
     """
-    if column in SORTABLE:
-        c = F.col(column).try_cast("bigint") if column == "system_product_id" else F.col(column)
-        order = [c.desc_nulls_last() if direction == "desc" else c.asc_nulls_first()]
-    else:
-        order = [F.col(c).asc_nulls_first() for c in ("category", "cluster_items", "cluster")]
-    return [*order, F.col("product_id"), F.col("_tie")]
+    return [c.desc_nulls_last() if down else c.asc_nulls_first()
+            for c, _, down in _sort_keys(column, direction)]
+
+
+def _with_tie(rows: DataFrame) -> DataFrame:
+    return rows if "_tie" in rows.columns else rows.withColumn("_tie", F.lit(0))
 
 
 def page(rows: DataFrame, number: int, size: int, column: str | None = None,
          direction: str = "asc") -> DataFrame:
-    """One page; Spark keeps the best (number x size) rows per task, it sorts nothing whole."""
-    if "_tie" not in rows.columns:
-        rows = rows.withColumn("_tie", F.lit(0))
-    ordered = rows.orderBy(*sort_columns(column, direction))
+    """One page; Spark keeps the best (number x size) rows per task, it sorts nothing whole.
+
+    For deep pages see ``page_index`` and ``page_after``.
+    """
+    ordered = _with_tie(rows).orderBy(*sort_columns(column, direction))
     return ordered.offset((number - 1) * size).limit(size).drop("_tie")
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """A grid in its order, written once, and the sizes of its ranges, one per task that wrote it."""
+
+    rows: DataFrame
+    ranges: tuple[tuple[int, int], ...]
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """A page: only the files of the ranges it lies in are read, and of them its rows."""
+        first, before, where = (number - 1) * size, 0, F.lit(False)
+        for part, n in self.ranges:
+            low, high = max(first - before, 0), min(first + size - before, n)
+            if low < high:
+                start = part << POSITION_BITS
+                where = where | F.col("_at").between(start + low, start + high - 1)
+            before += n
+        return self.rows.filter(where).orderBy("_at").drop("_at", "_tie")
+
+
+def page_index(rows: DataFrame, column: str | None = None, direction: str = "asc") -> PageIndex:
+    """Sort a grid once for any number of pages, however deep."""
+    placed = sorted_ranges(_with_tie(rows), sort_columns(column, direction))
+    sizes = sorted((r["_range"], r["_size"]) for r in range_sizes(placed).collect())
+    return PageIndex(placed, tuple(sizes))
+
+
+def page_after(rows: DataFrame, size: int, last: Mapping[str, Any] | None = None,
+               column: str | None = None, direction: str = "asc") -> DataFrame:
+    """The page that follows the row ``last`` of the page before (None: the first page).
+
+    ``last`` names the sort columns, ``product_id`` and, where the grid has it, ``_tie``. The rows
+    before it are filtered out, so a task keeps ``size`` rows only. The page keeps ``_tie``.
+    """
+    rows = _with_tie(rows)
+    if last is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for key, name, down in _sort_keys(column, direction):
+            value = last["_tie"] if name == "_tie" and "_tie" in last else (
+                0 if name == "_tie" else last[name])
+            if name == "system_product_id" and value is not None:
+                value = int(value) if str(value).strip().lstrip("+-").isdigit() else None
+            if value is None:
+                later = F.lit(False) if down else key.isNotNull()
+            else:
+                later = (key < F.lit(value)) | key.isNull() if down else key > F.lit(value)
+            behind = behind | (equal & later)
+            equal = equal & key.eqNullSafe(F.lit(value))
+        rows = rows.filter(behind)
+    return rows.orderBy(*sort_columns(column, direction)).limit(size)
+
+
 def run_rows(products: DataFrame, items: DataFrame, iterations: DataFrame) -> DataFrame:
     """Product, item and run side by side; item statuses win over product statuses."""
     run = iterations.select("iteration_id", *RUN_COLUMNS)

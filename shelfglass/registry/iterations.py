@@ -237,13 +237,31 @@ def run_filter(t):
     return rows.select("product_id", F.col("_tie").alias("id"), "cluster", "final_status")
 
 
-@query("R02_run_page", f"""
+RUN_PAGE = f"""
 SELECT {shown_sql('i.final_status')} FROM {RUN_ROWS} WHERE r.iteration_id = 5
-ORDER BY p.category NULLS FIRST, i.cluster_items NULLS FIRST, i.cluster NULLS FIRST, p.product_id, i.id LIMIT 50 OFFSET 50""")
+ORDER BY p.category NULLS FIRST, i.cluster_items NULLS FIRST, i.cluster NULLS FIRST, p.product_id, i.id LIMIT 50 OFFSET 50"""
+
+
+@query("R02_run_page", RUN_PAGE)
 def run_page(t):
     return G.run_page(t.fx_product, items(t), t.fx_iteration, 5, 2, 50).select(*GRID_OUT)
 
 
+def grid_of_run(t):
+    return G.run_rows(t.fx_product, items(t), t.fx_iteration).filter(G.run_filter(5))
+
+
+@query("R02_page_by_index", RUN_PAGE)
+def page_by_index(t):
+    return G.displayed(G.page_index(grid_of_run(t)).page(2, 50)).select(*GRID_OUT)
+
+
+@query("R02_page_after_the_last_row", RUN_PAGE)
+def page_after_the_last_row(t):
+    before = G.page_after(grid_of_run(t), 50).collect()
+    return G.displayed(G.page_after(grid_of_run(t), 50, before[-1].asDict() if before else None)).select(*GRID_OUT)
+
+
 LATEST = f"""fx_product p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system_product_id ORDER BY iteration_id DESC, id DESC) AS rn
   FROM {ITEM} y) x WHERE rn = 1) i ON p.system_product_id = i.system_product_id LEFT JOIN fx_iteration r ON r.iteration_id = i.iteration_id"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = {
@@ -124,9 +126,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in DEFINITIONS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     base = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASE_TABLES[name]}
-    for b, frame in base.items():
-        frame.createOrReplaceTempView(b)
-    return spark.sql(DEFINITIONS[name])
+    # The frames stand in for the table names; no view of the session is touched.
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(base)})\b", r"\1 {\2}", DEFINITIONS[name])
+    return spark.sql(text, **base)
 
 
 def attributes(spark: SparkSession) -> DataFrame:

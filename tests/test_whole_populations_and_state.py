@@ -1,10 +1,12 @@
-"""No row is lost or doubled: small and NULL populations, repeated decisions, several headers."""
+"""No row is lost or doubled: small and NULL populations, repeated decisions, several headers, pages."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfglass.functions.display import to_number
 from shelfglass.operators.quantiles import group_quantiles
 from shelfglass.plans import analysis, iterations, matching
+from shelfglass.plans import grid as G
 from shelfglass.sources import imports
 
 
@@ -81,3 +83,53 @@ def test_infinity_is_no_measurement(spark):
     assert [r[0] for r in texts.select(to_number(F.col("x"))).collect()] == [None, None, None, 2.5]
     values = spark.createDataFrame([(float("inf"),), (1.0,), (3.0,)], "v double")
     assert group_quantiles(values, [], ["v"]).first()["n"] == 2
+
+
+def grid_frame(spark, n):
+    return spark.range(n).selectExpr(
+        "id AS product_id", "concat('C', id % 7) AS category", "CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(id % 13 AS INT) END AS cluster_items",
+        "CASE WHEN id % 5 = 0 THEN NULL ELSE concat('Cluster ', id % 3) END AS cluster", "CASE WHEN id % 9 = 0 THEN 'n/a' ELSE CAST((id * 37) % 1000 AS STRING) END AS system_product_id",
+        "CASE WHEN id % 4 = 0 THEN NULL ELSE (id * 7919 % 1000) / 10.0 END AS height").repartition(6)
+
+
+@pytest.mark.parametrize("column, direction", [(None, "asc"), ("height", "desc"), ("height", "asc"), ("system_product_id", "desc")])
+def test_pages_by_index_and_by_last_row_equal_offset_pages(spark, column, direction):
+    rows = grid_frame(spark, 230)
+    index, last = G.page_index(rows, column, direction), None
+    for number in range(1, 9):
+        want = [r["product_id"] for r in G.page(rows, number, 30, column, direction).collect()]
+        assert [r["product_id"] for r in index.page(number, 30).collect()] == want
+        after = G.page_after(rows, 30, last, column, direction).collect()
+        assert [r["product_id"] for r in after] == want
+        last = after[-1].asDict() if after else last
+    assert index.page(9, 30).count() == 0
+
+
+def test_a_deep_page_reads_few_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set(coalesce, "false")
+    try:
+        index = G.page_index(grid_frame(spark, 100_000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(coalesce)
+    page = index.page(1_000, 50)
+    assert page.count() == 50
+    rows = page.drop("_x")
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan()
+    todo, read = [plan], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name.startswith("Scan"):
+            read += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert 0 < read < 100_000 / 8
