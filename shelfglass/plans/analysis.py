@@ -124,23 +124,33 @@ def run_header(labelled: DataFrame, counts: DataFrame, group_id: int, category:
 
 # --- work groups -----------------------------------------------------------------------------
 
-def combination_rows(products: DataFrame, group_id: int, brands=None, category=None, types=None,
-                     alone_from: int = 50, valid_from: int = 10) -> DataFrame:
-    """Products of the valid work groups with their combination key."""
+def combination_population(products: DataFrame, group_id: int, brands=None, category=None,
+                           types=None, alone_from: int = 50, valid_from: int = 10) -> DataFrame:
+    """All products with the key of their work group and ``is_valid``: large enough to be analysed."""
     groups = basic_groups(products, group_id, brands, category, types)
-    valid = work_groups(groups, alone_from, valid_from).filter("is_valid")
+    valid = work_groups(groups, alone_from, valid_from).select("combination_key", "is_valid")
     brand = F.coalesce("brand", F.lit("None"))
     own = F.concat_ws("_", brand, "category", "product_type")
     merged = F.concat_ws("_", brand, "category")
     keyed = groups.select(
         "brand", "category", "product_type",
         F.when(F.col("total_count") >= alone_from, own).otherwise(merged).alias("combination_key"))
-    keyed = keyed.join(valid.select("combination_key"), "combination_key", "left_semi")
+    # A key may be that of a group of its own and of a merged one; then any valid one counts.
+    valid = valid.groupBy("combination_key").agg(F.max("is_valid").alias("is_valid"))
+    keyed = keyed.join(valid, "combination_key")
     rows = products.filter((F.col("group_id") == group_id) & measured()
                            & (F.col("skip_status").isNull() | (F.col("skip_status") != 1)))
     return null_safe_join(rows, keyed, ["brand", "category", "product_type"])
 
 
+def combination_rows(products: DataFrame, group_id: int, brands=None, category=None, types=None,
+                     alone_from: int = 50, valid_from: int = 10) -> DataFrame:
+    """Products of the valid work groups with their combination key; ``combination_population`` has
+    the others too."""
+    return combination_population(products, group_id, brands, category, types, alone_from,
+                                  valid_from).filter("is_valid").drop("is_valid")
+
+
 def combination_statistics(labelled: DataFrame) -> DataFrame:
     """Normal and outlier counts and shares per work group."""
     flag = F.col("is_outlier_combined")

@@ -366,6 +366,14 @@ def combination_labels(t):
     return A.label_outliers(rows, ["combination_key"], min_samples=2)
 
 
+@query("X19_combination_population", f"""
+WITH {COMBOS} SELECT p.product_id, k.g AS combination_key, v.g IS NOT NULL AS is_valid FROM ({GROUP_1}) p
+JOIN k ON k.brand IS NOT DISTINCT FROM p.brand AND k.category = p.category AND k.product_type = p.product_type LEFT JOIN v ON v.g = k.g""")
+def combination_population(t):
+    rows = A.combination_population(t.fx_product, 1, alone_from=4, valid_from=4)
+    return rows.select("product_id", "combination_key", "is_valid")
+
+
 @query("X19_combination_statistics", f"""
 {COMBO_CTES} SELECT p.combination_key, count(*) FILTER (NOT {BOTH}) AS normal_count, count(*) FILTER ({BOTH}) AS outlier_count,
   round(count(*) FILTER (NOT {BOTH}) * 100.0E0 / count(*), 2) AS normal_count_percent,
