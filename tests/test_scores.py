@@ -144,3 +144,25 @@ def test_gram_score_of_long_repetitive_texts(spark):
         took[words] = time.time() - start
         assert got == pytest.approx(expected(a, b), rel=1e-9)
     assert took[20_000] < 30 * max(took[2_000], 0.2)
+
+
+def test_sides_with_grams_are_shuffled_not_broadcast(spark):
+    """Before it runs, a plan counts one element for an array, so token lists looked small enough."""
+    from shelfglass.operators.joins import join_prepared
+
+    own = spark.createDataFrame([(1, "ab-1"), (2, None)], "k long, sku string")
+    offers = spark.createDataFrame([(1, 7), (1, 8), (3, 9)], "k long, offer long")
+    joined = join_prepared(
+        own, lambda rows: rows.select("k", S.gram_features(F.col("sku")).alias("a")), offers, "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.offer for r in joined.collect()) == [7, 8]
+
+
+def test_grams_of_words_and_odd_blanks(spark):
+    def by_word(text):
+        return sorted(f" {w} "[i:i + n] for w in text.split() for n in (2, 3, 4)
+                      for i in range(len(w) + 3 - n))
+
+    for text in ("", " ", "a", "a b", "ab  c", "\tring 12-x\n", "größe 𝄞x"):
+        assert sorted(value(spark, T.text_grams(lit(text)))) == by_word(text), text
