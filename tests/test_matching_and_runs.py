@@ -157,3 +157,13 @@ def test_saved_scores_are_found_by_the_next_step(spark):
     attributes = spark.createDataFrame([(1, "sku")], "attribute_id int, attribute_name string")
     again = M.recalculated(saved, saved_parts, attributes, {"sku": 1.0}, "custom")
     assert sorted((r["score_id"], r["total_score"]) for r in again.collect()) == [(5, 70.0), (6, 90.0), (7, 20.0)]
+
+
+def test_scores_are_saved_from_one_run_of_the_scoring(spark):
+    rows = spark.createDataFrame([(1, 10, 80.0, 70.0, "Review", "name")],
+                                 "system_product_id long, competitor_product_id long, sku_custom double, "
+                                 "final_score double, status string, sku string")
+    config = M.MatchConfig((M.Attribute(1, "sku", 35.0, "sku"),), ("custom",))
+    kept = M.scored_once(rows, config)
+    assert kept.columns == ["system_product_id", "competitor_product_id", "sku_custom", "final_score", "status"]
+    assert "parquet" in kept._jdf.queryExecution().executedPlan().toString().lower()
