@@ -28,7 +28,7 @@ All groups and all parameter settings run in the same jobs.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -422,7 +422,7 @@ def cluster_labels(points: DataFrame, d: int, leaf: int = LEAF) -> DataFrame:
         *RUN, need.alias("need"), "first", "label")
 
 
-def dbscan(
+def clustered_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
@@ -432,14 +432,15 @@ def dbscan(
     drop_nonpositive: bool = True,
     min_rows_from_config: bool = False,
     leaf: int = LEAF,
-) -> DataFrame:
-    """Rows of each group clustered under every (eps, min_samples) setting.
-
-    Returns the input rows once per setting with ``eps``, ``min_samples`` and ``cluster`` (-1 =
-    noise). ``cluster`` is NULL for rows that take no part: a NULL dimension, a non-positive one
-    when these are dropped, or, with ``min_rows_from_config``, a group with fewer usable rows than
-    ``min_samples``. NULL is a group key like any other; ``order`` is a bigint row order, unique in
-    df.
+    sizes: bool = False,
+) -> tuple[DataFrame, Callable[[float, int], Column], DataFrame | None]:
+    """Rows of each group with the map ``_clusters`` of their clusters under all settings, see
+    ``dbscan``, and a function that gives the entry of a setting: cluster and, with ``sizes``, the
+    rows of the cluster (items) and of the run (rows); NULL where a row takes no part. With
+    ``sizes`` also a table of the noise of each group: keys, ``_noise`` (a map like ``_clusters``).
+
+    Sizes are counted over weighted points, so no row is repeated for a setting here. ``df`` is read
+    several times and should be cheap to read, for example staged.
     """
     spark = df.sparkSession
     keys, dims = list(keys), list(dims)
@@ -476,16 +477,56 @@ def dbscan(
     numbered = labels.join(numbers, [*per_need, "label"]).select(
         *per_need, "first", (F.col("_number") - 1).cast("int").alias("cluster"))
     # One entry per setting and point: rows are joined once, then repeated per setting.
-    entry = F.struct(F.struct("k", "need"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    found = in_runs.select(*keys, *dims, *RUN, "first", F.explode("needs").alias("need")).join(
-        numbered, [*per_need, "first"], "left").groupBy(*keys, *dims).agg(
+    value, noise = ["cluster"], None
+    placed = in_runs.select(*keys, *dims, *RUN, "first", "w", F.explode("needs").alias("need")).join(
+        numbered, [*per_need, "first"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    if sizes:
+        per_cluster = placed.groupBy(*per_need, "cluster").agg(F.sum("w").alias("items"))
+        totals = per_cluster.groupBy(*per_need).agg(F.sum("items").alias("rows"), F.sum(
+            F.when(F.col("cluster") == -1, F.col("items")).otherwise(0)).alias("noise"))
+        figures = per_cluster.join(totals.select(*per_need, "rows"), per_need)
+        placed = placed.join(figures, [*per_need, "cluster"])
+        value = ["cluster", "items", "rows"]
+        noise = totals.groupBy("g").agg(F.map_from_entries(F.collect_list(
+            F.struct(F.struct("k", "need"), "noise"))).alias("_noise")).join(
+            groups.select(*keys, "g"), "g").drop("g")
+    entry = F.struct(F.struct("k", "need"), F.struct(*value).alias("value"))
+    found = placed.groupBy(*keys, *dims).agg(
         F.map_from_entries(F.collect_list(entry)).alias("_clusters"))
     found = found.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *dims]], "_clusters")
     on = [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys],
           *[F.col(c).cast("double") == F.col(f"_{c}") for c in dims]]
-    setting = F.explode(F.array(*[
-        F.struct(F.struct(F.lit(every_eps.index(e)).alias("k"), F.lit(m).alias("need")).alias("run"),
-                 F.lit(e).alias("eps"), F.lit(m).alias("min_samples")) for e, m in configs]))
-    every = df.join(found, on, "left").select(*df.columns, "_clusters", setting.alias("_s"))
-    return every.select(*df.columns, "_s.eps", "_s.min_samples",
-                        F.try_element_at("_clusters", F.col("_s.run")).alias("cluster"))
+
+    def entry_of(eps: float, need: int, column: str = "_clusters") -> Column:
+        run = F.struct(F.lit(every_eps.index(float(eps))).alias("k"), F.lit(int(need)).alias("need"))
+        return F.try_element_at(column, run)
+
+    return df.join(found, on, "left").select(*df.columns, "_clusters"), entry_of, noise
+
+
+def dbscan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    configs: Sequence[tuple[float, int]] = ((1.0, 4),),
+    settings: Sequence[str] | None = None,
+    dims: Sequence[str] = ("height", "width", "depth"),
+    drop_nonpositive: bool = True,
+    min_rows_from_config: bool = False,
+    leaf: int = LEAF,
+) -> DataFrame:
+    """Rows of each group clustered under every (eps, min_samples) setting.
+
+    Returns the input rows once per setting with ``eps``, ``min_samples`` and ``cluster`` (-1 =
+    noise). ``cluster`` is NULL for rows that take no part: a NULL dimension, a non-positive one
+    when these are dropped, or, with ``min_rows_from_config``, a group with fewer usable rows than
+    ``min_samples``. NULL is a group key like any other; ``order`` is a bigint row order, unique in
+    df. The input is staged, since moments, points and rows are read from it in turn.
+    """
+    configs = [(float(e), int(m)) for e, m in configs]
+    rows, entry_of, _ = clustered_rows(stage(df, "rows"), keys, order, configs, settings, dims,
+                                       drop_nonpositive, min_rows_from_config, leaf)
+    runs = F.explode(F.array(*[
+        F.struct(F.lit(e).alias("eps"), F.lit(m).alias("min_samples"),
+                 entry_of(e, m)["cluster"].alias("cluster")) for e, m in configs]))
+    return rows.select(*df.columns, runs.alias("_s")).select(*df.columns, "_s.*")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfglass.functions.display import cluster_label, percent, yes_no
 from shelfglass.functions.predicates import measured
 from shelfglass.operators import outliers as O
-from shelfglass.operators.dbscan import dbscan
+from shelfglass.operators.dbscan import clustered_rows, dbscan
 from shelfglass.operators.joins import null_safe_join
 from shelfglass.operators.numbering import running_number, text_bucket
 from shelfglass.plans.iterations import ids_by_final_status, save_run
@@ -18,6 +20,7 @@ from shelfglass.plans.products import (
     basic_groups, category_progress, products_by_ids, products_filtered, products_for_sweep,
     work_groups,
 )
+from shelfglass.staging import stage
 
 IQR, DBSCAN = "IQR", "DBSCAN"
 DIMS = O.DIMENSIONS
@@ -53,7 +56,8 @@ def label_outliers(
     NULL key is a population of its own.
     """
     population = list(population)
-    rows = rows.filter(measured(*DIMS))
+    # Staged: sizes, fences and clusters are computed from the same rows in turn.
+    rows = stage(rows.filter(measured(*DIMS)), "rows")
     sizes = rows.groupBy(*population).agg((F.count(F.lit(1)) < O.MIN_ROWS).alias("_small"))
     sized = null_safe_join(rows, sizes, population)
     small = sized.filter("_small").drop("_small")
@@ -314,58 +318,72 @@ def config_name(eps: float, min_samples: int) -> str:
     return f"{eps} X {min_samples}"
 
 
-def sweep_long(rows: DataFrame, configs: Sequence[tuple[float, int]] = tuple(SWEEP_CONFIGS),
+def sweep_runs(rows: DataFrame, configs: Sequence[tuple[float, int]] = tuple(SWEEP_CONFIGS),
                settings: Sequence[str] | None = None) -> DataFrame:
-    """One row per product and setting: executed, outliers, status, cluster and its share.
+    """One row per product with ``_runs``, an array of its figures under each setting: executed,
+    outliers, status, cluster and its share.
 
     A setting is executed in categories with at least ``min_samples`` rows. Products without a
     usable dimension take part in no setting: status and cluster stay NULL. All categories and
-    settings are clustered in the same jobs; counts are aggregates joined back, so a category
-    with most of the rows is never sorted in one task.
+    settings are clustered in the same jobs. Clusters are counted over weighted points, so products
+    are joined once and are not shuffled again for each setting.
     """
-    clustered = dbscan(rows, ["category"], "product_id", configs, settings, DIMS,
-                       min_rows_from_config=True)
-    run = ["category", "eps", "min_samples"]
-    per_cluster = clustered.groupBy(*run, "cluster").agg(F.count(F.lit(1)).alias("_size"))
-    totals = per_cluster.groupBy(*run).agg(
-        F.sum("_size").alias("_rows"),
-        F.coalesce(F.sum(F.when(F.col("cluster").isNotNull(), F.col("_size"))), F.lit(0)
-                   ).alias("_executed_rows"),
-        F.coalesce(F.sum(F.when(F.col("cluster") == -1, F.col("_size"))), F.lit(0)
-                   ).alias("_noise"))
-    figures = per_cluster.join(totals, run)
-    took_part = F.col("cluster").isNotNull()
-    return null_safe_join(clustered, figures, [*run, "cluster"]).withColumns({
-        "executed": F.col("_rows") >= F.col("min_samples"),
-        "outliers": F.when(F.col("_rows") >= F.col("min_samples"), F.col("_noise")),
-        "status": F.when(took_part, F.when(F.col("cluster") == -1, 0).otherwise(1)),
-        "cluster_name": cluster_label(F.col("cluster")),
-        "cluster_items": F.when(took_part, F.col("_size")),
-        "cluster_items_per": F.when(took_part, percent(F.col("_size"), F.col("_executed_rows"))),
-    }).drop("_size", "_rows", "_executed_rows", "_noise")
-
-
-def sweep_wide(long: DataFrame, products: DataFrame, group_id: int,
+    rows = stage(rows, "rows")
+    configs = [(float(e), int(m)) for e, m in configs]
+    clustered, entry_of, noise = clustered_rows(rows, ["category"], "product_id", configs, settings,
+                                                DIMS, min_rows_from_config=True, sizes=True)
+    counted = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_rows")).join(
+        noise, "category", "left")
+    none = F.lit(0).cast("bigint")
+
+    def run(eps: float, need: int) -> Column:
+        found, executed = entry_of(eps, need), F.col("_rows") >= need
+        cluster = found["cluster"]
+        missed = F.coalesce(entry_of(eps, need, "_noise"), none)
+        return F.struct(
+            F.lit(eps).alias("eps"), F.lit(need).alias("min_samples"), cluster.alias("cluster"),
+            executed.alias("executed"), F.when(executed, missed).alias("outliers"),
+            F.when(cluster.isNotNull(), F.when(cluster == -1, 0).otherwise(1)).alias("status"),
+            cluster_label(cluster).alias("cluster_name"), found["items"].alias("cluster_items"),
+            F.when(cluster.isNotNull(), percent(found["items"], found["rows"])
+                   ).alias("cluster_items_per"))
+
+    return clustered.join(counted, "category").select(
+        *rows.columns, F.array(*[run(e, m) for e, m in configs]).alias("_runs"))
+
+
+def sweep_long(rows: DataFrame, configs: Sequence[tuple[float, int]] = tuple(SWEEP_CONFIGS),
+               settings: Sequence[str] | None = None) -> DataFrame:
+    """One row per product and setting, see ``sweep_runs``."""
+    runs = sweep_runs(rows, configs, settings)
+    return runs.select(*rows.columns, F.explode("_runs").alias("_run")).select(
+        *rows.columns, "_run.*")
+
+
+def sweep_wide(runs: DataFrame, products: DataFrame, group_id: int,
                configs: Sequence[tuple[float, int]] = tuple(SWEEP_CONFIGS)) -> DataFrame:
-    """One row per product with five columns per setting and the average status."""
+    """Rows of ``sweep_runs`` as one row per product with five columns per setting and the average
+    status; the settings of a product are columns of its row, so nothing is repeated and gathered."""
     from shelfglass.plans.products import present
 
-    described = present(long, ["system_product_id", "qb_code", "brand", "product_type", "name",
+    described = present(runs, ["system_product_id", "qb_code", "brand", "product_type", "name",
                                "base_image_url", "product_url", "height", "width", "depth"])
     measures = [("Outliers", "outliers"), ("Status", "status"), ("Cluster", "cluster_name"),
                 ("Cluster Item Count", "cluster_items"),
                 ("Cluster Item Percentage", "cluster_items_per")]
-    columns = []
-    for eps, m in configs:
-        here = (F.col("eps") == float(eps)) & (F.col("min_samples") == int(m))
-        columns += [F.max(F.when(here, F.col(c))).alias(f"{config_name(eps, m)} {title}")
-                    for title, c in measures]
-    wide = long.groupBy("product_id").agg(
+    columns = [F.max(F.col("_runs")[i][c]).alias(f"{config_name(eps, m)} {title}")
+               for i, (eps, m) in enumerate(configs) for title, c in measures]
+    judged = reduce(add, [F.when(F.col("_runs")[i]["status"].isNotNull(), 1).otherwise(0)
+                          for i in range(len(configs))]).cast("bigint")
+    normal = reduce(add, [F.coalesce(F.col("_runs")[i]["status"], F.lit(0))
+                          for i in range(len(configs))]).cast("bigint")
+    executed = reduce(or_, [F.col("_runs")[i]["executed"] for i in range(len(configs))])
+    wide = runs.groupBy("product_id").agg(
         F.first("category").alias("category"), *[F.first(c).alias(c) for c in described],
-        F.max("executed").alias("_executed"), *columns,
-        F.round(F.avg("status") * 100, 2).alias("Average Status %"),
-        F.count("status").alias("Status Column Count"))
-    numbered = running_number(long.select("category").distinct(), [], "category",
+        F.max(executed).alias("_executed"), *columns,
+        F.round(F.try_divide(F.sum(normal), F.sum(judged)) * 100, 2).alias("Average Status %"),
+        F.sum(judged).alias("Status Column Count"))
+    numbered = running_number(runs.select("category").distinct(), [], "category",
                               text_bucket("category"), "Unique Group Key")
     counts = category_progress(products, group_id).select(
         "category", F.col("total").alias("TOTAL ITEMS"),
@@ -393,7 +411,7 @@ def sweep(products: DataFrame, group_id: int,
           settings: Sequence[str] | None = None, brands=None, categories=None,
           types=None) -> DataFrame:
     rows = products_for_sweep(products, group_id, "all", brands, categories, types)
-    return sweep_wide(sweep_long(rows, configs, settings), products, group_id, configs)
+    return sweep_wide(sweep_runs(rows, configs, settings), products, group_id, configs)
 
 
 def sweep_headers(long: DataFrame, products: DataFrame, group_id: int, run_id: str) -> DataFrame:

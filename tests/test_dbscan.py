@@ -202,3 +202,18 @@ def test_settings_of_one_eps_share_their_grid(spark, monkeypatch):
         for start, pts in ((0, groups["a"]), (150, groups["b"])):
             want = brute(pts, e * 1.0000001, m)
             assert [result[(e, m, start + i)] for i in range(len(pts))] == want
+
+
+def test_rows_of_a_sweep_are_not_shuffled_per_setting(spark):
+    """Rows are repeated for the settings above all joins; figures are counted over points."""
+    df = spark.createDataFrame(
+        [(i, "a", 1.0 + i % 3, 1.0, 1.0) for i in range(6)] + [(6, "a", None, 1.0, 1.0)],
+        "product_id long, category string, height double, width double, depth double")
+    long = sweep_long(df, [(3.0, 2), (3.0, 7)])
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < min(plan.index(x) for x in ("Exchange", "Join"))
+    got = {(r.product_id, r.min_samples): (r.executed, r.outliers, r.status, r.cluster_items,
+                                           r.cluster_items_per) for r in long.collect()}
+    assert got[0, 2] == (True, 0, 1, 6, 100.0)
+    assert got[6, 2] == (True, 0, None, None, None)
+    assert got[0, 7] == (True, 0, None, None, None)
