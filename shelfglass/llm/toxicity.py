@@ -165,8 +165,9 @@ def fit_lexicon(docs: DataFrame, sample: DataFrame) -> Lexicon:
     found = _toxic_terms(docs.join(sample.filter("toxic = 1"), "id")).filter(
         F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()
     terms, toxic = [r["term"] for r in found], np.array([r["n"] for r in found], float)
-    counts = {r["term"]: (r["n_all"], r["n_clean"]) for r in
-              _corpus_counts(docs.join(sample, "id", "left"), terms).collect()}
+    counted = _corpus_counts(docs.join(sample, "id", "left"), terms).toArrow()
+    counts = {i: n for i, *n in zip(*(counted[c].to_pylist() for c in ("term", "n_all", "n_clean")),
+                                    strict=True)}
     n_all, n_clean = counts.get(-1, (0, 0))
     tokens_all, clean_tokens = counts.get(-2, (0, 0))
     n_toxic = sample.filter("toxic = 1").count()
@@ -282,9 +283,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
         F.sum("n_tokens").alias("tokens")).first()
     log_k = float(np.log(((clean["n"] or 0) + 0.5) / ((clean["tokens"] or 0) + 1.0))
                   + lexicon.decay * least)
-    rows = seen.select(evidence(lexicon, log_k).alias("x"), "toxic").collect()
-    slope, shift = logistic(np.array([r["x"] for r in rows], float),
-                            np.array([r["toxic"] for r in rows], float))
+    rows = seen.select(evidence(lexicon, log_k).alias("x"), "toxic").toArrow()
+    slope, shift = logistic(*(rows[c].to_numpy().astype(float) for c in ("x", "toxic")))
     if not slope:
         shift = min(shift, -0.01)
     score = 1 / (1 + F.exp(-(F.lit(slope) * evidence(lexicon, log_k) + F.lit(shift))))
