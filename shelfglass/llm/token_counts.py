@@ -74,7 +74,8 @@ def write_token_blocks(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     return stage(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
                  .mapInArrow(wordtokens.frugal(run), "file bigint, block bigint, ids binary, "
-                                                     f"first bigint, keys array<{kind}>"), "tokens")
+                                                     f"first bigint, keys array<{kind}>"), "tokens",
+                 small_batches=True)
 
 
 def _search(blocks: DataFrame, separator: int, width: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 from array import array
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of text that are cut into words together (a longer text is a slice by itself), distinct
 #: words encoded at a time, words whose ids a worker remembers, and bytes of text whose ids are
 #: gathered at a time.
-SLICE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS, GATHER_BYTES = 4_000_000, 20_000, 150_000, 4_000_000
+SLICE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS, GATHER_BYTES = 2_000_000, 4_000, 150_000, 2_000_000
 
 # Texts that keep their capitals: lowering letters from U+0130 on may depend on their neighbours,
 # and special tokens begin with "<".
@@ -140,7 +141,9 @@ _made: dict[tuple, WordTokenizer] = {}
 
 
 def tokenizer(path: str = VOCABULARY, *, plain: bool = False) -> WordTokenizer:
-    """One tokenizer for each Python worker."""
+    """One tokenizer for each Python worker, without threads of its own: Spark runs a task for each
+    core, and every further thread keeps memory that the worker does not give back."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, plain) not in _made:
         _made[path, plain] = WordTokenizer(path, plain=plain)
     return _made[path, plain]

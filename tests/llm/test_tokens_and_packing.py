@@ -1,3 +1,5 @@
+import os
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -6,9 +8,11 @@ import pytest
 from conftest_llm import LONG, ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfglass.llm import packing, token_counts, wordtokens
+from shelfglass.staging import stage
 
 
 def ids_of(text, plain=False):
@@ -95,3 +99,35 @@ def test_token_counts_of_an_empty_table(make_docs):
 
 def test_long_text_is_whole():
     assert len(ids_of(LONG)) == len(next(wordtokens.tokenizer().encode(pa.array([LONG]))))
+
+
+def test_a_worker_holds_little_text_and_starts_no_threads(spark, monkeypatch):
+    """Batches of texts of 40 kB stay near 4 MB, and the tokenizer runs in the task's own thread."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+
+    def sizes(batches):
+        wordtokens.tokenizer(plain=True)
+        on = os.environ["TOKENIZERS_PARALLELISM"]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([on])], ["n", "on"])
+
+    texts = spark.range(0, 400, 1, 1).select(F.expr("repeat('some words ', 3700)").alias("text"))
+    rows = stage(texts.mapInArrow(sizes, "n bigint, on string"), small_batches=True).collect()
+    assert max(r.n for r in rows) < 6_000_000 and len(rows) >= 4
+    assert {r.on for r in rows} == {"false"}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """A table once written needs its shuffles no more; they would wait for the driver's garbage
+    collection, as would their blocks' records there."""
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(f.getName().startswith("shuffle_") for f in (
+            found.apply(i) for found in [manager.getAllFiles()] for i in range(found.length())))
+
+    before = files()
+    stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
