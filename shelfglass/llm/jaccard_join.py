@@ -87,7 +87,8 @@ def _read_sets(docs: DataFrame) -> DataFrame:
 
     return stage(docs.select("key", "other", "text").mapInArrow(
         frugal(run), f"keys array<{kind}>, others array<bigint>, sizes array<bigint>, "
-                     "nodes array<bigint>, shingles array<bigint>, counts array<bigint>"), "sets")
+                     "nodes array<bigint>, shingles array<bigint>, counts array<bigint>"), "sets",
+                 small_batches=True)
 
 
 def _frequent(read_sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +99,11 @@ def _frequent(read_sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = read_sets.select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(
         F.col("x.shingles").alias("shingle")).agg(F.sum("x.counts").alias("n")).filter(
         "n >= 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    found = stage(rows, "frequent").toPandas()
-    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    # As Arrow: as rows they would fill the driver with objects.
+    found = stage(rows, "frequent").toArrow()
+    shingles = found["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], found["n"].to_numpy(np.float64)[order]
+    return shingles[order], found["n"].to_numpy().astype(np.float64)[order]
 
 
 def short_lists(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int
@@ -277,54 +279,98 @@ def _seen_elsewhere(center: int, left: list, right: list):
 
 
 def _members(nodes: DataFrame, meetings: DataFrame) -> DataFrame:
-    """(node, key, other, n, copies, centers, center, blocks, block): sets of groups, in blocks by hash."""
+    """(node, key, other, n, copies, centers, center, home, blocks, block): sets of groups, in blocks
+    by hash. Groups with the same ``home`` are searched in one task: those of one block that overlap,
+    as far as their smallest centers tell, while they hold a block's shingles together."""
     own = meetings.groupBy("node").agg(F.sort_array(F.collect_set("center")).alias("centers"))
     members = own.join(nodes, "node").withColumn("center", F.explode("centers"))
-    sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    sizes = members.groupBy("center").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"),
+        F.min(F.element_at("centers", 1)).alias("home"))
     few = F.least(F.ceil(F.col("sets") / BLOCK_SETS), F.lit(FEW_BLOCKS))
     blocks = F.greatest(few, F.ceil(F.col("sets") / MOST_SETS),
                         F.ceil(F.col("total") / MOST_SHINGLES))
-    return members.join(sizes.select("center", blocks.cast("int").alias("blocks")),
-                        "center").withColumn(
+    sizes = sizes.withColumn("blocks", blocks.cast("int"))
+    homes = sizes.filter("blocks = 1").groupBy("home").agg(F.sum("total").alias("held"))
+    together = (F.col("blocks") == 1) & (F.col("held") <= MOST_SHINGLES)
+    sizes = sizes.join(homes, "home", "left").select(
+        "center", "blocks", F.when(together, F.col("home")).otherwise(F.col("center")).alias("home"))
+    return members.join(sizes, "center").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def _sendings(members: DataFrame, tasks: int) -> DataFrame:
+    """(key, other, node, copies, centers, task, cells): the pairs of blocks (center, low, high) that a
+    set takes part in, by the task that searches them; its text goes to a task once."""
+    cells = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "with"), F.greatest("block", "with")
+    return cells.select(
+        "key", "other", "node", "copies", "centers",
+        F.pmod(F.xxhash64("home", low, high), F.lit(tasks)).alias("task"),
+        F.struct("center", low.alias("low"), high.alias("high"),
+                 (F.col("block") <= F.col("with")).alias("left")).alias("cell")).repartition(
+        "key", "other").groupBy("key", "other", "node", "task").agg(
+        F.first("copies").alias("copies"), F.first("centers").alias("centers"),
+        F.collect_list("cell").alias("cells"))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(key, other, packed, length): each text by itself in a zstd frame, and its bytes. Texts are
+    shuffled twice from here, and zstd leaves two thirds of what the shuffle's own codec does."""
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for part in parts(batches, 2, SLICE_BYTES):
+            raw = [t or b"" for t in part.column(2).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(1),
+                pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary()),
+                pa.array(list(map(len, raw)), pa.int64())], ["key", "other", "packed", "length"])
+
+    return docs.select("key", "other", "text").mapInArrow(
+        frugal(run), f"key {kind}, other bigint, packed binary, length bigint")
+
+
+def _unpacked(packed: pa.ChunkedArray, length: pa.ChunkedArray) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(t, n, asbytes=True) for t, n in zip(
+        packed.to_pylist(), length.to_pylist(), strict=True)], pa.large_binary()).cast(
+        pa.large_string())
+
+
 def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(node, links, other): what every pair of blocks of a group finds."""
     total = members.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     tasks = max(64, math.ceil(total / TASK_SHINGLES))
-    own = members.groupBy("key", "other").agg(
-        F.collect_list(F.struct("node", "copies", "centers", "center", "blocks", "block")).alias("m"))
+    own = _sendings(members, tasks).groupBy("key", "other").agg(
+        F.collect_list(F.struct("node", "copies", "centers", "task", "cells")).alias("m"))
     names = ["key", "other"]  # a null key is found by the hash of its text
-    held = slots_of(own, *map(F.col, names))
-    texts = null_safe_join(
-        docs.join(held, slot(*map(F.col, names)) == F.col("slot"), "left_semi"), own, names).select(
-        "text", F.explode("m").alias("m")).select("text", "m.*")
-    cells = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(
-        "node", "copies", "centers", "center", "text", F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("left"))
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("center", "low", "high"), F.lit(tasks)))
+    held = slots_of(members, *map(F.col, names))
+    # Not by broadcast: a plan counts one element for each of the arrays.
+    asked = docs.join(held, slot(*map(F.col, names)) == F.col("slot"), "left_semi")
+    texts = null_safe_join(_packed(asked), own.hint("merge"), names).select(
+        "packed", "length", F.explode("m").alias("m")).select("packed", "length", "m.*")
 
     def search(part: pa.Table) -> pa.Table:
-        sets = list(shingle_sets(part["text"].cast(pa.large_string()).combine_chunks()))
-        node, center, copies, is_left, one, high = (part[c].to_numpy() for c in (
-            "node", "center", "copies", "left", "low", "high"))
+        sets = list(shingle_sets(_unpacked(part["packed"], part["length"])))
+        node, copies = part["node"].to_numpy(), part["copies"].to_numpy()
         centers, groups = part["centers"].to_pylist(), {}
-        for i, name in enumerate(zip(center.tolist(), one.tolist(), high.tolist(), strict=True)):
-            groups.setdefault(name, []).append(i)
-        one = one == high
+        # A key may come with several texts, and a text twice; a set belongs to a group once.
+        for i, cells in enumerate(part["cells"].to_pylist()):
+            if set_hash(sets[i]) == node[i]:
+                for c in cells:
+                    groups.setdefault((c["center"], c["low"], c["high"]), {})[node[i]] = (
+                        i, c["left"])
         out = []
-        for rows in groups.values():
-            # A key may come with several texts, and a text twice; a set belongs here once.
-            mine = {node[i]: i for i in rows if set_hash(sets[i]) == node[i]}
-            left = [i for i in mine.values() if is_left[i]]
-            right = [i for i in mine.values() if not is_left[i]]
-            alone = bool(one[rows[0]])
+        for (center, low, high), mine in groups.items():
+            left = [i for i, is_left in mine.values() if is_left]
+            right = [i for i, is_left in mine.values() if not is_left]
+            alone = low == high
             if not left or not (right or alone):
                 continue
             other = left if alone else right
-            seen = _seen_elsewhere(int(center[rows[0]]), [centers[i] for i in left],
+            seen = _seen_elsewhere(center, [centers[i] for i in left],
                                    [centers[i] for i in other])
             links, label = search_block(
                 [sets[i] for i in left], copies[left], None if alone else [sets[i] for i in right],
@@ -334,7 +380,7 @@ def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         found = np.concatenate(out) if out else np.empty((0, 3), np.int64)
         return pa.table(list(found.T), names=["node", "links", "other"])
 
-    return cells.groupBy("task").applyInArrow(search, "node bigint, links bigint, other bigint")
+    return texts.groupBy("task").applyInArrow(search, "node bigint, links bigint, other bigint")
 
 
 def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -358,9 +404,9 @@ def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         first.alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")).select(
         "node", "first.key", "first.other", "n", "copies"), "nodes")
     postings = nodes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
-    meetings = stage(_meetings(docs, _frequent(sets), percent, postings), "meetings")
+    meetings = stage(_meetings(docs, _frequent(sets), percent, postings), "meetings", small_batches=True)
     members = stage(_members(nodes, meetings), "members")
-    found = stage(_searched(docs, members, percent), "links")
+    found = stage(_searched(docs, members, percent), "links", small_batches=True)
     joined = component_labels(found.filter("node <> other").select(
         F.col("node").alias("u"), F.col("other").alias("v")), [])
     smallest = nodes.join(joined, "node").groupBy("label").agg(F.min("key").alias("component_id"))

@@ -86,6 +86,47 @@ def test_join_of_an_empty_table(make_docs):
     assert jaccard_join.link_documents(make_docs([])).collect() == []
 
 
+def test_a_text_goes_to_a_task_once(spark):
+    """Groups that overlap share a home, and the copies of a set's key in them one row per task."""
+    nodes = spark.createDataFrame([(i, i * 10, 0, 50, 1) for i in (1, 2, 3, 4, 8, 9)],
+                                  "node long, key long, other long, n long, copies long")
+    meetings = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (2, 2), (3, 2), (3, 3), (4, 3),
+                                      (8, 8), (9, 8)], "node long, center long")
+    members = jaccard_join._members(nodes, meetings)
+    rows = jaccard_join._sendings(members, 1 << 40).collect()
+    cells = [(r.node, c.center, c.low, c.high, c.left) for r in rows for c in r.cells]
+    assert sorted(cells) == sorted((m.node, m.center, 0, 0, True) for m in meetings.collect())
+    assert Counter(r.node for r in rows) == {1: 1, 2: 1, 3: 1, 4: 1, 8: 1, 9: 1}
+    assert len({r.task for r in rows}) == 2
+
+
+def test_packed_texts_are_smaller_and_whole(make_docs):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600))
+    docs = make_docs([(1, text), (2, None), (None, "é ΣΣ"), (4, "")]).select(
+        F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("other"), "text")
+    rows = jaccard_join._packed(docs).toArrow()
+    back = jaccard_join._unpacked(rows["packed"], rows["length"]).to_pylist()
+    assert dict(zip(rows["key"].to_pylist(), back, strict=True)) == {
+        1: text, 2: "", None: "é ΣΣ", 4: ""}
+    assert max(map(len, rows["packed"].to_pylist())) < 0.6 * len(text)
+
+
+def test_texts_are_not_joined_by_broadcast(spark, make_docs, monkeypatch):
+    plans = []
+    real = jaccard_join.stage
+
+    def kept(df, label="stage", **settings):
+        if label == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, label, **settings)
+
+    monkeypatch.setattr(jaccard_join, "stage", kept)
+    text = " ".join(f"w{i}" for i in range(40))
+    jaccard_join.link_documents(make_docs([(1, text), (2, text + " end")])).collect()
+    assert "strategy=merge" in plans[0]
+
+
 def test_binary_probe_and_merge_agree():
     rng = np.random.default_rng(1)
     common = np.arange(40, dtype=np.uint64)
