@@ -1,7 +1,9 @@
 """Token ids of texts, word by word, for tokenizers that split at white space and drop it.
 
 Ids of a text are those of its words in order, so a slice of texts is cut into words, every
-distinct word is encoded once, and the ids are gathered for all words at a time.
+distinct word is encoded once, and the ids are gathered for all words at a time. Plain words are
+encoded as one text, which costs half of what texts of their own do, and cut behind the ids that
+end a token of the tokenizer's splitter.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -20,15 +23,18 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of text that are cut into words together (a longer text is a slice by itself), distinct
-#: words encoded at a time, words whose ids a worker remembers, and bytes of text whose ids are
-#: gathered at a time.
-SLICE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS, GATHER_BYTES = 2_000_000, 4_000, 150_000, 2_000_000
+#: words encoded at a time, words met lately whose ids a worker remembers (and as many from before
+#: them), and bytes of text whose ids are gathered at a time.
+SLICE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS, GATHER_BYTES = 1_000_000, 4_000, 50_000, 2_000_000
 
 # Texts that keep their capitals: lowering letters from U+0130 on may depend on their neighbours,
 # and special tokens begin with "<".
 _KEEPS_CASE = "[<İ-\U0010ffff]"
 # A stop or comma after neither letter nor digit is part of a longer token.
 _JOINED = r"[^\pL\pN\s][.,][ \n]"
+# Letters that stay as they are, then marks: one token of the splitter each. Without the apostrophe,
+# which may begin a short form, and "<", which may begin a special token.
+_PLAIN = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:;=-@[-`{-~]*)")
 
 
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -53,8 +59,10 @@ def parts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator
 
 
 def give_back() -> None:
-    """Return memory that Python, Arrow and the C library keep for later: a worker stays idle beside
-    others when its task has ended."""
+    """Return memory that Python, Arrow and the C library keep for later, and drop remembered words: a
+    worker stays idle beside others when its task has ended."""
+    for made in _made.values():
+        made.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU C library
@@ -97,19 +105,63 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _one_by_one(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+    def _together(self, words: list[str], tokens: list[int]) -> Iterator[bytes]:
+        """Ids of plain words of so many tokens each, cut from those of one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast(
+            [" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        cuts = np.cumsum(tokens)
+        if len(ends) != cuts[-1]:  # the vocabulary splits words in another way
+            yield from self._one_by_one(words)
+            return
+        raw, start = ids.tobytes(), 0
+        for end in ((ends[cuts - 1] + 1) * 4).tolist():
+            yield raw[start:end]
+            start = end
+
+    def _learn(self, words: list[str]) -> None:
+        plain, tokens, other = [], [], []
+        for w in words:
+            parts = _PLAIN.fullmatch(w) if len(self.ends) and w else None
+            if parts:
+                plain.append(w)
+                tokens.append(bool(parts[1]) + bool(parts[2]))
+            else:
+                other.append(w)
+        if plain:
+            self.known.update(zip(plain, self._together(plain, tokens), strict=True))
+        self.known.update(zip(other, self._one_by_one(other), strict=True))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words; those a worker has met lately are remembered."""
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+            self.known, self.older = {}, self.known
+        new = []
+        for w in words:
+            if w not in self.known:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
         for a in range(0, len(new), WORDS_AT_ONCE):
-            some = new[a:a + WORDS_AT_ONCE]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False),
-                            strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+            self._learn(new[a:a + WORDS_AT_ONCE])
         return [self.known[w] for w in words]
 
+    def forget(self) -> None:
+        """Drop the remembered words."""
+        self.known, self.older = {}, {}
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, 32 bits each; a null text counts as empty."""
         for a, b in slices(texts, SLICE_BYTES):

@@ -131,3 +131,46 @@ def test_staging_leaves_no_shuffle_files(spark):
     while files() > before and time.time() < until:
         time.sleep(0.2)
     assert files() <= before
+
+
+def test_plain_words_are_encoded_as_one_text():
+    """A call of the tokenizer for thousands of plain words, not one text a word; same ids."""
+    words = [f"{a}{b}{end}" for a in ("the", "ñu", "straße", "zq") for b in ("xo", "ing", "")
+             for end in ("", ".", "&&&", "#-", "=>", "_x", "7", "'s", "<b", "É")]
+    made = wordtokens.WordTokenizer()
+    asked = []
+    real = made.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **kw)
+
+    made.tokenizer = Counted()
+    got = [np.frombuffer(raw, np.uint32).tolist() for raw in made._ids(words)]
+    assert got == [real.encode(w, add_special_tokens=False).ids for w in words]
+    plain = sum(w.endswith(("_x", "7", "'s", "<b", "É")) for w in words)
+    assert len(asked) == plain + 1
+    made.ends[:] = False  # a vocabulary that splits otherwise is asked word by word
+    made.forget()
+    assert [np.frombuffer(raw, np.uint32).tolist() for raw in made._ids(words)] == got
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=[chr(c) for c in range(33, 256)], min_size=1, max_size=5), unique=True, max_size=20))
+def test_words_of_any_marks_encode_alone_and_together(words):
+    made = wordtokens.tokenizer()
+    made.forget()
+    got = [np.frombuffer(raw, np.uint32).tolist() for raw in made._ids(words)]
+    assert got == [made.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_remembered_words_are_bounded_and_go_with_the_task(monkeypatch):
+    monkeypatch.setattr(wordtokens, "KNOWN_WORDS", 50)
+    made = wordtokens.tokenizer()
+    made.forget()
+    for k in range(20):
+        made._ids([f"w{k}x{i}" for i in range(40)] + ["always"])
+    assert "always" in made.known and len(made.known) + len(made.older) <= 2 * (50 + 41)
+    wordtokens.give_back()
+    assert not made.known and not made.older
