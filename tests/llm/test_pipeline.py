@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import ODD
 from test_duplicates import brute_clean, brute_links
 from test_models_and_search import corpus
@@ -83,3 +84,23 @@ def test_empty_tables(spark, make_docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_packing_hands_small_batches_to_workers(spark, make_docs, monkeypatch):
+    """The stage's result is lazy, so the session of whoever writes it must keep its batches small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(docs):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+        return docs.select("text").mapInArrow(run, "n bigint")
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 3700) AS text")
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", sizes)
+    try:
+        rows = corpus_pipeline.pack_sequences(spark, texts, "").collect()
+        assert max(r.n for r in rows) < 6_000_000 and len(rows) >= 4
+    finally:
+        spark.conf.set(name, before)
