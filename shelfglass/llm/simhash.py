@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfglass.llm.registry import query, read
+from shelfglass.operators.joins import join_prepared
 from shelfglass.staging import stage
 
 BITS = 128
@@ -91,7 +92,8 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS,
     The bits are cut into blocks, whose allowances plus one add up to ``radius + 1``; so two such
     fingerprints differ on some block in no more bits than its allowance. Each print stands in a
     table per block, and a query looks there for every value within the allowance. Both sides are
-    made distinct first; of the tables that find a pair, the first one gives it.
+    made distinct first; of the tables that find a pair, the first one gives it. A query becomes
+    hundreds of values, which no plan foresees: they are made in all tasks and never broadcast.
     """
     if not 3 <= blocks <= 16:
         raise ValueError("blocks must be 3 to 16")
@@ -113,15 +115,18 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS,
 
     asked = queries.select(F.col("high").alias("query_high"), F.col("low").alias(
         "query_low")).distinct()
-    asked = asked.select("query_high", "query_low", F.explode(F.concat(*(
-        probes(*x) for x in cut))).alias("bits"))
     tables = prints.select("high", "low").distinct().select("high", "low", F.explode(F.array(*(
         keyed(t, _block(F.col("high"), F.col("low"), a, b)) for t, a, b, _ in cut))).alias("bits"))
     pair = F.col("query_high"), F.col("query_low"), F.col("high"), F.col("low")
     differing = (pair[0].bitwiseXOR(pair[2]), pair[1].bitwiseXOR(pair[3]))
     first = F.coalesce(*(F.when(F.bit_count(_block(*differing, a, b)) <= most, F.lit(t))
                          for t, a, b, most in cut))
-    return asked.join(tables, "bits").filter(
+
+    def probed(rows: DataFrame) -> DataFrame:
+        return rows.select("query_high", "query_low", F.explode(F.concat(*(
+            probes(*x) for x in cut))).alias("bits"))
+
+    return join_prepared(asked, probed, tables, "bits").filter(
         (distance(*pair) <= radius)
         & (first == F.shiftrightunsigned("bits", 64 - 4))).select(*pair)
 

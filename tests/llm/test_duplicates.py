@@ -244,6 +244,19 @@ def test_radius_search_finds_each_pair_once(spark, radius, blocks):
                           if (a ^ b).bit_count() <= radius)
 
 
+def test_probes_are_made_in_all_tasks_and_not_broadcast(spark):
+    """Few prints are small to a plan, the values they are probed with are not."""
+    prints = spark.range(2000).select(F.xxhash64("id").alias("high"),
+                                      F.xxhash64("id", F.lit(1)).alias("low"))
+    found = simhash.within_radius(prints.filter("high % 10 = 0"), prints)
+    assert found.count() == prints.filter("high % 10 = 0").count()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [bits" in plan and "BroadcastExchange" not in plan
+    dealt = plan[:plan.index("REPARTITION_BY_NUM")].splitlines()[-3:]
+    assert "Generate explode(concat" in dealt[0] and "AQEShuffleRead" not in "".join(dealt)
+
+
 def test_near_count_reaches_a_jaccard_of_three_quarters(spark, make_docs, tmp_path):
     rng = random.Random(9)
     rows = []
