@@ -30,8 +30,10 @@ SLICE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS, GATHER_BYTES = 1_000_000, 4_000, 50_000
 # Texts that keep their capitals: lowering letters from U+0130 on may depend on their neighbours,
 # and special tokens begin with "<".
 _KEEPS_CASE = "[<İ-\U0010ffff]"
-# A stop or comma after neither letter nor digit is part of a longer token.
-_JOINED = r"[^\pL\pN\s][.,][ \n]"
+# A stop or comma after neither letter nor digit is part of a longer token; so it is after a letter
+# that the tokenizer takes apart into a letter and a mark.
+_APART = "İ\u0958-\u095f\u09dc-\u09df\u0a33\u0a36\u0a59-\u0a5e\u0b5c\u0b5d\u0f43-\u0f69\ufb1d-\ufb4e"
+_JOINED = rf"(?:[^\pL\pN\s]|[{_APART}])[.,][ \n]"
 # Letters that stay as they are, then marks: one token of the splitter each. Without the apostrophe,
 # which may begin a short form, and "<", which may begin a special token.
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:;=-@[-`{-~]*)")

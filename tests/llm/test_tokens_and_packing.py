@@ -29,6 +29,13 @@ def test_words_encode_like_texts(texts):
     assert got == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_stops_after_letters_that_end_in_a_mark():
+    tok = wordtokens.tokenizer()
+    texts = [f"{c}{stop}" for c in "İ\u0958\u09df\u0a36\u0a5e\u0b5c\u0f69\ufb1d\ufb4eéд" for stop in (". ", ",\nx")]
+    got = [x.tolist() for x in tok.encode(pa.array(texts))]
+    assert got == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_slices_do_not_change_ids(monkeypatch):
     texts = pa.array([t for _, t in ODD] * 2, pa.string())
     whole = [x.tolist() for x in wordtokens.tokenizer().encode(texts)]
